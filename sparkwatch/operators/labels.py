@@ -82,9 +82,3 @@ def _first_claims(telemetry: DataFrame, claimed: DataFrame, width: int) -> DataF
         .groupBy(*CELL)
         .agg(F.min(F.struct("ordinal", "incident_id")).alias("_claim"))
     )
-
-
-def with_clean(cells: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Observed cells with ``clean`` from labelled rows of the same cells."""
-    flags = labelled.groupBy(*CELL).agg((~F.bool_or("is_anomalous")).alias("clean"))
-    return cells.join(flags, CELL, "left").withColumn("clean", F.coalesce("clean", F.lit(False)))

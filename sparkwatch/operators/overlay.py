@@ -105,7 +105,7 @@ def felt(i: Column, config: OverlayConfig) -> Column:
 
 
 def incident_id(ordinal: Column) -> Column:
-    return F.format_string("INC-%04d", ordinal.cast("long"))
+    return F.when(ordinal.isNotNull(), F.format_string("INC-%04d", ordinal.cast("long")))
 
 
 def apply_faults(

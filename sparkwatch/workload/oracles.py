@@ -11,7 +11,7 @@ from sparkwatch.workload.tables import GAUGES, SERVICES
 
 
 def r(expression: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) + 0.0"
+    return f"round(CAST({expression} AS DOUBLE) + CAST(1e-9 AS DOUBLE), 6)"
 
 
 EV = """ev AS (
@@ -36,7 +36,7 @@ grid AS (
   FROM axis a CROSS JOIN series s
   LEFT JOIN cells c ON c.timestamp = a.timestamp AND c.service = s.service AND c.metric = s.metric)"""
 
-SPLIT = "(SELECT CAST(floor(count(*) * 0.7) AS BIGINT) FROM axis)"
+SPLIT = "(SELECT CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) FROM axis)"
 W = "PARTITION BY service, metric ORDER BY pos"
 
 SERVICE_HOPS = """calls AS (

@@ -21,13 +21,16 @@ RUNGS = [f"q{round(p * 100):02d}" for p in LEVELS]
 
 
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Results in types both engines print alike: rounded doubles, plain timestamps, long integers."""
+    """Results in types both engines print alike: rounded doubles, plain timestamps, long integers.
+
+    A billionth is added before rounding, since engines disagree on which way an exact half goes.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         kind = f.dataType.simpleString()
         if kind == "double":
-            c = F.round(c, digits)
+            c = F.round(c + F.lit(1e-9), digits)
         elif kind == "timestamp":
             c = c.cast("timestamp_ntz")
         elif kind == "int":

@@ -10,7 +10,7 @@ from sparkwatch.functions.percentiles import BUFFER_ROWS, exact_percentiles
 from sparkwatch.functions.profiles import KINDS, PERMANENT_KIND
 from sparkwatch.operators import graph, labels, overlay
 from sparkwatch.operators.features import FeatureSpec
-from sparkwatch.operators.grid import cells, indexed
+from sparkwatch.operators.grid import cells, clean_cells, indexed
 from sparkwatch.operators.scrape import LATENCY_BOUNDS
 from sparkwatch.plans.forecasting import ForecastPlan
 from sparkwatch.session import stored, use_utc
@@ -135,7 +135,7 @@ def faults(spark: SparkSession, sf: str) -> DataFrame:
         (-F.col("_e._neg")).alias("event_id"), F.col("_e.timestamp").alias("start"), F.col("_e.service").alias("service")
     ).withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return rows.select(
+    table = rows.select(
         "ordinal",
         F.get(kinds, (F.col("ordinal") % len(KINDS)).cast("int")).alias("kind"),
         "service",
@@ -143,10 +143,11 @@ def faults(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(8 * HOUR).cast("long").alias("duration_s"),
         (F.lit(0.35) + (F.col("event_id") % 66) / F.lit(100.0)).alias("magnitude"),
     )
+    return stored(table)
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
-    """The same events as an incident table with blast radii."""
+    """The same events as a written incident table with blast radii."""
     end = F.timestamp_micros(F.unix_micros("start") + F.col("duration_s") * 1_000_000)
     rows = faults(spark, sf).select(
         "ordinal",
@@ -158,9 +159,8 @@ def incidents(spark: SparkSession, sf: str) -> DataFrame:
         "magnitude",
         (F.col("kind") == PERMANENT_KIND).alias("permanent"),
     )
-    return rows.join(radius(spark, sf).withColumnRenamed("root", "root_service"), "root_service").select(
-        *rows.columns, "affected_services"
-    )
+    reach = radius(spark, sf).withColumnRenamed("root", "root_service")
+    return stored(rows.join(reach, "root_service").select(*rows.columns, "affected_services"))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,9 +168,9 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The sparse grid with ``clean``."""
-    marked = stored(labelled(spark, sf))
-    return stored(labels.with_clean(indexed(cells(marked)), marked))
+    """The sparse grid with ``clean``. All rows of a cell carry the same label here."""
+    marked = labelled(spark, sf).where(F.col("value").isNotNull())
+    return stored(indexed(clean_cells(marked, ["incident_id"])))
 
 
 # --- scraped samples ------------------------------------------------------------------------
@@ -194,8 +194,9 @@ def duration_buckets(spark: SparkSession, sf: str) -> DataFrame:
     bounds = F.array(*[F.lit(float(b)) for b in (*LATENCY_BOUNDS, float("inf"))])
     seconds = F.col("value") / F.lit(100.0)
     rows = hourly(events(spark, sf)).where(F.col("value").isNotNull())
-    reached = rows.select("timestamp", "service", F.explode(F.filter(bounds, lambda b: b >= seconds)).alias("le"))
-    return reached.groupBy("timestamp", "service", "le").agg((F.count(F.lit(1)) / F.lit(float(HOUR))).alias("value"))
+    reached = rows.select("timestamp", "service", seconds.alias("_s"), F.explode(bounds).alias("le"))
+    held = F.sum((F.col("_s") <= F.col("le")).cast("double")) / F.lit(float(HOUR))
+    return reached.groupBy("timestamp", "service", "le").agg(held.alias("value"))
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:

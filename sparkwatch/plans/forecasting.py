@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwatch.functions.ladder import LEVELS, rung
-from sparkwatch.operators import baselines, evaluate, forecast
+from sparkwatch.operators import baselines, boosting, evaluate, features, forecast
+from sparkwatch.operators.features import FeatureSpec
 from sparkwatch.operators.grid import axis_of, split, split_position
 from sparkwatch.schema import CELL, SERIES
+from sparkwatch.session import stored
 
 # The two intervals that are reported.
 INTERVALS = ((0.05, 0.95), (0.01, 0.99))
@@ -60,6 +62,31 @@ def predictions(grid: DataFrame, plan: ForecastPlan, model: DataFrame | None = N
     return forecast.predict_ladder(test_changes(grid, plan), model)
 
 
+def boosted_rows(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of the tree forecaster: change targets with features.
+
+    Features of the test part see only the test part when ``history="slice"``.
+    """
+    early, late = split(grid, plan.fraction)
+
+    def ready(part: DataFrame) -> DataFrame:
+        return features.build(forecast.with_change(chosen(part, plan)), spec)
+
+    train = forecast.training_rows(ready(early))
+    if plan.history == "slice":
+        return train, ready(late)
+    return train, ready(grid).where(F.col("pos") >= split_position(grid, plan.fraction))
+
+
+def boosted_predictions(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec, config: boosting.BoostConfig) -> DataFrame:
+    """Test cells with the ladder ``q`` of boosted trees. A series with too few clean rows is an error."""
+    train, test = boosted_rows(grid, plan, spec)
+    train = stored(train)
+    forecast.require_rows(forecast.training_counts(chosen(grid, plan), train))
+    model = boosting.fit(train, spec.names, config, plan.rows_bound)
+    return boosting.predict(test, spec.names, model, config)
+
+
 def with_baselines(grid: DataFrame, plan: ForecastPlan, predicted: DataFrame) -> DataFrame:
     """Predictions next to those of the two baselines, which see all the history."""
     cut = split_position(grid, plan.fraction)

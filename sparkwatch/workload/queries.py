@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sparkwatch.functions.ladder import LEVELS, covered, monotone, pinball, pit
 from sparkwatch.functions.profiles import effect_table, multiplier
 from sparkwatch.operators import baselines, evaluate, features, forecast, graph, grid, labels, overlay, scrape
+from sparkwatch.operators.boosting import BoostConfig
 from sparkwatch.plans import alerting, forecasting, incidents as incident_plans
 from sparkwatch.schema import CELL, SERIES, within_bounds
 from sparkwatch.sources import readers, writers
@@ -276,6 +277,13 @@ def quantile_ladder(spark, sf):
     return model.select(*SERIES, "hour", *rungs("quantiles"))
 
 
+@query
+def boosted_forecast(spark, sf):
+    config = BoostConfig(rounds=2, learning_rate=0.3, depth=2, bins=31, levels=(0.05, 0.5, 0.95))
+    found = forecasting.boosted_predictions(t.clean_grid(spark, sf), t.forecast_plan(spark, sf), t.SPEC, config)
+    return found.select(*CELL, "value", *rungs("q", ["q05", "q50", "q95"]))
+
+
 @query
 def predict_history(spark, sf):
     seen = t.sparse(spark, sf)

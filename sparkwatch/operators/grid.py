@@ -19,7 +19,9 @@ from sparkwatch.functions.percentiles import exact_median
 from sparkwatch.schema import CELL, SERIES
 
 DAY_SECONDS = 86_400
-_FILL_BLOCK = 4096
+_HOUR_SECONDS = 3600
+_FILL_BLOCK = 1024
+_FILL_SALTS = 32
 _MIN_CHUNK = 4096
 
 
@@ -31,50 +33,45 @@ def cells(long: DataFrame) -> DataFrame:
 def time_axis(observed: DataFrame) -> DataFrame:
     """Distinct timestamps numbered from 0.
 
-    Numbered inside each day, then shifted by the running size of the days before; only the table
-    of days (one row each) is ordered in one place.
+    Numbered inside each hour, then shifted by the running size of the hours before; only the
+    table of hours (one row each) is ordered in one place.
     """
-    times = observed.select("timestamp").distinct().withColumn("_day", _day("timestamp"))
-    inside = Window.partitionBy("_day").orderBy("timestamp")
+    times = observed.select("timestamp").distinct().withColumn("_hour", _hour("timestamp"))
+    inside = Window.partitionBy("_hour").orderBy("timestamp")
     numbered = times.withColumn("_nth", F.row_number().over(inside) - 1)
-    return numbered.join(_day_offsets(times, "_day"), "_day").select(
+    sizes = times.groupBy("_hour").agg(F.count(F.lit(1)).alias("_size"))
+    return numbered.join(_offsets(sizes), "_hour").select(
         "timestamp", (F.col("_nth") + F.col("_offset")).cast("long").alias("pos")
     )
 
 
-def _day(column: str) -> Column:
-    return F.floor(F.unix_seconds(F.col(column)) / DAY_SECONDS)
+def _hour(column: str) -> Column:
+    return F.floor(F.unix_seconds(F.col(column)) / _HOUR_SECONDS)
 
 
-def _day_offsets(times: DataFrame, day: str) -> DataFrame:
-    running = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        times.groupBy(day)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(day, F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_offset"))
-    )
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """Running ``_size`` of the hours before each hour."""
+    running = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_hour", F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_offset"))
 
 
 def positions_of(axis: DataFrame, points: DataFrame, out: str = "before") -> DataFrame:
     """Per distinct ``timestamp`` of ``points``: how many axis timestamps lie strictly before it.
 
-    Points and axis are ranked together, day by day, so that no pair of them is ever joined.
+    Points and axis are ranked together, hour by hour, so that no pair of them is ever joined.
     """
     asked = points.select("timestamp").distinct()
     mixed = (
         axis.select("timestamp", F.lit(1).alias("_axis"))
         .unionByName(asked.select("timestamp", F.lit(0).alias("_axis")))
-        .withColumn("_day", _day("timestamp"))
-    )
-    sizes = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = mixed.groupBy("_day").agg(F.sum("_axis").alias("_size")).select(
-        "_day", F.coalesce(F.sum("_size").over(sizes), F.lit(0)).alias("_offset")
+        .withColumn("_hour", _hour("timestamp"))
     )
-    inside = Window.partitionBy("_day").orderBy("timestamp", "_axis").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _offsets(mixed.groupBy("_hour").agg(F.sum("_axis").alias("_size")))
+    inside = Window.partitionBy("_hour").orderBy("timestamp", "_axis").rowsBetween(Window.unboundedPreceding, -1)
     return (
         mixed.withColumn("_seen", F.coalesce(F.sum("_axis").over(inside), F.lit(0)))
         .where(F.col("_axis") == 0)
-        .join(offsets, "_day")
+        .join(offsets, "_hour")
         .select("timestamp", (F.col("_seen") + F.col("_offset")).cast("long").alias(out))
     )
 
@@ -101,25 +98,31 @@ def dense(grid: DataFrame) -> DataFrame:
     """Every series at every axis position, missing samples as NULL.
 
     This is the size of the answer (series x times). Use the sparse grid when rows for missing cells are not
-    part of what is asked.
+    part of what is asked. Series meet the times block by block, and salted, so that the rows of a block
+    come from many tasks however many series there are.
     """
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((axis_length(grid) - 1) / _FILL_BLOCK))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_FILL_SALTS - 1))).alias("_salt")
+    times = axis_of(grid).select("timestamp", "pos", F.expr(f"pos div {_FILL_BLOCK}").alias("_block"), salts)
     slots = (
         grid.select(*SERIES)
         .distinct()
-        .select(*SERIES, F.explode(blocks).alias("_block"))
-        .join(axis_of(grid).withColumn("_block", F.expr(f"pos div {_FILL_BLOCK}")), "_block")
+        .select(*SERIES, F.pmod(F.hash(*SERIES), F.lit(_FILL_SALTS)).alias("_salt"), F.explode(blocks).alias("_block"))
+        .join(times, ["_block", "_salt"])
         .select("timestamp", "pos", *SERIES, F.lit(None).cast("double").alias("value"))
     )
     known = grid.select("timestamp", "pos", *SERIES, "value")
     return slots.unionByName(known).groupBy("timestamp", "pos", *SERIES).agg(F.max("value").alias("value"))
 
 
-def chunked(grid: DataFrame, back: int, rows: int | None = None, pos: str = "pos") -> DataFrame:
+def chunked(
+    grid: DataFrame, back: int, rows: int | None = None, by: list[str] | None = None, pos: str = "pos"
+) -> DataFrame:
     """Cut each series into stretches, each led by copies of the ``back`` positions before it.
 
     ``own`` marks the rows that belong to the stretch. The copies cost at most a quarter more rows,
-    since a stretch is four look-backs long unless ``rows`` says otherwise.
+    since a stretch is four look-backs long unless ``rows`` says otherwise. Rows are placed by (series, stretch) here, once
+    for all windows that follow, also those over parts of a stretch.
     """
     size = max(int(rows or max(_MIN_CHUNK, 4 * back)), 1)
     first = F.expr(f"{pos} div {size}")
@@ -129,6 +132,7 @@ def chunked(grid: DataFrame, back: int, rows: int | None = None, pos: str = "pos
         .withColumn("chunk", F.explode(F.sequence(F.col("_first"), last)))
         .withColumn("own", F.col("chunk") == F.col("_first"))
         .drop("_first")
+        .repartition(*(SERIES if by is None else by), "chunk")
     )
 
 
@@ -148,7 +152,7 @@ def at_lag(window: WindowSpec, steps: int, value: str | Column = "value") -> Col
 
 def step_seconds(grid: DataFrame, rows_bound: int | None = None) -> DataFrame:
     """One row, ``step_seconds``: the median gap between successive timestamps."""
-    axis = chunked(axis_of(grid), 1)
+    axis = chunked(axis_of(grid), 1, by=[])
     micros = F.unix_micros("timestamp")
     gaps = own_rows(
         axis.withColumn("_gap", (micros - at_lag(chunk_window([]), 1, micros)) / F.lit(1e6))

@@ -22,7 +22,7 @@ LEAST_RATE = 1e-9
 def increases(samples: DataFrame, labels: Sequence[str], window_seconds: int) -> DataFrame:
     """Growth of each counter since its previous sample within the window; a drop is a reset to 0."""
     span = window_seconds * MICROS
-    laid = chunked(samples.withColumn("_at", F.unix_micros("timestamp")), span, 8 * span, pos="_at")
+    laid = chunked(samples.withColumn("_at", F.unix_micros("timestamp")), span, 8 * span, list(labels), "_at")
     before = F.last("value").over(chunk_window(list(labels), "_at").rangeBetween(-span + 1, -1))
     rows = own_rows(laid.withColumn("_before", before)).where(F.col("_before").isNotNull())
     grown = F.when(F.col("value") < F.col("_before"), F.col("value")).otherwise(F.col("value") - F.col("_before"))

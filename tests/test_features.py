@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import column, gappy, same, sparse_grid
-from sparkwatch.operators import features, grid
+from sparkwatch.operators import baselines, features, grid
 
 SMALL = features.FeatureSpec(day=40, windows=(12, 60))
 
@@ -54,7 +54,8 @@ def test_needs_timestamps(spark):
         features.build(spark.createDataFrame([(1, 0, "a", "m", 1.0)], "timestamp int, pos long, service string, metric string, value double"), SMALL)
 
 
-def test_all_features_cost_one_layout_of_the_rows(spark):
+def test_windows_cost_one_layout_of_the_rows(spark):
     g = spark.createDataFrame([], "timestamp timestamp, pos long, service string, metric string, value double")
-    plan = features.build(g, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    for built in (features.build(g, SMALL), baselines.k_sigma_alerts(g), baselines.seasonal_naive(g, 24)):
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1

@@ -166,9 +166,19 @@ def beyond(k: Column | float) -> Column:
     return F.coalesce(fired, F.lit(False))
 
 
-def k_sigma_alerts(grid: DataFrame, window: int = 240, k: float = 3.0, chunk_rows: int | None = None) -> DataFrame:
-    """The grid with ``alert``: more than ``k`` past deviations away from the past mean."""
-    return with_rolling(grid, window, chunk_rows).withColumn("alert", beyond(k)).drop("mean", "std")
+def k_sigma_alerts(
+    grid: DataFrame, window: int = 240, k: float = 3.0, chunk_rows: int | None = None, evaluated_only: bool = False
+) -> DataFrame:
+    """The grid with ``alert``: more than ``k`` past deviations away from the past mean.
+
+    Cells that cannot be judged (missing, or too little past) are quiet, and count as cells in an alert rate. With
+    ``evaluated_only`` their alert is NULL, and they do not count.
+    """
+    scored = with_rolling(grid, window, chunk_rows)
+    alert = beyond(k)
+    if evaluated_only:
+        alert = F.when(F.col("value").isNotNull() & F.col("std").isNotNull(), alert)
+    return scored.withColumn("alert", alert).drop("mean", "std")
 
 
 def rate_per_series_day(fired: Column, usable: Column, step: Column | float) -> Column:

@@ -99,3 +99,25 @@ def test_threshold_cost_counts_missing_cells_and_knows_four_ks(spark):
     dense = baselines.k_sigma_alerts(grid.dense(g), 48, 2.0)
     want = baselines.alert_rate(dense, 60.0).first()["alerts_per_series_per_day"]
     assert rows[2.0]["alerts_per_series_per_day"] == pytest.approx(want)
+
+
+def test_cells_that_cannot_be_judged(spark):
+    g = grid.dense(sparse_grid(spark, full(gappy(60, 9, 0.3))))
+    loud = baselines.k_sigma_alerts(g, 40)
+    strict = baselines.k_sigma_alerts(g, 40, evaluated_only=True)
+    assert loud.where("alert is null").count() == 0
+    assert 0 < strict.where("alert is null").count() < 120
+    assert baselines.alert_rate(loud, 60.0).first()["cells"] == 120
+    assert baselines.alert_rate(strict, 60.0).first()["cells"] == 120 - strict.where("alert is null").count()
+
+
+def test_partition_count_and_row_order_do_not_matter(spark):
+    g = sparse_grid(spark, {("a", "m"): gappy(300, 10), ("b", "m"): gappy(300, 11)})
+    want = sorted(map(str, baselines.ewma(baselines.with_rolling(g, 48)).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        shuffled = g.orderBy(F.rand(3))
+        assert sorted(map(str, baselines.ewma(baselines.with_rolling(shuffled, 48)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

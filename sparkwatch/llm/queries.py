@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwatch.llm import bpe
-from sparkwatch.llm.common import documents
+from sparkwatch.llm import bpe, fertility, language, mixing, ordermin, quality
+from sparkwatch.llm.common import documents, labels
+
+
+def tokeniser_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return fertility.report(documents(spark, sf))
+
+
+def source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["doc_id", "size", "source_size", "target", "taken", "source", "weight", "rounds"]
+    return mixing.mix(documents(spark, sf)).select(*columns)
+
+
+def language_by_compression(spark: SparkSession, sf: str) -> DataFrame:
+    return language.report(documents(spark, sf))
 
 
 def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf))
 
 
+def order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return ordermin.edited_report(documents(spark, sf))
+
+
+def attention_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.report(documents(spark, sf), labels(spark, sf))
+
+
 QUERIES = {
+    "op1_tokeniser_fertility": tokeniser_fertility,
+    "op3_source_mix": source_mix,
+    "op5_language_by_compression": language_by_compression,
     "op7_byte_bpe": byte_bpe,
+    "op9_order_minhash": order_minhash,
+    "op10_attention_quality": attention_quality,
 }
 
 ORACLES: dict[str, str] = {}

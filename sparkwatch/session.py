@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,24 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; only a session without one (a test) gets its own."""
+    """The checkpoint folder the cluster names.
+
+    Only a local session without one (a test) gets a temporary folder: on a cluster its executors could not see it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sparkwatch-checkpoint-"))
+        if not configured and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        context.setCheckpointDir(configured or _temporary(context.applicationId))
     return context.getCheckpointDir()
 
 
+@lru_cache(maxsize=4)
+def _temporary(application: str) -> str:
+    return tempfile.mkdtemp(prefix="sparkwatch-checkpoint-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint a step of an iteration, so that its plan stays short and lost executors cost no replay."""
     shared_folder(df.sparkSession)
@@ -55,3 +66,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    session = df.sparkSession
+    folder = shared_folder(session).rstrip("/")
+    tables = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+    for table in tables:
+        if table.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/") + "/"):
+            path = session._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

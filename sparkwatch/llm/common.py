@@ -133,3 +133,24 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def maybe_in(rows: DataFrame, column: str, members: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows whose ``column`` may be in ``members``, a table with that one column; none that is goes missing.
+
+    A bitmap of 2^bits bits, whatever the number of members, is sent to the executors. It only spares the shuffle of a following join
+    rows that cannot match; with very many members it lets more rows through.
+    """
+    bit = F.shiftrightunsigned(F.xxhash64(F.lit(1), column), 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    found = members.select(F.shiftright(bit, 6).cast("int").alias("word"), one.alias("spot")).groupBy("word").agg(F.bit_or("spot").alias("spots")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[found["word"].to_numpy(np.int64)] = found["spots"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def maybe(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False).astype(np.uint64)
+        hit = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        return pa.array(hit.astype(bool))
+
+    return rows.where(F.arrow_udf(maybe, "boolean")(bit))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwatch.llm import bpe, fertility, language, mixing, ordermin, quality
+from sparkwatch.llm import bpe, fertility, language, mixing, ngram_join, ordermin, quality, templates
 from sparkwatch.llm.common import documents, labels
 
 
@@ -17,10 +17,18 @@ def source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf)).select(*columns)
 
 
+def ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf))
+
+
 def language_by_compression(spark: SparkSession, sf: str) -> DataFrame:
     return language.report(documents(spark, sf))
 
 
+def line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.report(documents(spark, sf))
+
+
 def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf))
 
@@ -36,7 +44,9 @@ def attention_quality(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_tokeniser_fertility": tokeniser_fertility,
     "op3_source_mix": source_mix,
+    "op4_ngram_jaccard_join": ngram_jaccard_join,
     "op5_language_by_compression": language_by_compression,
+    "op6_line_templates": line_templates,
     "op7_byte_bpe": byte_bpe,
     "op9_order_minhash": order_minhash,
     "op10_attention_quality": attention_quality,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwatch.llm import bpe, fertility, language, mixing, ngram_join, ordermin, quality, templates
+from sparkwatch.llm import bpe, fertility, language, mixing, ngram_join, ordermin, packing, quality, templates
 from sparkwatch.llm.common import documents, labels
 
 
@@ -33,6 +33,10 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf))
 
 
+def packed_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf))
+
+
 def order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return ordermin.edited_report(documents(spark, sf))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_language_by_compression": language_by_compression,
     "op6_line_templates": line_templates,
     "op7_byte_bpe": byte_bpe,
+    "op8_packed_token_ids": packed_token_ids,
     "op9_order_minhash": order_minhash,
     "op10_attention_quality": attention_quality,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwatch.llm import bpe, fertility, language, mixing, ngram_join, ordermin, packing, quality, templates
+from sparkwatch.llm import bpe, fertility, language, lm_difference, mixing, ngram_join, ordermin, packing, quality, templates
 from sparkwatch.llm.common import documents, labels
 
 
@@ -12,6 +12,12 @@ def tokeniser_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return fertility.report(documents(spark, sf))
 
 
+def lm_cross_entropy_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """The target is what is labelled good and not toxic."""
+    good = labels(spark, sf).where("quality = 1 AND toxic = 0").select("doc_id")
+    return lm_difference.score(documents(spark, sf), good)
+
+
 def source_mix(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["doc_id", "size", "source_size", "target", "taken", "source", "weight", "rounds"]
     return mixing.mix(documents(spark, sf)).select(*columns)
@@ -47,6 +53,7 @@ def attention_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_tokeniser_fertility": tokeniser_fertility,
+    "op2_lm_cross_entropy_difference": lm_cross_entropy_difference,
     "op3_source_mix": source_mix,
     "op4_ngram_jaccard_join": ngram_jaccard_join,
     "op5_language_by_compression": language_by_compression,

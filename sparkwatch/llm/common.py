@@ -29,6 +29,14 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with underscores in front as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch per Arrow batch, row counts free."""
 

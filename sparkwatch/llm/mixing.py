@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkwatch.llm.common import WORD
+from sparkwatch.llm.common import WORD, free_name
 from sparkwatch.session import stored
 
 
@@ -169,7 +169,8 @@ def apply_mix(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str
     Texts taken once and whole do not leave the JVM.
     """
     parts = ["rounds", "part_from", "part_to", "wrap_to"]
-    plan = mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.struct(*parts)).alias("_mix"))
+    own, part = free_name(df, "_id_of_parts"), free_name(df, "_parts")
+    plan = mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias(own)).agg(F.min(F.struct(*parts)).alias(part))
 
     def cut(texts: pa.Array, plans: pa.Array) -> pa.Array:
         made = []
@@ -177,7 +178,7 @@ def apply_mix(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str
             made.append(None if x is None else taken_text(x, *[p[k] for k in parts]))
         return pa.array(made, pa.string())
 
-    rows = df.join(plan, df[doc_id].eqNullSafe(plan["_mix_id"]))
-    once = (F.col("_mix.rounds") == 1) & (F.col("_mix.part_to") == 0) & (F.col("_mix.wrap_to") == 0)
-    changed = F.arrow_udf(cut, "string")(F.when(~once, F.col(text)), F.col("_mix"))
+    rows = df.join(plan, F.col(doc_id).eqNullSafe(F.col(own)))
+    once = (F.col(f"{part}.rounds") == 1) & (F.col(f"{part}.part_to") == 0) & (F.col(f"{part}.wrap_to") == 0)
+    changed = F.arrow_udf(cut, "string")(F.when(~once, F.col(text)), F.col(part))
     return rows.withColumn(text, F.when(once, F.col(text)).otherwise(changed)).select(*df.columns)

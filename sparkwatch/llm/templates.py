@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwatch.llm.common import maybe_in
+from sparkwatch.llm.common import free_name, maybe_in
 from sparkwatch.session import stored
 
 FIELD = "<*>"
@@ -104,7 +104,8 @@ def drop_templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     cannot make a majority. A column called ``n_dropped`` is replaced.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    drops = dropped_lines(rows, spec).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("pos").alias("_drop"))
+    own, lines = free_name(df, "_id_of_lines"), free_name(df, "_lines")
+    drops = dropped_lines(rows, spec).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("pos").alias(lines))
 
     def cut(texts: pa.Array, drop: pa.Array) -> pa.Array:
         made = []
@@ -113,11 +114,11 @@ def drop_templates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
             made.append(None if x is None else "\n".join(line for i, line in enumerate(x.split("\n")) if i not in gone))
         return pa.array(made, pa.string())
 
-    joined = df.drop(n_dropped).join(drops, F.col(doc_id) == F.col("_drop_id"), "left")
-    touched = F.col("_drop").isNotNull()
-    changed = F.arrow_udf(cut, "string")(F.when(touched, F.col(text)), F.col("_drop"))
+    joined = df.drop(n_dropped).join(drops, F.col(doc_id) == F.col(own), "left")
+    touched = F.col(lines).isNotNull()
+    changed = F.arrow_udf(cut, "string")(F.when(touched, F.col(text)), F.col(lines))
     out = joined.withColumn(text, F.when(touched, changed).otherwise(F.col(text)))
-    out = out.withColumn(n_dropped, F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
+    out = out.withColumn(n_dropped, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     return out.select(*df.drop(n_dropped).columns, n_dropped)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkwatch.llm import bpe, mixing, ngram_join, quality, templates
-from sparkwatch.llm.common import WORD, documents, labels
+from sparkwatch.llm.common import WORD, documents, free_name, labels
 from sparkwatch.session import stored
 
 
@@ -27,9 +27,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of recurring templates. A document goes if only words of such lines stood in it."""
-    done = templates.drop_templates(docs, n_dropped="_n_dropped")
-    left = (F.col("_n_dropped") == 0) | F.col("text").rlike(WORD)
-    return _recounted(done.where(left).drop("_n_dropped"))
+    dropped = free_name(docs, "n_dropped")
+    done = templates.drop_templates(docs, n_dropped=dropped)
+    left = (F.col(dropped) == 0) | F.col("text").rlike(WORD)
+    return _recounted(done.where(left).drop(dropped))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +48,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    done = bpe.decode(bpe.encode(docs, out="ids"), ids="ids", out="_decoded")
+    ids, decoded = free_name(docs, "ids"), free_name(docs, "decoded")
+    done = bpe.decode(bpe.encode(docs, out=ids), ids=ids, out=decoded)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return done.select(
         "doc_id",
         "lang",
         "source",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        (F.col("_decoded") == text).alias("round_trip"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        "ids",
+        (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
+        (F.col(decoded) == text).alias("round_trip"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.col(ids).alias("ids"),
     )
 
 

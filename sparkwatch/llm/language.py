@@ -7,6 +7,7 @@ predicted. Where the second best is nearly as small, the prediction is rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,6 +29,7 @@ class Languages:
     pieces: int = 256
     piece_chars: int = 1024
     languages: int = 64
+    slack: int = 4
     level: int = 9
     block: int = 4096
     #: Least lead of the best over the second best, as a share of the second best.
@@ -37,6 +39,18 @@ class Languages:
     seed: int = 5
 
 
+def _drawn(known: DataFrame, shares: dict[str, float], spec: Languages) -> list:
+    """The pieces with the smallest draws of each language, among that share of its documents."""
+    bounds = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, min(2**63 - 1, int(share * 2**64) - 2**63))])
+    draw = F.xxhash64(F.lit(spec.seed), "doc_id", "lang")
+    marked = known.where(F.col("lang").isin(list(shares))).select("lang", draw.alias("draw"), "doc_id", "text")
+    marked = marked.where(F.col("draw") <= F.element_at(bounds, F.col("lang")))
+    begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - spec.piece_chars + 1, F.lit(1))) + 1
+    marked = marked.withColumn("piece", F.substr("text", begin.cast("int"), F.lit(spec.piece_chars))).drop("text")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "piece"))
+    return marked.withColumn("rank", first).where(F.col("rank") <= spec.pieces).select("lang", "rank", "piece").collect()
+
+
 def learn(df: DataFrame, spec: Languages = Languages()) -> dict[str, bytes]:
     """Dictionary contents by language from ``doc_id, text, lang``, the language with most documents first: pieces of the
     documents with the smallest hashes of ids.
@@ -45,15 +59,16 @@ def learn(df: DataFrame, spec: Languages = Languages()) -> dict[str, bytes]:
     """
     known = df.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(spec.languages)
-    names = [r["lang"] for r in counts.collect()]
-    draw = F.xxhash64(F.lit(spec.seed), "doc_id", "lang")
-    marked = known.where(F.col("lang").isin(names)).select("lang", draw.alias("draw"), "doc_id", "text")
-    length = F.length("text")
-    begin = F.pmod(F.col("draw"), F.greatest(length - spec.piece_chars + 1, F.lit(1))) + 1
-    marked = marked.withColumn("piece", F.substr("text", begin.cast("int"), F.lit(spec.piece_chars))).drop("text")
-    # Spark keeps only the first ``pieces`` rows of a language in each partition before it shuffles them
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "piece"))
-    rows = marked.withColumn("rank", first).where(F.col("rank") <= spec.pieces).select("lang", "rank", "piece").collect()
+    found = {r["lang"]: r["count"] for r in counts.collect()}
+    names = list(found)
+    if not names:
+        return {}
+    # Draws are uniform, so of a language's n documents about ``slack`` times the wanted pieces are below this bound and get ranked.
+    rows = _drawn(known, {lang: min(1.0, spec.slack * spec.pieces / n) for lang, n in found.items()}, spec)
+    got = Counter(r["lang"] for r in rows)
+    few = {lang: 1.0 for lang, n in found.items() if got[lang] < min(n, spec.pieces)}
+    if few:
+        rows = [r for r in rows if r["lang"] not in few] + _drawn(known, few, spec)
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(r["piece"].lower())

@@ -1,11 +1,11 @@
 """Exact percentiles per group that do not gather a group in one task.
 
-Spark's own ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is
-the right tool while the input is known to be small, and the wrong one when a single group may
-hold a third of a huge table. Past a row bound, order statistics are therefore found by
-narrowing: value counts are spread over tasks by (group, value), a group's counts are summed
-per logarithmic bucket and then per linear slice of the bucket that holds the wanted rank, and
-only the few values of that slice are ordered.
+Spark's own ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a group may hold a third of a huge
+table. Order statistics are found by narrowing instead, at every size in the same way: values are counted (combined
+before the shuffle, spread by group and value), a group's counts are summed per logarithmic bucket and then per linear slice of
+the buckets that hold a wanted rank, and only the few values of those slices are ordered.
+
+Infinities have buckets of their own, and NaN is greater than any number, as in Spark's ordering.
 """
 
 from __future__ import annotations
@@ -14,76 +14,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Above this many input rows no single buffer may hold a whole group.
-BUFFER_ROWS = 4_000_000
 _PER_OCTAVE = 64
 _SLICES = 4096
+_OCTAVES = 1100
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    levels: Sequence[float],
-    out: str = "levels",
-    rows_bound: int | None = None,
-) -> DataFrame:
-    """One row per group: ``keys`` and ``out``, an array with one value per level.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], out: str = "levels") -> DataFrame:
+    """One row per group: ``keys`` and ``out``, an array with one value per level, linear between the nearest ranks.
 
-    ``rows_bound`` is a proven upper bound on the rows of any one group, if the caller has one;
-    otherwise the rows are counted.
+    NULL values do not count; a group without others has no row. Between infinities of different sign, and next to NaN, there is
+    only NaN.
     """
-    rows = df.where(F.col(value).isNotNull())
-    if (rows.count() if rows_bound is None else rows_bound) <= BUFFER_ROWS:
-        wanted = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in levels]))
-        return rows.groupBy(*keys).agg(wanted.alias(out))
-    return _by_narrowing(rows, list(keys), value, levels, out)
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, rows_bound: int | None = None) -> DataFrame:
-    found = exact_percentiles(df, keys, value, [0.5], "_at", rows_bound)
-    return found.select(*keys, F.col("_at")[0].alias(out))
-
-
-def _by_narrowing(rows: DataFrame, keys: list[str], value: str, levels: Sequence[float], out: str) -> DataFrame:
-    marked = rows.select(*keys, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
+    keys = list(keys)
+    marked = df.where(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
     group = keys + ["_all"]
     counts = marked.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _bucket(F.col("_v")))
 
-    buckets = counts.groupBy(*group, "_bucket").agg(
-        F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
+    buckets = counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     in_group = Window.partitionBy(*group)
-    buckets = buckets.select(
-        "*",
-        _before(Window.partitionBy(*group).orderBy("_bucket"), "_m").alias("_start"),
-        F.sum("_m").over(in_group).alias("_total"),
-    )
+    buckets = buckets.select("*", _before(in_group.orderBy("_bucket"), "_m").alias("_start"), F.sum("_m").over(in_group).alias("_total"))
     ranks = [edge for p in levels for edge in _rank_edges(p)]
     buckets = _holding(buckets.withColumn("_ranks", F.array_distinct(F.array(*ranks))), "_m")
 
-    span = F.col("_hi") - F.col("_lo")
-    slice_of = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * (_SLICES - 1))).otherwise(F.lit(0))
-    near = counts.join(
-        buckets.select(*group, "_bucket", "_lo", "_hi", "_start", "_total", "_ranks"), group + ["_bucket"]
-    ).select(*group, "_bucket", "_v", "_n", "_start", "_total", "_ranks", slice_of.alias("_slice"))
-
     at_bucket = group + ["_bucket"]
-    slices = near.groupBy(*at_bucket, "_slice").agg(
-        F.sum("_n").alias("_m"),
-        F.first("_start").alias("_base"),
-        F.first("_ranks").alias("_ranks"),
-        F.first("_total").alias("_total"),
-    )
-    slices = slices.withColumn(
-        "_start", F.col("_base") + _before(Window.partitionBy(*at_bucket).orderBy("_slice"), "_m")
-    )
-    slices = _holding(slices, "_m").select(*at_bucket, "_slice", "_start", "_total", "_ranks")
-
-    found = near.select(*at_bucket, "_slice", "_v", "_n").join(slices, at_bucket + ["_slice"])
-    ordered = Window.partitionBy(*at_bucket, "_slice").orderBy("_v")
+    carried = ["_start", "_total", "_ranks"]
+    near = counts.join(buckets.select(*at_bucket, "_lo", "_hi", *carried), at_bucket).select(*at_bucket, "_v", "_n", *carried, _slice().alias("_slice"))
+    slices = near.groupBy(*at_bucket, "_slice").agg(F.sum("_n").alias("_m"), *[F.first(c).alias(c) for c in carried])
+    slices = slices.withColumn("_start", F.col("_start") + _before(Window.partitionBy(*at_bucket).orderBy("_slice"), "_m"))
+    slices = _holding(slices, "_m").select(*at_bucket, "_slice", *carried)
+
+    at_slice = at_bucket + ["_slice"]
+    found = near.select(*at_slice, "_v", "_n").join(slices, at_slice)
+    ordered = Window.partitionBy(*at_slice).orderBy("_v")
     found = _holding(found.withColumn("_start", F.col("_start") + _before(ordered, "_n")), "_n")
-
     picked = (
         found.select(*group, "_v", "_total", F.explode("_ranks").alias("_rank"))
         .groupBy(*group)
@@ -95,14 +58,32 @@ def _by_narrowing(rows: DataFrame, keys: list[str], value: str, levels: Sequence
         low, high = _rank_edges(p)
         weight = (F.col("_total") - 1) * F.lit(float(p)) - low
         below, above = F.element_at("_at", low), F.element_at("_at", high)
-        answers.append(F.when(weight == 0, below).otherwise(below + (above - below) * weight))
+        answers.append(F.when((weight == 0) | (below == above), below).otherwise(below + (above - below) * weight))
     return picked.select(*keys, F.array(*answers).alias(out))
 
 
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    found = exact_percentiles(df, keys, value, [0.5], "_at")
+    return found.select(*keys, F.col("_at")[0].alias(out))
+
+
 def _bucket(v: Column) -> Column:
     """A coarse, order-preserving bucket of a double: sign, then a slice of its octave."""
-    size = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(_PER_OCTAVE)).cast("long") + F.lit(1)
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    size = F.floor((F.log2(F.abs(v)) + F.lit(float(_OCTAVES))) * F.lit(_PER_OCTAVE)).cast("long") + 1
+    last = 4 * _OCTAVES * _PER_OCTAVE
+    finite = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    return (
+        F.when(F.isnan(v), F.lit(last + 1).cast("long"))
+        .when(v == float("inf"), F.lit(last).cast("long"))
+        .when(v == float("-inf"), F.lit(-last).cast("long"))
+        .otherwise(finite)
+    )
+
+
+def _slice() -> Column:
+    """A linear slice of a bucket; one of equal values (among them infinities and NaN) has a single one."""
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    return F.when(F.col("_lo") < F.col("_hi"), F.floor(share * (_SLICES - 1))).otherwise(F.lit(0).cast("long"))
 
 
 def _rank_edges(level: float) -> tuple[Column, Column]:
@@ -120,5 +101,3 @@ def _holding(df: DataFrame, width: str) -> DataFrame:
     start, end = F.col("_start"), F.col("_start") + F.col(width)
     kept = F.filter("_ranks", lambda r: (r >= start) & (r < end))
     return df.withColumn("_ranks", kept).where(F.size("_ranks") > 0)
-
-

@@ -40,13 +40,13 @@ class BoostConfig:
         return 2 ** (self.depth + 1)
 
 
-def fit(train: DataFrame, features: Sequence[str], config: BoostConfig = BoostConfig(), rows_bound: int | None = None) -> DataFrame:
+def fit(train: DataFrame, features: Sequence[str], config: BoostConfig = BoostConfig()) -> DataFrame:
     """Model table, one row per series: bin ``edges``, ``base`` predictions and the ``trees``.
 
     ``train`` holds the series, ``target`` and the feature columns.
     """
     edges = stored(bin_edges(train, features, config.bins))
-    base = stored(exact_percentiles(train, SERIES, "target", config.levels, "base", rows_bound))
+    base = stored(exact_percentiles(train, SERIES, "target", config.levels, "base"))
     rows = stored(
         train.join(edges, SERIES)
         .join(base, SERIES)

@@ -61,18 +61,17 @@ def fit_ladder(
     train: DataFrame,
     levels: Sequence[float] = LEVELS,
     min_bucket: int = MIN_BUCKET_ROWS,
-    rows_bound: int | None = None,
 ) -> DataFrame:
     """Model table: per series and hour of day the quantiles of the change, and per series (hour NULL)."""
     hourly = train.withColumn("hour", F.hour("timestamp"))
     keys = SERIES + ["hour"]
     sizes = hourly.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     by_hour = (
-        exact_percentiles(hourly, keys, "target", levels, "quantiles", rows_bound)
+        exact_percentiles(hourly, keys, "target", levels, "quantiles")
         .join(sizes.where(F.col("rows") >= min_bucket), keys)
         .select(*keys, "quantiles")
     )
-    overall = exact_percentiles(train, SERIES, "target", levels, "quantiles", rows_bound)
+    overall = exact_percentiles(train, SERIES, "target", levels, "quantiles")
     return by_hour.unionByName(overall.select(*SERIES, F.lit(None).cast("int").alias("hour"), "quantiles"))
 
 

@@ -150,19 +150,19 @@ def at_lag(window: WindowSpec, steps: int, value: str | Column = "value") -> Col
     return F.max(value).over(window.rangeBetween(-steps, -steps))
 
 
-def step_seconds(grid: DataFrame, rows_bound: int | None = None) -> DataFrame:
+def step_seconds(grid: DataFrame) -> DataFrame:
     """One row, ``step_seconds``: the median gap between successive timestamps."""
     axis = chunked(axis_of(grid), 1, by=[])
     micros = F.unix_micros("timestamp")
     gaps = own_rows(
         axis.withColumn("_gap", (micros - at_lag(chunk_window([]), 1, micros)) / F.lit(1e6))
     ).where(F.col("_gap").isNotNull())
-    return exact_median(gaps, [], "_gap", "step_seconds", rows_bound)
+    return exact_median(gaps, [], "_gap", "step_seconds")
 
 
-def require_step(grid: DataFrame, rows_bound: int | None = None) -> float:
+def require_step(grid: DataFrame) -> float:
     """The step as a number; an axis of fewer than two timestamps has none."""
-    row = step_seconds(grid, rows_bound).first()
+    row = step_seconds(grid).first()
     if row is None or row["step_seconds"] is None:
         raise ValueError("need at least two timestamps to tell the step")
     return float(row["step_seconds"])
@@ -183,8 +183,9 @@ def unpivot(table: DataFrame, separator: str = "/") -> DataFrame:
 
 
 def clean_cells(labelled: DataFrame, order: list[str]) -> DataFrame:
-    """Cells with ``clean``: the first label by ``order`` says healthy; a cell without label is not clean."""
-    first = F.min_by("is_anomalous", F.struct(*order))
+    """Cells with ``clean``: the first label by ``order`` that is there says healthy; a cell without label is not clean."""
+    # min_by leaves out rows whose order is NULL
+    first = F.min_by("is_anomalous", F.when(F.col("is_anomalous").isNotNull(), F.struct(*order)))
     return labelled.groupBy(*CELL).agg(
         F.avg("value").alias("value"), (~F.coalesce(first, F.lit(True))).alias("clean")
     )

@@ -20,9 +20,13 @@ LEAST_RATE = 1e-9
 
 
 def increases(samples: DataFrame, labels: Sequence[str], window_seconds: int) -> DataFrame:
-    """Growth of each counter since its previous sample within the window; a drop is a reset to 0."""
+    """Growth of each counter since its previous sample within the window; a drop is a reset to 0.
+
+    Samples without a number (NULL or NaN) are not there: the next one grows from the one before them.
+    """
     span = window_seconds * MICROS
-    laid = chunked(samples.withColumn("_at", F.unix_micros("timestamp")), span, 8 * span, list(labels), "_at")
+    there = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    laid = chunked(there.withColumn("_at", F.unix_micros("timestamp")), span, 8 * span, list(labels), "_at")
     before = F.last("value").over(chunk_window(list(labels), "_at").rangeBetween(-span + 1, -1))
     rows = own_rows(laid.withColumn("_before", before)).where(F.col("_before").isNotNull())
     grown = F.when(F.col("value") < F.col("_before"), F.col("value")).otherwise(F.col("value") - F.col("_before"))
@@ -92,11 +96,9 @@ def latency_p95_ms(rates: DataFrame) -> DataFrame:
     return histogram_percentile(rates, 0.95).withColumn("value", F.col("value") * 1000)
 
 
-def raw_percentile(
-    events: DataFrame, by: Sequence[str], value: str = "value", level: float = 0.95, rows_bound: int | None = None
-) -> DataFrame:
+def raw_percentile(events: DataFrame, by: Sequence[str], value: str = "value", level: float = 0.95) -> DataFrame:
     """The exact percentile, where single observations are at hand."""
-    found = exact_percentiles(events, by, value, [level], "_at", rows_bound)
+    found = exact_percentiles(events, by, value, [level], "_at")
     return found.select(*by, F.col("_at")[0].alias("value"))
 
 

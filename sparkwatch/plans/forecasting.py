@@ -27,7 +27,6 @@ class ForecastPlan:
     halflife: float = 20.0
     levels: Sequence[float] = LEVELS
     history: str = "slice"
-    rows_bound: int | None = None
     services: Sequence[str] | None = None
 
 
@@ -53,7 +52,7 @@ def train_changes(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
 
 def fit(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
     """Model table of the ladder forecaster."""
-    return forecast.fit_ladder(train_changes(grid, plan), plan.levels, rows_bound=plan.rows_bound)
+    return forecast.fit_ladder(train_changes(grid, plan), plan.levels)
 
 
 def predictions(grid: DataFrame, plan: ForecastPlan, model: DataFrame | None = None) -> DataFrame:
@@ -83,7 +82,7 @@ def boosted_predictions(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec,
     train, test = boosted_rows(grid, plan, spec)
     train = stored(train)
     forecast.require_rows(forecast.training_counts(chosen(grid, plan), train))
-    model = boosting.fit(train, spec.names, config, plan.rows_bound)
+    model = boosting.fit(train, spec.names, config)
     return boosting.predict(test, spec.names, model, config)
 
 

@@ -86,7 +86,6 @@ def impact(
     hops: DataFrame,
     before: Column,
     after: Column,
-    rows_bound: int | None = None,
 ) -> DataFrame:
     """Median CPU and p95 latency per service in two windows, with their distance from the origin.
 
@@ -96,7 +95,7 @@ def impact(
     side = F.when(before, F.lit("before")).when(after, F.lit("after"))
     sided = telemetry.where(F.col("metric").isin("cpu_pct", "latency_p95_ms")).withColumn("_side", side)
     medians = exact_percentiles(
-        sided.where(F.col("_side").isNotNull()), ["service", "metric", "_side"], "value", [0.5], "_at", rows_bound
+        sided.where(F.col("_side").isNotNull()), ["service", "metric", "_side"], "value", [0.5], "_at"
     )
 
     def pick(metric: str, when: str) -> Column:

@@ -95,7 +95,7 @@ def latency_p95_hist(spark, sf):
 @query
 def latency_p95_exact(spark, sf):
     rows = t.hourly(t.events(spark, sf))
-    return scrape.raw_percentile(rows, ["timestamp", "service"], rows_bound=t.event_count(spark, sf))
+    return scrape.raw_percentile(rows, ["timestamp", "service"])
 
 
 @query
@@ -129,7 +129,7 @@ def wide_unpivot(spark, sf):
 
 @query
 def step_seconds(spark, sf):
-    return grid.step_seconds(t.sparse(spark, sf), t.event_count(spark, sf))
+    return grid.step_seconds(t.sparse(spark, sf))
 
 
 @query
@@ -192,7 +192,7 @@ def k_sigma_alerts(spark, sf):
 def _alert_rate(spark, sf, fleet=None):
     seen = t.sparse(spark, sf)
     alerts = baselines.k_sigma_alerts(seen, t.WINDOW)
-    step = grid.step_seconds(seen, t.event_count(spark, sf)).scalar()
+    step = grid.step_seconds(seen).scalar()
     return baselines.alert_rate(alerts, step, alerting.grid_cells(seen), fleet)
 
 
@@ -209,7 +209,7 @@ def alert_projection(spark, sf):
 @query
 def threshold_cost_report(spark, sf):
     seen = t.sparse(spark, sf)
-    step = grid.step_seconds(seen, t.event_count(spark, sf)).scalar()
+    step = grid.step_seconds(seen).scalar()
     return alerting.threshold_cost(seen, alerting.grid_cells(seen), step, t.WINDOW)
 
 
@@ -395,7 +395,7 @@ def honesty_histogram(spark, sf):
 @query
 def run_header(spark, sf):
     seen = t.clean_grid(spark, sf)
-    step = grid.step_seconds(seen, t.event_count(spark, sf)).scalar()
+    step = grid.step_seconds(seen).scalar()
     return forecasting.run_header(seen, t.forecast_plan(spark, sf), step)
 
 
@@ -476,7 +476,7 @@ def incident_summary(spark, sf):
 
 @query
 def run_manifest(spark, sf):
-    step = grid.step_seconds(t.sparse(spark, sf), t.event_count(spark, sf)).scalar()
+    step = grid.step_seconds(t.sparse(spark, sf)).scalar()
     return incident_plans.run_manifest(t.labelled(spark, sf), t.incidents(spark, sf), step)
 
 
@@ -533,5 +533,4 @@ def fault_validate(spark, sf):
 def impact_report(spark, sf):
     middle = F.lit("2024-01-16").cast("timestamp")
     before, after = F.col("timestamp") < middle, F.col("timestamp") >= middle
-    bound = len(t.GAUGES) * t.event_count(spark, sf)
-    return incident_plans.impact(t.telemetry(spark, sf), "s4", t.hops(spark, sf), before, after, bound)
+    return incident_plans.impact(t.telemetry(spark, sf), "s4", t.hops(spark, sf), before, after)

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sparkwatch.functions.percentiles import BUFFER_ROWS, exact_percentiles
+from sparkwatch.functions.percentiles import exact_percentiles
 from sparkwatch.functions.profiles import KINDS, PERMANENT_KIND
 from sparkwatch.operators import graph, labels, overlay
 from sparkwatch.operators.features import FeatureSpec
@@ -38,11 +38,6 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def event_count(spark: SparkSession, sf: str) -> int:
-    """From the Parquet footers: no column is read."""
-    return spark.read.parquet(f"{sf}/events.parquet").count()
-
-
 def hourly(rows: DataFrame) -> DataFrame:
     return rows.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
 
@@ -51,19 +46,14 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
     """Long telemetry: five metrics per service and hour."""
     rows = hourly(events(spark, sf))
     by = ["timestamp", "service"]
-    bound = event_count(spark, sf)
     aggregates = [
         (F.count(F.lit(1)) / F.lit(float(HOUR))).alias("request_rate_rps"),
         F.avg((F.col("event_type") == "error").cast("double")).alias("error_rate"),
         F.least(F.avg("value"), F.lit(100.0)).alias("cpu_pct"),
         F.max("value").alias("mem_mb"),
     ]
-    if bound <= BUFFER_ROWS:
-        per_hour = rows.groupBy(*by).agg(*aggregates, F.percentile("value", F.lit(0.95)).alias("latency_p95_ms"))
-    else:
-        slow = exact_percentiles(rows, by, "value", [0.95], "_at", bound)
-        slow = slow.select(*by, F.col("_at")[0].alias("latency_p95_ms"))
-        per_hour = rows.groupBy(*by).agg(*aggregates).join(slow, by, "left")
+    slow = exact_percentiles(rows, by, "value", [0.95], "_at").select(*by, F.col("_at")[0].alias("latency_p95_ms"))
+    per_hour = rows.groupBy(*by).agg(*aggregates).join(slow, by, "left")
     return per_hour.unpivot(by, list(GAUGES), "metric", "value")
 
 
@@ -73,8 +63,7 @@ def sparse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecast_plan(spark: SparkSession, sf: str, **changes) -> ForecastPlan:
-    """Every telemetry row stems from at least one event, so events bound the rows of any group."""
-    return ForecastPlan(day=DAY, rows_bound=len(GAUGES) * event_count(spark, sf), **changes)
+    return ForecastPlan(day=DAY, **changes)
 
 
 # --- call graph -----------------------------------------------------------------------------

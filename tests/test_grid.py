@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import START, column, gappy, same, sparse_grid, telemetry, times
-from sparkwatch.functions.percentiles import _by_narrowing, exact_percentiles
+from sparkwatch.functions.percentiles import exact_percentiles
 from sparkwatch.operators import grid
 from sparkwatch.schema import as_telemetry, within_bounds
 
@@ -84,7 +84,7 @@ def test_bounds(spark):
     assert got == [1.0, 100.0, 5e6, 0.0, None]
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "signs", "narrow", "outlier", "one"])
+@pytest.mark.parametrize("kind", ["normal", "ties", "signs", "narrow", "outlier", "one", "infinite", "NaN"])
 def test_percentiles_by_narrowing_equal_the_builtin(spark, kind):
     rng = np.random.default_rng(3)
     n = 3000
@@ -95,16 +95,19 @@ def test_percentiles_by_narrowing_equal_the_builtin(spark, kind):
         "narrow": 2048 + rng.normal(0, 1e-6, n),
         "outlier": np.append(rng.normal(5, 1, n), 1e300),
         "one": np.array([7.25]),
+        "infinite": np.concatenate([rng.normal(0, 1, n), [np.inf] * 200, [-np.inf] * 40, [-0.0, 0.0, 5e-324, -5e-324, 1.7e308]]),
+        "NaN": np.concatenate([rng.normal(0, 1, 50), [np.nan] * 30, [np.inf] * 3]),
     }[kind]
     # one key holds most of the rows
     rows = [("hot", float(v)) for v in values] + [("cold", float(v)) for v in values[: max(1, len(values) // 7)]]
     df = spark.createDataFrame(rows, "k string, v double")
     levels = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
-    want = {r["k"]: r["levels"] for r in exact_percentiles(df, ["k"], "v", levels).collect()}
-    got = {r["k"]: r["levels"] for r in _by_narrowing(df, ["k"], "v", levels, "levels").collect()}
+    spark_own = F.percentile("v", F.array(*[F.lit(p) for p in levels])).alias("levels")
+    want = {r["k"]: r["levels"] for r in df.groupBy("k").agg(spark_own).collect()}
+    got = {r["k"]: r["levels"] for r in exact_percentiles(df, ["k"], "v", levels).collect()}
     assert got.keys() == want.keys()
     for k in want:
-        same(got[k], want[k], 1e-12)
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-12)
 
 
 def test_chunks_do_not_change_windows(spark):

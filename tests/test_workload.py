@@ -5,7 +5,6 @@ import os
 import pytest
 
 import __spark_entry__ as contract
-from sparkwatch.functions import percentiles
 from sparkwatch.operators import forecast
 from sparkwatch.plans import forecasting
 from sparkwatch.workload import tables
@@ -53,15 +52,6 @@ def test_too_few_clean_rows_is_an_error_here(spark):
         forecast.require_rows(forecast.training_counts(grid, train))
 
 
-def test_telemetry_is_the_same_beyond_the_row_bound(spark, monkeypatch):
-    near = tables.telemetry(spark, SF)
-    rows = sorted((str(r["timestamp"]), r["service"], r["metric"], round(r["value"], 9)) for r in near.collect())
-    monkeypatch.setattr(tables, "BUFFER_ROWS", 10)
-    monkeypatch.setattr(percentiles, "BUFFER_ROWS", 10)
-    far = tables.telemetry(spark, SF)
-    assert sorted((str(r["timestamp"]), r["service"], r["metric"], round(r["value"], 9)) for r in far.collect()) == rows
-
-
 def test_only_needed_columns_are_read(spark):
     plan = tables.telemetry(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan

@@ -199,9 +199,11 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     measured = stored(measure(rows, spec))
     tables = stored(bands(measured, spec))
     own = tables.where(F.col("lang").isNotNull() & (F.col("n_documents") >= spec.documents)).select("lang", F.col("middle").alias("_middle"), F.col("spread").alias("_spread"))
-    # one row of six numbers
-    common = F.broadcast(tables.where(F.col("lang").isNull()).select(F.col("middle").alias("_all_middle"), F.col("spread").alias("_all_spread"), F.lit(1).alias("_one")))
-    joined = measured.withColumn("_one", F.lit(1)).join(common, "_one", "left").join(own, "lang", "left")
+    # one row of six numbers, as scalar subqueries
+    common = tables.where(F.col("lang").isNull())
+    joined = measured.join(own, "lang", "left")
+    for c in ("middle", "spread"):
+        joined = joined.withColumn(f"_all_{c}", common.select(c).scalar())
     joined = joined.withColumn("middle", F.coalesce("_middle", "_all_middle")).withColumn("spread", F.coalesce("_spread", "_all_spread"))
     parts = []
     for i, name in enumerate(spec.vocabularies):

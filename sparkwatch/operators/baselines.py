@@ -198,10 +198,9 @@ def alert_rate(
     Rows with NULL ``alert`` do not count as cells. For a sparse frame pass the number of grid
     cells, which includes those without a sample.
     """
-    usable = F.count("alert") if grid_cells is None else F.max(grid_cells)
-    counted = alerts.agg(
-        F.coalesce(F.sum(F.col("alert").cast("long")), F.lit(0)).alias("alerts"), usable.cast("long").alias("cells")
-    )
+    counted = alerts.agg(F.coalesce(F.sum(F.col("alert").cast("long")), F.lit(0)).alias("alerts"), F.count("alert").alias("cells"))
+    if grid_cells is not None:
+        counted = counted.withColumn("cells", F.coalesce(grid_cells, F.lit(0)).cast("long"))
     rate = rate_per_series_day(F.col("alerts"), F.col("cells"), step)
     counted = counted.withColumn("alerts_per_series_per_day", rate)
     if fleet is None:

@@ -28,6 +28,10 @@ class ForecastPlan:
     levels: Sequence[float] = LEVELS
     history: str = "slice"
     services: Sequence[str] | None = None
+    #: False fits levels instead of changes since the last observation.
+    residual_target: bool = True
+    #: Least clean training rows of a series; 0 lets any series through.
+    least_rows: int = forecast.MIN_TRAINING_ROWS
 
 
 def chosen(rows: DataFrame, plan: ForecastPlan) -> DataFrame:
@@ -38,21 +42,28 @@ def chosen(rows: DataFrame, plan: ForecastPlan) -> DataFrame:
 def test_changes(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
     """Anchors of the test rows. With ``history="slice"`` the first test row has no past."""
     if plan.history == "slice":
-        return forecast.with_change(chosen(split(grid, plan.fraction)[1], plan))
+        return forecast.with_change(chosen(split(grid, plan.fraction)[1], plan), plan.residual_target)
     if plan.history == "full":
         cut = split_position(grid, plan.fraction)
-        return forecast.with_change(chosen(grid, plan)).where(F.col("pos") >= cut)
+        return forecast.with_change(chosen(grid, plan), plan.residual_target).where(F.col("pos") >= cut)
     raise ValueError("history must be 'slice' or 'full'")
 
 
 def train_changes(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
     """The clean rows of the training part."""
-    return forecast.training_rows(forecast.with_change(chosen(split(grid, plan.fraction)[0], plan)))
+    return forecast.training_rows(forecast.with_change(chosen(split(grid, plan.fraction)[0], plan), plan.residual_target))
 
 
 def fit(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Model table of the ladder forecaster."""
-    return forecast.fit_ladder(train_changes(grid, plan), plan.levels)
+    """Model table of the ladder forecaster. A series with fewer than ``plan.least_rows`` clean rows is an error."""
+    train = stored(train_changes(grid, plan))
+    check_rows(grid, plan, train)
+    return forecast.fit_ladder(train, plan.levels)
+
+
+def check_rows(grid: DataFrame, plan: ForecastPlan, train: DataFrame) -> None:
+    if plan.least_rows > 0:
+        forecast.require_rows(forecast.training_counts(chosen(grid, plan), train), plan.least_rows)
 
 
 def predictions(grid: DataFrame, plan: ForecastPlan, model: DataFrame | None = None) -> DataFrame:
@@ -69,7 +80,7 @@ def boosted_rows(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec) -> tupl
     early, late = split(grid, plan.fraction)
 
     def ready(part: DataFrame) -> DataFrame:
-        return features.build(forecast.with_change(chosen(part, plan)), spec)
+        return features.build(forecast.with_change(chosen(part, plan), plan.residual_target), spec)
 
     train = forecast.training_rows(ready(early))
     if plan.history == "slice":
@@ -81,7 +92,7 @@ def boosted_predictions(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec,
     """Test cells with the ladder ``q`` of boosted trees. A series with too few clean rows is an error."""
     train, test = boosted_rows(grid, plan, spec)
     train = stored(train)
-    forecast.require_rows(forecast.training_counts(chosen(grid, plan), train))
+    check_rows(grid, plan, train)
     model = boosting.fit(train, spec.names, config)
     return boosting.predict(test, spec.names, model, config)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from sparkwatch.schema import INCIDENTS, LABELLED, as_telemetry, missing_as_null
 
@@ -15,9 +16,24 @@ RESPONSE = (
 )
 
 
+def _csv_by_name(spark: SparkSession, path: str, schema: StructType, optional: Iterable[str] = ()) -> DataFrame:
+    """Columns of CSV files by the names in their header, in any order, cast to ``schema``.
+
+    A column that is unknown, or missing and not ``optional``, is an error. A field that is not a value of its type is one when it is
+    read, rather than NULL. Lists stay strings.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+    known = {f.name: f.dataType for f in schema}
+    unknown = sorted(set(raw.columns) - set(known))
+    missing = sorted(set(known) - set(raw.columns) - set(optional))
+    if unknown or missing:
+        raise ValueError(f"{path}: unknown columns {unknown}, missing columns {missing}")
+    return raw.select(*[F.col(n).cast("string" if isinstance(t, ArrayType) else t).alias(n) for n, t in known.items() if n in raw.columns])
+
+
 def read_labelled_csv(spark: SparkSession, path: str, metrics: Iterable[str] | None = None) -> DataFrame:
     """A labelled run from (gzipped) CSV. One gzip file is one task: keep runs in many files, or in Parquet."""
-    rows = spark.read.schema(LABELLED).option("header", True).csv(path)
+    rows = _csv_by_name(spark, path, LABELLED)
     rows = rows.withColumn("incident_id", F.coalesce("incident_id", F.lit("")))
     return only_metrics(as_telemetry(rows), metrics)
 
@@ -28,13 +44,17 @@ def read_telemetry(spark: SparkSession, path: str, metrics: Iterable[str] | None
 
 
 def read_incidents_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An incident table with comma-joined services, back to lists."""
-    fields = ", ".join(
-        f"`{f.name}` {'string' if f.name == 'affected_services' else f.dataType.simpleString()}" for f in INCIDENTS
-    )
-    flat = spark.read.schema(fields).option("header", True).csv(path)
+    """An incident table with comma-joined services, back to lists.
+
+    Without an ``ordinal`` column the number in the incident's id is its place. Runs of a live mesh have no magnitude and no
+    permanent incidents: those columns may be left out too.
+    """
+    flat = _csv_by_name(spark, path, INCIDENTS, optional=("ordinal", "magnitude", "permanent"))
     parts = F.filter(F.split(F.coalesce("affected_services", F.lit("")), ","), lambda s: s != "")
-    return flat.withColumn("affected_services", parts)
+    flat = flat.withColumn("affected_services", parts)
+    number = F.regexp_extract("incident_id", "^INC-([0-9]+)$", 1)
+    defaults = {"ordinal": number.cast("long"), "magnitude": F.lit(None).cast("double"), "permanent": F.lit(False)}
+    return flat.withColumns({n: c for n, c in defaults.items() if n not in flat.columns}).select(*INCIDENTS.names)
 
 
 def only_metrics(telemetry: DataFrame, metrics: Iterable[str] | None) -> DataFrame:

@@ -121,3 +121,10 @@ def test_partition_count_and_row_order_do_not_matter(spark):
         assert sorted(map(str, baselines.ewma(baselines.with_rolling(shuffled, 48)).collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_alert_rate_of_an_empty_sparse_grid(spark):
+    g = sparse_grid(spark, {("a", "m"): [1.0, 2.0]}).where("pos > 5")
+    alerts = baselines.k_sigma_alerts(g, window=4)
+    row = baselines.alert_rate(alerts, 60.0, alerting.grid_cells(g), fleet=7).first()
+    assert (row["alerts"], row["cells"], row["alerts_per_series_per_day"], row["daily_alerts"]) == (0, 0, 0.0, 0.0)

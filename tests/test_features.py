@@ -42,7 +42,7 @@ def test_nothing_peeks(spark):
 
 
 def test_midnight_wraps(spark):
-    df = spark.createDataFrame([("2026-01-01 23:59:45",), ("2026-01-02 00:00:00",), ("2026-01-01 12:00:00",)], "t string")
+    df = spark.createDataFrame([("2026-05-09 23:59:20",), ("2026-05-10 00:00:00",), ("2026-05-09 15:30:00",)], "t string")
     rows = df.select(F.col("t").cast("timestamp").alias("timestamp")).select(*features.calendar()).collect()
     near = abs(rows[0]["day_sin"] - rows[1]["day_sin"]) + abs(rows[0]["day_cos"] - rows[1]["day_cos"])
     far = abs(rows[2]["day_sin"] - rows[1]["day_sin"]) + abs(rows[2]["day_cos"] - rows[1]["day_cos"])

@@ -122,3 +122,18 @@ def test_one_split_is_the_best_split(spark):
     assert split["feature"] == 1
     assert model["edges"][1][split["bin"]] == 11.0
     assert split["missing_left"] is False
+
+
+def test_too_few_rows_stop_the_ladder_too(spark):
+    g = sparse_grid(spark, {("a", "m"): list(range(20))}).withColumn("clean", F.lit(True))
+    with pytest.raises(ValueError, match="a/m: only"):
+        forecasting.fit(g, forecasting.ForecastPlan(day=4))
+    assert forecasting.fit(g, forecasting.ForecastPlan(day=4, least_rows=0)).count() == 1
+
+
+def test_level_targets_in_a_plan(spark):
+    g = sparse_grid(spark, {("a", "m"): [float(10 + i % 2) for i in range(60)]}).withColumn("clean", F.lit(True))
+    plan = forecasting.ForecastPlan(day=4, least_rows=0, residual_target=False, levels=(0.1, 0.5, 0.9))
+    rows = forecasting.predictions(g, plan).collect()
+    assert all(r["q"] == [10.0, 10.5, 11.0] or r["q"] == [10.0, 10.0, 11.0] or r["q"] == [10.0, 11.0, 11.0] for r in rows)
+    assert len(rows) == 18 and all(r["q"] is not None for r in rows)

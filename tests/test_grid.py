@@ -118,3 +118,11 @@ def test_chunks_do_not_change_windows(spark):
         cut = grid.own_rows(grid.chunked(g, back, rows=11).withColumn("x", grid.at_lag(w, back)))
         assert whole.count() == cut.count() == g.count()
         assert whole.exceptAll(cut).count() == 0
+
+
+def test_first_label_that_is_there_counts(spark):
+    at = START.to_pydatetime()
+    rows = [(at, "a", "m", 1.0, None, "0"), (at, "a", "m", 1.0, False, "1"), (at, "b", "m", 1.0, None, "0"), (at, "c", "m", 1.0, True, "0"), (at, "c", "m", 1.0, False, "1")]
+    df = spark.createDataFrame(rows, "timestamp timestamp, service string, metric string, value double, is_anomalous boolean, place string")
+    got = {r["service"]: r["clean"] for r in grid.clean_cells(df, ["place"]).collect()}
+    assert got == {"a": True, "b": False, "c": False}

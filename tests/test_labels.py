@@ -8,18 +8,19 @@ from sparkwatch.operators import labels
 from sparkwatch.plans import incidents as plans
 from sparkwatch.schema import METRICS
 
-ALL = ("postgres", "product-catalog", "payment")
+ALL = ("ledger", "stock", "maps", "batch")
+STEP, STEPS = 40, 16
 SCHEMA = (
     "ordinal long, incident_id string, kind string, root_service string, start timestamp, end timestamp, affected_services array<string>"
 )
 
 
 def mesh(spark, services=ALL, metrics=("latency_p95_ms",)):
-    return telemetry(spark, {(s, m): [10.0] * 10 for s in services for m in metrics}, 15)
+    return telemetry(spark, {(s, m): [3.5] * STEPS for s in services for m in metrics}, STEP)
 
 
 def incidents(spark, *rows):
-    at = times(10, 15)
+    at = times(STEPS, STEP)
     data = [
         (n, f"INC-{n:04d}", kind, affected[0], at[a].to_pydatetime(), at[b].to_pydatetime(), affected)
         for n, (a, b, affected, kind) in enumerate(rows)
@@ -28,36 +29,36 @@ def incidents(spark, *rows):
 
 
 def flagged(df):
-    return {(r["service"], r["metric"], int((r["timestamp"] - times(1)[0].to_pydatetime().replace(tzinfo=None)).total_seconds() // 15)): r["incident_id"] for r in df.where("is_anomalous").collect()}
+    return {(r["service"], r["metric"], int((r["timestamp"] - times(1)[0].to_pydatetime().replace(tzinfo=None)).total_seconds() // STEP)): r["incident_id"] for r in df.where("is_anomalous").collect()}
 
 
 def test_window_is_closed_and_only_affected_services_are_marked(spark):
-    got = flagged(labels.label(mesh(spark), incidents(spark, (3, 6, ["postgres", "product-catalog"], "latency_injection"))))
-    assert set(got) == {(s, "latency_p95_ms", i) for s in ALL[:2] for i in (3, 4, 5, 6)}
+    got = flagged(labels.label(mesh(spark), incidents(spark, (5, 11, ["ledger", "stock"], "latency_injection"))))
+    assert set(got) == {(s, "latency_p95_ms", i) for s in ALL[:2] for i in range(5, 12)}
     assert set(got.values()) == {"INC-0000"}
 
 
 def test_comma_text_equals_list(spark):
-    table = incidents(spark, (2, 4, ["postgres", "product-catalog"], "latency_injection"))
+    table = incidents(spark, (1, 13, ["stock", "maps", "ledger"], "error_spike"))
     text = table.withColumn("affected_services", F.concat(F.array_join("affected_services", ","), F.lit(",")))
     assert flagged(labels.label(mesh(spark), text)) == flagged(labels.label(mesh(spark), table))
 
 
-@pytest.mark.parametrize("bucket", [15, 60, 21600])
+@pytest.mark.parametrize("bucket", [40, 90, 21600])
 def test_first_claim_wins(spark, bucket):
-    table = incidents(spark, (2, 6, ["postgres"], "latency_injection"), (4, 8, ["postgres"], "latency_injection"), (0, 9, ["postgres"], "latency_injection"))
+    table = incidents(spark, (3, 7, ["maps"], "latency_injection"), (6, 12, ["maps"], "cpu_saturation"), (1, 14, ["maps"], "memory_leak"))
     got = flagged(labels.label(mesh(spark), table, bucket_seconds=bucket))
-    want = {i: "INC-0002" for i in (0, 1, 9)} | {i: "INC-0000" for i in range(2, 7)} | {i: "INC-0001" for i in (7, 8)}
+    want = {i: "INC-0002" for i in (1, 2, 13, 14)} | {i: "INC-0000" for i in range(3, 8)} | {i: "INC-0001" for i in range(8, 13)}
     assert {k[2]: v for k, v in got.items()} == want
 
 
 def test_no_incidents_and_duplicate_rows(spark):
     rows = mesh(spark).unionByName(mesh(spark))
-    none = labels.label(rows, incidents(spark, (3, 6, ["postgres"], "latency_injection")).limit(0))
-    assert none.count() == 60 and none.where("is_anomalous").count() == 0
+    none = labels.label(rows, incidents(spark, (9, 10, ["batch"], "latency_injection")).limit(0))
+    assert none.count() == 128 and none.where("is_anomalous").count() == 0
     assert none.where("incident_id <> ''").count() == 0
-    some = labels.label(rows, incidents(spark, (3, 6, ["postgres"], "latency_injection")))
-    assert some.count() == 60 and some.where("is_anomalous").count() == 8
+    some = labels.label(rows, incidents(spark, (9, 10, ["batch"], "latency_injection")))
+    assert some.count() == 128 and some.where("is_anomalous").count() == 4
 
 
 def test_metrics_per_kind(spark):
@@ -72,20 +73,20 @@ def test_metrics_per_kind(spark):
 
 
 def test_cpu_is_marked_at_the_origin_only_and_memory_not_at_all(spark):
-    data = mesh(spark, ("payment", "checkout"), METRICS)
-    got = flagged(labels.label(data, incidents(spark, (2, 6, ["payment", "checkout"], "cpu_saturation"))))
-    assert {m for s, m, _ in got if s == "payment"} == {"cpu_pct", "latency_p95_ms", "error_rate"}
-    assert {m for s, m, _ in got if s == "checkout"} == {"latency_p95_ms", "error_rate"}
+    data = mesh(spark, ("pricing", "orders"), METRICS)
+    got = flagged(labels.label(data, incidents(spark, (0, 15, ["pricing", "orders"], "cpu_saturation"))))
+    assert {m for s, m, _ in got if s == "pricing"} == {"cpu_pct", "latency_p95_ms", "error_rate"}
+    assert {m for s, m, _ in got if s == "orders"} == {"latency_p95_ms", "error_rate"}
 
 
 def test_unknown_kind_fails(spark):
     with pytest.raises(Exception, match="unknown fault kind"):
         # counting would not need the labels at all
-        labels.label(mesh(spark), incidents(spark, (2, 6, ["payment"], "gremlins"))).collect()
+        labels.label(mesh(spark), incidents(spark, (4, 5, ["maps"], "gremlins"))).collect()
 
 
 def test_reports(spark):
-    table = incidents(spark, (3, 6, ["postgres", "product-catalog"], "latency_injection"), (7, 8, ["payment"], "error_spike"))
+    table = incidents(spark, (2, 4, ["ledger", "stock", "batch"], "latency_injection"), (10, 14, ["maps"], "error_spike"))
     marked = labels.label(mesh(spark), table)
     assert plans.label_problems(marked, table).count() == 0
     ghost = table.where("ordinal = 0")
@@ -93,12 +94,12 @@ def test_reports(spark):
     silent = table.withColumn("incident_id", F.concat("incident_id", F.lit("x"))).where("ordinal = 1")
     found = {r["problem"] for r in plans.label_problems(marked, table.unionByName(silent)).collect()}
     assert found == {"incident without label", "root not marked"}
-    assert plans.onset_order(marked).count() == 3
-    assert plans.summary_text(table) == "2 incidents, mean fan-out 1.5 services (error_spike: 1, latency_injection: 1)"
+    assert plans.onset_order(marked).count() == 4
+    assert plans.summary_text(table) == "2 incidents, mean fan-out 2.0 services (error_spike: 1, latency_injection: 1)"
     assert plans.summary_text(table.limit(0)) == "no incidents"
-    manifest = plans.run_manifest(marked, table, 15.0).first()
-    assert (manifest["services"], manifest["series"], manifest["rows"], manifest["incidents"]) == (3, 3, 30, 2)
-    assert manifest["anomalous_fraction"] == round(10 / 30, 6)
+    manifest = plans.run_manifest(marked, table, 40.0).first()
+    assert (manifest["services"], manifest["series"], manifest["rows"], manifest["incidents"]) == (4, 4, 64, 2)
+    assert manifest["anomalous_fraction"] == round(14 / 64, 6)
 
 
 def test_impact_report(spark):

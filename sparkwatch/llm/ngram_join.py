@@ -5,12 +5,14 @@
    n-grams, hence one within the first x - that + 1 of one set and y - that + 1 of the other.
 2. Equal sets are one class, represented by its smallest id. Only n-grams that two documents have in their prefixes go on.
 3. Pairs that share a prefix n-gram pass a length filter, a positional filter (enough n-grams stand at or behind the match) and a
-   suffix filter (both sets cut at the same places of the order: what their parts differ in size is part of what they differ
-   in). What is left is verified once per pair on the whole texts.
-4. Only links between different components can change the components. While the pairs between components outnumber the
-   entries of the lists by far, each list only compares its members with one of them, its pivot, which is linear in the list and
-   unites groups of near copies; then all remaining pairs between different components are compared. No pair that could
-   link two components is left out, and no group of copies is ever expanded into all its pairs.
+   suffix filter: both sets are cut into the same parts, and what the parts differ in size is part of what the sets differ
+   in. There are few parts along the order, with their sizes, and many by hash, of which it is enough to know whether
+   their sizes are odd. What is left is verified once per pair on the whole texts.
+4. Only links between different components can change the components. As long as that unites components, each list picks
+   pivots, each document is verified against the one pivot with which it shares most n-grams, and lists within one component
+   are done. This is linear in the lists and unites groups of near copies. Then all remaining pairs between
+   different components are compared. No pair that could link two components is left out, and no group of copies is ever
+   expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -39,10 +41,12 @@ class JaccardJoin:
     #: The count table has 2^count_bits entries, the id filter 2^filter_bits bits: fixed sizes, sent to every executor.
     count_bits: int = 18
     filter_bits: int = 25
-    #: Parts that the suffix filter compares.
+    #: Parts that the suffix filter compares: along the order, and by hash (a power of two, at least 64).
     parts: int = 32
-    #: Pairs per list entry up to which all pairs are compared directly.
-    direct: int = 4
+    odd_parts: int = 2048
+    #: Pivots of a list, and pairs per list entry up to which all pairs are compared directly.
+    pivots: int = 2
+    direct: float = 1.0
 
     def needed(self, both: Column) -> Column:
         """Least number of shared n-grams of two sets with so many together."""
@@ -118,11 +122,12 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _profiles(rows: DataFrame, order, spec: JaccardJoin) -> DataFrame:
-    """Per document: the size of its set, a 128-bit hash of it, the sizes of its parts, and its prefix, rarest n-gram first."""
+    """Per document: the size of its set, a 128-bit hash of it, the sizes of its parts along the order, which of its parts by hash
+    are odd, and its prefix, rarest n-gram first."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         by = order.value
-        sizes, first, second, parts, prefixes = [], [], [], [], []
+        sizes, first, second, parts, odd, prefixes = [], [], [], [], [], []
         for found in _sets(batch.column("text"), spec.size):
             keys = by.keys(found)
             n = len(keys)
@@ -130,11 +135,13 @@ def _profiles(rows: DataFrame, order, spec: JaccardJoin) -> DataFrame:
             first.append(mix(found).sum(dtype=np.uint64))
             second.append(mix(found ^ _OTHER).sum(dtype=np.uint64))
             parts.append(by.parts(keys).astype(np.int32))
+            spots = (found & np.uint64(spec.odd_parts - 1)).astype(np.int64)
+            odd.append(np.packbits((np.bincount(spots, minlength=spec.odd_parts) & 1).astype(bool)).view(np.int64))
             prefixes.append(keys[: n - -(-n * spec.percent // 100) + 1].view(np.int64) if n else np.zeros(0, np.int64))
         columns = [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64))]
-        return pa.RecordBatch.from_arrays([*columns, _lists(parts, pa.int32()), _lists(prefixes, pa.int64())], ["doc_id", "n", "ka", "kb", "parts", "prefix"])
+        return pa.RecordBatch.from_arrays([*columns, _lists(parts, pa.int32()), _lists(odd, pa.int64()), _lists(prefixes, pa.int64())], ["doc_id", "n", "ka", "kb", "parts", "odd", "prefix"])
 
-    return over_batches(rows, work, "doc_id long, n int, ka long, kb long, parts array<int>, prefix array<long>")
+    return over_batches(rows, work, "doc_id long, n int, ka long, kb long, parts array<int>, odd array<long>, prefix array<long>")
 
 
 def _passing(spec: JaccardJoin) -> Column:
@@ -144,22 +151,22 @@ def _passing(spec: JaccardJoin) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * spec.percent) & (n - F.col("pos") >= need) & (m - F.col("_pos") >= need)
 
 
-def _pair() -> list[Column]:
-    return [F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")]
-
-
 def _underscored(df: DataFrame, *names: str) -> DataFrame:
     return df.select("g", *[F.col(c).alias(f"_{c}") for c in names])
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, spec: JaccardJoin) -> DataFrame:
     """``a, b, linked`` of the pairs that pass the suffix filter, by the whole texts."""
-    side = profiles.select("doc_id", "n", "parts")
-    left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-    right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    left = profiles.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "parts", "odd")])
+    right = profiles.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "parts", "odd")])
+
+    def total(each: Column) -> Column:
+        return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+
+    apart = total(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)))
+    uneven = total(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
     both = F.col("n_a") + F.col("n_b")
-    near = pairs.join(left, "a").join(right, "b").where(apart <= both - 2 * spec.needed(both)).select("a", "b")
+    near = pairs.join(left, "a").join(right, "b").where(F.greatest(apart, uneven) <= both - 2 * spec.needed(both)).select("a", "b")
     text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = near.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
@@ -211,41 +218,47 @@ def _links(rows: DataFrame, profiles: DataFrame, classes: DataFrame, spec: Jacca
     reps = classes.select(F.col("rep").alias("doc_id"))
     entries = stored(postings.join(common, "g", "left_semi").join(reps, "doc_id", "left_semi"))
     texts = roots = checked = None
-    fresh = True
+    fresh, round_ = True, 0
+    own = ("doc_id", "n", "pos", "root")
     while True:
         # --- lists that still hold more than one component
         known = entries.drop("root")
         known = known.withColumn("root", F.col("doc_id")) if roots is None else known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        per_root = known.groupBy("g", "root").agg(F.count(F.lit(1)).alias("_c"))
-        lists = per_root.groupBy("g").agg(F.sum("_c").alias("_m"), ((F.sum("_c") ** 2 - F.sum(F.col("_c") ** 2)) / 2).alias("_cross")).where("_cross > 0")
-        lists = stored(lists)
-        size = lists.agg(F.sum("_m"), F.sum("_cross")).first()
-        if not size[0]:
+        size = F.count(F.lit(1))
+        best = [F.min(F.struct(F.xxhash64(F.lit(spec.pivots * round_ + i), "doc_id").alias("h"), *own)) for i in range(spec.pivots)]
+        lists = known.groupBy("g").agg(size.alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.array(*best).alias("p")).where("low < high")
+        lists = stored(lists.drop("low", "high"))
+        totals = lists.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+        if not totals[0]:
             return roots
-        kept = stored(known.join(lists.select("g"), "g", "left_semi").select("g", "doc_id", "n", "pos", "root"))
+        kept = stored(known.join(lists.select("g"), "g", "left_semi").select("g", *own))
         discard(entries)
         entries = kept
-        last = size[1] <= spec.direct * size[0] or not fresh
+        last = totals[1] <= spec.direct * totals[0] or not fresh
+        if texts is None:
+            texts = stored(_texts_of_ids(rows, entries.select("doc_id").distinct(), spec).dropDuplicates(["doc_id"]))
 
-        # --- all pairs, or each member with its list's pivot
+        # --- all pairs between components, or each document with the best of its lists' pivots
         if last:
-            other = _underscored(entries, "doc_id", "n", "pos", "root")
-            found = entries.join(other, "g").where((F.col("doc_id") < F.col("_doc_id")) & (F.col("root") != F.col("_root")) & _passing(spec))
+            found = entries.join(_underscored(entries, *own), "g").where((F.col("doc_id") < F.col("_doc_id")) & (F.col("root") != F.col("_root")) & _passing(spec))
         else:
-            best = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n", "pos", "root")).alias("_p")
-            pivots = entries.groupBy("g").agg(best).select("g", *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("doc_id", "n", "pos", "root")])
+            pivots = lists.select("g", F.explode("p").alias("p")).select("g", *[F.col(f"p.{c}").alias(f"_{c}") for c in own])
             found = entries.join(pivots, "g").where((F.col("root") != F.col("_root")) & _passing(spec))
-        pairs = found.select(*_pair()).distinct()
+        ends = [F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")]
+        pairs = found.groupBy("doc_id", "_doc_id").agg(F.count(F.lit(1)).alias("shared")).select("doc_id", "shared", *ends)
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        if texts is None:
-            texts = stored(_texts_of_ids(rows, entries.select("doc_id").distinct(), spec).dropDuplicates(["doc_id"]))
-        made = stored(_verified(pairs, profiles, texts, spec))
+        if not last:
+            top = F.max(F.struct("shared", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("t")
+            pairs = pairs.groupBy("doc_id").agg(top).select((-F.col("t.a")).alias("a"), (-F.col("t.b")).alias("b")).distinct()
+        made = stored(_verified(pairs.select("a", "b"), profiles, texts, spec))
         links = made.where("linked").select("a", "b")
         fresh = bool(links.head(1))
         checked = made if checked is None else checked.unionByName(made)
         if fresh:
             old = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else links.limit(0)
             roots = components(links.unionByName(old))
+        discard(lists)
+        round_ += 1
         if last:
             return roots

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwatch.llm.common import free_name, maybe_in
+from sparkwatch.llm.common import WORD, free_name, maybe_in
 from sparkwatch.session import stored
 
 FIELD = "<*>"
@@ -38,16 +38,20 @@ class Templates:
     documents: int = 5
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda x: x != "")
+def leaves_of(df: DataFrame, spec: Templates = Templates()) -> DataFrame:
+    """``doc_id, pos, raw, leaf`` of each line with enough tokens. Only the leading tokens are taken apart."""
+    lines = df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = lines.withColumn("n", F.regexp_count("raw", F.lit(WORD))).where(F.col("n") >= spec.tokens)
+    # white space in front gives an empty first part, the last part is the rest of the line
+    parts = F.slice(F.filter(F.split("raw", _SPACE, spec.depth + 2), lambda x: x != ""), 1, spec.depth)
+    leading = F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
+    return lines.select("doc_id", "pos", "raw", F.xxhash64("n", leading).alias("leaf"))
 
 
-def masked_lines(df: DataFrame, spec: Templates = Templates()) -> DataFrame:
-    """``doc_id, pos, line, leaf`` of each line with enough tokens; ``line`` has fields for tokens with digits and single spaces."""
-    lines = df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = lines.select("doc_id", "pos", _tokens(F.regexp_replace("raw", _WITH_DIGIT, FIELD)).alias("w")).where(F.size("w") >= spec.tokens)
-    leaf = F.xxhash64(F.size("w"), F.slice("w", 1, spec.depth))
-    return rows.select("doc_id", "pos", F.array_join("w", " ").alias("line"), leaf.alias("leaf"))
+def masked(raw: Column) -> Column:
+    """A line with fields for tokens with digits, and single spaces."""
+    tokens = F.filter(F.split(F.regexp_replace(raw, _WITH_DIGIT, FIELD), _SPACE), lambda x: x != "")
+    return F.array_join(tokens, " ")
 
 
 def generalised(counts: DataFrame) -> DataFrame:
@@ -81,10 +85,11 @@ def templates(lines: DataFrame, spec: Templates = Templates()) -> DataFrame:
 
 def dropped_lines(df: DataFrame, spec: Templates = Templates()) -> DataFrame:
     """``doc_id, pos`` of the lines to drop, from ``doc_id, text``."""
-    lines = masked_lines(df, spec)
+    lines = leaves_of(df, spec)
     several = (F.count(F.lit(1)) >= spec.documents) & (F.min("doc_id") != F.max("doc_id"))
     leaves = stored(lines.groupBy("leaf").agg(several.alias("several")).where("several").select("leaf"))
-    kept = stored(maybe_in(lines, "leaf", leaves).join(leaves, "leaf", "left_semi"))
+    kept = maybe_in(lines, "leaf", leaves).join(leaves, "leaf", "left_semi")
+    kept = stored(kept.select("doc_id", "pos", masked(F.col("raw")).alias("line"), "leaf"))
     named = stored(templates(kept, spec))
     constants = F.size(F.filter(F.split("template", " "), lambda x: x != FIELD))
     placed = kept.join(named.where(constants >= spec.constants), ["leaf", "line"]).select("doc_id", "pos", "leaf", "template")

@@ -168,10 +168,13 @@ def require_step(grid: DataFrame) -> float:
     return float(row["step_seconds"])
 
 
-def wide(long: DataFrame, separator: str = "/") -> DataFrame:
-    """Export view: one row per timestamp, one column per series."""
+def wide(long: DataFrame, series: list[str], separator: str = "/") -> DataFrame:
+    """Export view: one row per timestamp, one column for each of the named series (service, separator, metric).
+
+    The series are asked for by name: a table may have far more of them than a row can have columns.
+    """
     named = cells(long).withColumn("series", F.concat_ws(separator, *SERIES))
-    return named.groupBy("timestamp").pivot("series").agg(F.first("value"))
+    return named.groupBy("timestamp").pivot("series", list(series)).agg(F.first("value"))
 
 
 def unpivot(table: DataFrame, separator: str = "/") -> DataFrame:

@@ -134,7 +134,9 @@ def resample(
     origin, stop = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     # steps are counted from ``start``, so times are shifted to make it a multiple of the step
     shift = F.pmod(F.unix_micros(origin), F.lit(step_seconds * MICROS))
-    moved = samples.withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") - shift))
+    reach = F.timestamp_micros(F.unix_micros(origin) - F.lit(lookback_seconds * MICROS))
+    near = samples.where((F.col("timestamp") > reach) & (F.col("timestamp") <= stop))
+    moved = near.withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") - shift))
     found = last_per_step(moved, by, step_seconds, lookback_seconds)
     back = found.withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") + shift))
     return back.where((F.col("timestamp") >= origin) & (F.col("timestamp") <= stop))

@@ -157,7 +157,8 @@ def _per_interval(row: DataFrame, names: list[str]) -> DataFrame:
 
 def honesty(predicted: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
     """One row: distance from uniform and mass pinned at either end, on clean cells."""
-    pits = evaluate.with_pit(predicted.where(F.col("clean")), levels).select("pit")
+    # read by the counts, their total and the ends
+    pits = stored(evaluate.with_pit(predicted.where(F.col("clean")), levels).select("pit"))
     ends = pits.agg(*evaluate.tail_mass())
     # two one-row results side by side
     return evaluate.ks_distance(pits).withColumn("_one", F.lit(1)).join(ends.withColumn("_one", F.lit(1)), "_one").drop("_one")

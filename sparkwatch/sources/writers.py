@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkwatch.schema import INCIDENTS
 
+# Whole microseconds; Spark's default for CSV keeps milliseconds only.
+_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def write_labelled_csv(telemetry: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Gzipped CSV, one file per partition."""
-    telemetry.write.mode(mode).option("header", True).option("compression", "gzip").csv(path)
+    telemetry.write.mode(mode).option("header", True).option("timestampFormat", _TIMES).option("compression", "gzip").csv(path)
 
 
 def write_telemetry(telemetry: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -28,7 +31,7 @@ def flat_incidents(incidents: DataFrame) -> DataFrame:
 
 
 def write_incidents_csv(incidents: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    flat_incidents(incidents).select(*INCIDENTS.names).write.mode(mode).option("header", True).csv(path)
+    flat_incidents(incidents).select(*INCIDENTS.names).write.mode(mode).option("header", True).option("timestampFormat", _TIMES).csv(path)
 
 
 def write_manifest(manifest: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from sparkwatch.functions.ladder import LEVELS
-from sparkwatch.functions.profiles import EFFECTS, KINDS, PROPAGATING_METRICS
-from sparkwatch.operators.scrape import LATENCY_BOUNDS
-from sparkwatch.plans.alerting import GAUSSIAN_TWO_SIDED
-from sparkwatch.workload.queries import RUNGS
-from sparkwatch.workload.tables import GAUGES, SERVICES
+# Fixed values, written out again so that a wrong one in the package shows.
+LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+RUNGS = ["q01", "q05", "q25", "q50", "q75", "q95", "q99"]
+KINDS = ("cpu_saturation", "memory_leak", "latency_injection", "error_spike", "dependency_failure", "deploy_regression")
+PROPAGATING_METRICS = ("latency_p95_ms", "error_rate")
+LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+GAUSSIAN_TWO_SIDED = {2.0: 0.0455, 2.5: 0.0124, 3.0: 0.0027, 3.5: 0.000465}
+GAUGES = ("request_rate_rps", "latency_p95_ms", "error_rate", "cpu_pct", "mem_mb")
+SERVICES = 6
+# kind, metric, ramp share, floor and half-life of the decay, gain, power, offset
+EFFECTS = (
+    ("cpu_saturation", "cpu_pct", 0.08, 1.0, 1.0, 2.6, 1.0, 0.0),
+    ("cpu_saturation", "latency_p95_ms", 0.08, 1.0, 1.0, 2.0, 1.0, 0.0),
+    ("cpu_saturation", "error_rate", 0.08, 1.0, 1.0, 4.0, 1.0, 0.6),
+    ("memory_leak", "mem_mb", 1.0, 1.0, 1.0, 1.4, 1.0, 0.0),
+    ("memory_leak", "latency_p95_ms", 1.0, 1.0, 1.0, 0.7, 3.0, 0.0),
+    ("memory_leak", "cpu_pct", 1.0, 1.0, 1.0, 0.4, 2.0, 0.0),
+    ("latency_injection", "latency_p95_ms", 0.02, 1.0, 1.0, 4.5, 1.0, 0.0),
+    ("latency_injection", "error_rate", 0.02, 1.0, 1.0, 1.5, 1.0, 0.0),
+    ("error_spike", "error_rate", 0.02, 0.45, 0.35, 70.0, 1.0, 0.0),
+    ("error_spike", "latency_p95_ms", 0.02, 0.45, 0.35, 0.5, 1.0, 0.0),
+    ("dependency_failure", "error_rate", 0.03, 1.0, 1.0, 90.0, 1.0, 0.0),
+    ("dependency_failure", "latency_p95_ms", 0.03, 1.0, 1.0, 2.5, 1.0, 0.0),
+    ("dependency_failure", "request_rate_rps", 0.03, 1.0, 1.0, -0.55, 1.0, 0.0),
+    ("deploy_regression", "latency_p95_ms", 0.01, 1.0, 1.0, 0.85, 1.0, 0.0),
+    ("deploy_regression", "cpu_pct", 0.01, 1.0, 1.0, 0.55, 1.0, 0.0),
+)
 
 
 def r(expression: str) -> str:
@@ -46,7 +67,7 @@ walk(origin, service, hops) AS (
   SELECT callee, caller, 1 FROM calls
   UNION
   SELECT w.origin, c.caller, w.hops + 1 FROM walk w JOIN calls c ON c.callee = w.service
-  WHERE w.hops < 10 AND c.caller <> w.origin),
+  WHERE c.caller <> w.origin),
 hops AS (SELECT origin, service, min(hops) AS hops FROM walk GROUP BY origin, service),
 radius AS (
   SELECT root, string_agg(service, ',' ORDER BY service) AS affected_services FROM (
@@ -324,7 +345,8 @@ placed AS (
   SELECT service, value, ts, CASE WHEN ts = hour THEN hour ELSE hour + INTERVAL 1 HOUR END AS step FROM ev)
 SELECT step AS timestamp, service, {r("arg_max(value, ts)")} AS value FROM placed GROUP BY step, service""",
     "grid_resample": f"""WITH {EV},
-steps AS (SELECT unnest(range(TIMESTAMP '2024-01-01 00:30:00', TIMESTAMP '2024-01-31 00:00:01', INTERVAL 15 MINUTE)) AS step)
+bounds AS (SELECT date_trunc('hour', min(ts)) + INTERVAL 30 MINUTE AS low, max(ts) AS high FROM ev),
+steps AS (SELECT unnest(range(low, high + INTERVAL 1 MICROSECOND, INTERVAL 15 MINUTE)) AS step FROM bounds)
 SELECT step AS timestamp, service, {r("arg_max(value, ts)")} AS value
 FROM steps JOIN ev ON ts <= step AND ts > step - INTERVAL 2 HOUR GROUP BY step, service""",
     "grid_dense": f"WITH {GRID} SELECT timestamp, pos, service, metric, {r('value')} AS value FROM grid",
@@ -430,9 +452,12 @@ SELECT caller, callee FROM links WHERE callee NOT IN (
     "callers_of": f"WITH {USER_GRAPH} SELECT DISTINCT caller FROM links WHERE callee = 'u3'",
     "upstream_hops": f"""WITH RECURSIVE {USER_GRAPH},
 walk(origin, service, hops) AS (
-  SELECT callee, caller, 1 FROM links
+  SELECT callee, caller, 1 FROM links WHERE callee IN (
+    SELECT 'u' || user_id FROM (
+      SELECT user_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) AS nth
+      FROM events WHERE event_type = 'error') WHERE nth = 1)
   UNION
-  SELECT w.origin, c.caller, w.hops + 1 FROM walk w JOIN links c ON c.callee = w.service WHERE w.hops < 40 AND c.caller <> w.origin)
+  SELECT w.origin, c.caller, w.hops + 1 FROM walk w JOIN links c ON c.callee = w.service WHERE c.caller <> w.origin)
 SELECT origin, service, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY origin, service""",
     "blast_radius": f"WITH RECURSIVE {EV}, {SERVICE_HOPS} SELECT root, affected_services FROM radius",
     "edge_drift": """WITH linked AS (
@@ -448,10 +473,14 @@ SELECT timestamp, service, metric, {r("value")} AS value, is_anomalous, incident
     "onset_order": f"""WITH RECURSIVE {TEL}, {LABELLED}
 SELECT incident_id, service, min(timestamp) AS onset FROM labelled WHERE is_anomalous GROUP BY incident_id, service""",
     "label_consistency": f"""WITH RECURSIVE {TEL}, {LABELLED},
+damaged AS (
+  SELECT incident_id || CASE WHEN ordinal % 7 = 5 THEN 'x' ELSE '' END AS incident_id,
+    CASE WHEN ordinal % 7 = 6 THEN 'nowhere' ELSE root_service END AS root_service
+  FROM incidents WHERE ordinal % 7 <> 3),
 used AS (SELECT DISTINCT incident_id, service FROM labelled WHERE incident_id <> '')
-SELECT DISTINCT incident_id, 'label without incident' AS problem FROM used WHERE incident_id NOT IN (SELECT incident_id FROM incidents)
-UNION ALL SELECT incident_id, 'incident without label' FROM incidents WHERE incident_id NOT IN (SELECT incident_id FROM used)
-UNION ALL SELECT i.incident_id, 'root not marked' FROM incidents i WHERE NOT EXISTS (
+SELECT DISTINCT incident_id, 'label without incident' AS problem FROM used WHERE incident_id NOT IN (SELECT incident_id FROM damaged)
+UNION ALL SELECT incident_id, 'incident without label' FROM damaged WHERE incident_id NOT IN (SELECT incident_id FROM used)
+UNION ALL SELECT i.incident_id, 'root not marked' FROM damaged i WHERE NOT EXISTS (
   SELECT 1 FROM used u WHERE u.incident_id = i.incident_id AND u.service = i.root_service)""",
     "incident_summary": f"""WITH RECURSIVE {EV}, {FAULTS}
 SELECT kind, count(*) AS incidents, {r("avg(len(string_split(affected_services, ',')))")} AS mean_fan_out FROM incidents GROUP BY ROLLUP (kind)""",
@@ -462,7 +491,7 @@ SELECT '0.1.0' AS package_version, min(timestamp) AS start, max(timestamp) AS "e
   {r("avg(CASE WHEN is_anomalous THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS anomalous_fraction FROM labelled""",
     "fault_profile": f"""{WINDOWED}
 SELECT w.ordinal, e.metric, u.i AS i, {r(factor("u.i"))} AS factor
-FROM windows w JOIN effects e ON e.kind = w.kind, unnest(range(0, w.n)) AS u(i) WHERE w.kind <> 'deploy_regression'""",
+FROM windows w JOIN effects e ON e.kind = w.kind, unnest(range(0, w.n)) AS u(i)""",
     "fault_propagation": f"""{SPREAD}
 SELECT ordinal, service, metric, CAST(hops AS BIGINT) AS hops, CAST(from_pos AS BIGINT) AS from_pos, count(*) AS length, {r("max(peak)")} AS peak
 FROM kept GROUP BY ordinal, service, metric, hops, from_pos""",
@@ -491,3 +520,16 @@ SELECT b.service, CAST(CASE WHEN b.service = 's4' THEN 0 ELSE coalesce(h.hops, 9
   {r("cb")} AS cpu_before, {r("ca")} AS cpu_after, {r("pb")} AS p95_before, {r("pa")} AS p95_after, {r("pa / nullif(pb, 0)")} AS p95_ratio
 FROM b LEFT JOIN hops h ON h.origin = 's4' AND h.service = b.service""",
 }
+
+# what is written and read back is what went in
+ORACLES["run_csv_round_trip"] = ORACLES["label_incidents"]
+ORACLES["incidents_csv_round_trip"] = ORACLES["incidents_flat"]
+ORACLES["manifest_json_round_trip"] = ORACLES["run_manifest"]
+ORACLES["metric_subset"] = f"""WITH {TEL}
+SELECT timestamp, service, metric, {r("value")} AS value FROM tel WHERE metric IN ('cpu_pct', 'mem_mb')"""
+ORACLES["rejected_responses"] = f"""WITH {TEL},
+pages AS (SELECT DISTINCT metric, service, CAST(timestamp AS DATE) AS day FROM tel WHERE value IS NOT NULL)
+SELECT metric, CASE metric WHEN 'mem_mb' THEN 'too many samples' ELSE 'query failed' END AS error, count(*) AS responses
+FROM pages WHERE metric IN ('mem_mb', 'error_rate') GROUP BY metric"""
+ORACLES["service_filter"] = f"""{PREDICTED}
+SELECT timestamp, service, metric, {r("value")} AS value, {rungs_of("q")} FROM predicted WHERE service IN ('s1', 's4')"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from sparkwatch.operators import baselines, evaluate, features, forecast, graph,
 from sparkwatch.operators.boosting import BoostConfig
 from sparkwatch.plans import alerting, forecasting, incidents as incident_plans
 from sparkwatch.schema import CELL, SERIES, within_bounds
+from sparkwatch.session import shared_folder
 from sparkwatch.sources import readers, writers
 from sparkwatch.workload import tables as t
 
@@ -106,7 +108,56 @@ def gauge_last(spark, sf):
 @query
 def grid_resample(spark, sf):
     samples = t.events(spark, sf)
-    return scrape.resample(samples, ["service"], "2024-01-01 00:30:00", "2024-01-31 00:00:00", 900, 2 * t.HOUR)
+    first = F.date_trunc("hour", F.min("timestamp")) + F.expr("INTERVAL 30 MINUTES")
+    start, end = samples.agg(first.cast("string"), F.max("timestamp").cast("string")).first()
+    return scrape.resample(samples, ["service"], start, end, 900, 2 * t.HOUR)
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def run_csv_round_trip(spark, sf):
+    path = _folder(spark)
+    writers.write_labelled_csv(t.labelled(spark, sf), path)
+    return readers.read_labelled_csv(spark, path)
+
+
+@query
+def incidents_csv_round_trip(spark, sf):
+    path = _folder(spark)
+    writers.write_incidents_csv(t.incidents(spark, sf), path)
+    return readers.read_incidents_csv(spark, path)
+
+
+@query
+def manifest_json_round_trip(spark, sf):
+    path, step = _folder(spark), grid.step_seconds(t.sparse(spark, sf)).scalar()
+    manifest = incident_plans.run_manifest(t.labelled(spark, sf), t.incidents(spark, sf), step)
+    writers.write_manifest(manifest, path)
+    return spark.read.schema(manifest.schema).json(path)
+
+
+@query
+def metric_subset(spark, sf):
+    path = _folder(spark)
+    writers.write_telemetry(t.telemetry(spark, sf), path)
+    return readers.read_telemetry(spark, path, metrics=["cpu_pct", "mem_mb"]).select(*CELL, "value")
+
+
+@query
+def rejected_responses(spark, sf):
+    failed = F.when(F.col("metric") == "mem_mb", '{"status":"error","error":"too many samples"}').when(F.col("metric") == "error_rate", "{}")
+    pages = t.responses(spark, sf).withColumn("payload", F.coalesce(failed, F.col("payload")))
+    return readers.rejected(pages).groupBy("metric", "error").agg(F.count(F.lit(1)).alias("responses"))
+
+
+@query
+def service_filter(spark, sf):
+    plan = t.forecast_plan(spark, sf, services=("s1", "s4"))
+    rows = forecasting.predictions(t.clean_grid(spark, sf), plan)
+    return rows.select(*CELL, "value", *rungs("q"))
 
 
 # --- shaping --------------------------------------------------------------------------------
@@ -119,12 +170,12 @@ def grid_dense(spark, sf):
 
 @query
 def wide_pivot(spark, sf):
-    return grid.wide(t.telemetry(spark, sf))
+    return grid.wide(t.telemetry(spark, sf), t.series())
 
 
 @query
 def wide_unpivot(spark, sf):
-    return grid.unpivot(grid.wide(t.telemetry(spark, sf)))
+    return grid.unpivot(grid.wide(t.telemetry(spark, sf), t.series()))
 
 
 @query
@@ -421,7 +472,7 @@ def callers_of(spark, sf):
 
 @query
 def upstream_hops(spark, sf):
-    return graph.upstream_hops(t.user_calls(spark, sf))
+    return graph.upstream_hops(t.user_calls(spark, sf), t.fault_users(spark, sf))
 
 
 @query
@@ -466,7 +517,15 @@ def onset_order(spark, sf):
 
 @query
 def label_consistency(spark, sf):
-    return incident_plans.label_problems(t.labelled(spark, sf), t.incidents(spark, sf))
+    """Labels against an incident table that lost, renamed and moved some of the incidents they were made from."""
+    place = F.col("ordinal") % 7
+    damaged = t.incidents(spark, sf).where(place != 3).withColumns(
+        {
+            "incident_id": F.concat("incident_id", F.when(place == 5, "x").otherwise("")),
+            "root_service": F.when(place == 6, "nowhere").otherwise(F.col("root_service")),
+        }
+    )
+    return incident_plans.label_problems(t.labelled(spark, sf), damaged)
 
 
 @query
@@ -487,7 +546,7 @@ def _effects(spark, sf, seen):
 @query
 def fault_profile(spark, sf):
     seen = t.sparse(spark, sf)
-    windows = overlay.fault_windows(t.faults(spark, sf), grid.axis_of(seen)).where(~F.col("permanent") & (F.col("n") > 0))
+    windows = overlay.fault_windows(t.faults(spark, sf), grid.axis_of(seen)).where(F.col("n") > 0)
     rows = windows.join(F.broadcast(effect_table(spark)), "kind").withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     )

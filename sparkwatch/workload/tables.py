@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparkwatch.functions.percentiles import exact_percentiles
@@ -38,6 +36,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def series() -> list[str]:
+    """Names of the series of ``telemetry``."""
+    return [f"s{i}/{m}" for i in range(SERVICES) for m in GAUGES]
+
+
 def hourly(rows: DataFrame) -> DataFrame:
     return rows.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
 
@@ -95,14 +98,9 @@ def user_calls(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*name).distinct()
 
 
-@lru_cache(maxsize=16)
-def _hops(application: str, spark: SparkSession, sf: str) -> DataFrame:
-    return graph.upstream_hops(calls(spark, sf))
-
-
 def hops(spark: SparkSession, sf: str) -> DataFrame:
-    """Upstream distances of the service graph, found once per application (at most 30 rows)."""
-    return _hops(spark.sparkContext.applicationId, spark, sf)
+    """Upstream distances of the service graph."""
+    return graph.upstream_hops(calls(spark, sf))
 
 
 def radius(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,6 +133,14 @@ def faults(spark: SparkSession, sf: str) -> DataFrame:
     return stored(table)
 
 
+def fault_users(spark: SparkSession, sf: str) -> DataFrame:
+    """The users whose event was the worst error of a day, as names of the deeper call graph."""
+    errors = events(spark, sf).where(F.col("event_type") == "error")
+    best = F.max(F.struct(F.col("value"), (-F.col("event_id")).alias("_neg"), "user_id")).alias("_e")
+    worst = errors.groupBy(F.to_date("timestamp").alias("_day")).agg(best)
+    return worst.select(F.concat(F.lit("u"), F.col("_e.user_id")).alias("origin")).distinct()
+
+
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     """The same events as a written incident table with blast radii."""
     end = F.timestamp_micros(F.unix_micros("start") + F.col("duration_s") * 1_000_000)

@@ -62,10 +62,10 @@ def test_split_cuts_at_the_floor(spark):
 
 def test_wide_and_back(spark):
     long = telemetry(spark, {("a", "m"): [1.0, 2.0], ("b", "k"): [np.nan, 4.0]})
-    w = grid.wide(long)
-    assert set(w.columns) == {"timestamp", "a/m", "b/k"}
+    w = grid.wide(long, ["a/m", "b/k", "c/none"])
+    assert w.columns == ["timestamp", "a/m", "b/k", "c/none"]
     back = grid.unpivot(w)
-    assert back.count() == 4
+    assert back.count() == 6
     assert column(back, "value", "b", "k") == [None, 4.0]
 
 

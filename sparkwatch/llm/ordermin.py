@@ -21,6 +21,8 @@ from sparkwatch.llm.common import mix, texts_of
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _STRIDE = 8192
 _PACKED = 20
+#: Stretches of ids per task of the shuffle.
+STRETCHES = 8
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,8 @@ def edited_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spe
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = STRETCHES * tasks  # several to a task, since stretches are dealt by hash
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0]
     bounds = np.unique(np.array(cuts or [0], np.int64))
 
@@ -160,7 +163,7 @@ def edited_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spe
         F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.col("to").alias("bucket"), F.lit(1).alias("halo")
     )
     # a bucket holds one n-th of the ids and is read as a stream
-    dealt = placed.withColumn("halo", F.lit(0)).unionByName(halo).repartition(n, "bucket")
+    dealt = placed.withColumn("halo", F.lit(0)).unionByName(halo).repartition(tasks, "bucket")
     ordered = dealt.sortWithinPartitions("bucket", "halo", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

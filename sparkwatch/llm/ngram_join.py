@@ -8,9 +8,9 @@
    suffix filter: both sets are cut into the same parts, and what the parts differ in size is part of what the sets differ
    in. There are few parts along the order, with their sizes, and many by hash, of which it is enough to know whether
    their sizes are odd. What is left is verified once per pair on the whole texts.
-4. Only links between different components can change the components. As long as that unites components, each list picks
-   pivots, each document is verified against the one pivot with which it shares most n-grams, and lists within one component
-   are done. This is linear in the lists and unites groups of near copies. Then all remaining pairs between
+4. Only links between different components can change the components. As long as that halves the pairs between components, each
+   list picks pivots, each document is verified against the one pivot with which it shares most n-grams, and lists within one
+   component are done. This is linear in the lists and unites groups of near copies. Then all remaining pairs between
    different components are compared. No pair that could link two components is left out, and no group of copies is ever
    expanded into all its pairs.
 """
@@ -151,6 +151,18 @@ def _passing(spec: JaccardJoin) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * spec.percent) & (n - F.col("pos") >= need) & (m - F.col("_pos") >= need)
 
 
+def _total(each: Column) -> Column:
+    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+
+
+def _folded(words: int = 4) -> Column:
+    """``odd`` with its parts thrown together into fewer ones, whose sizes are odd if an odd number of theirs are."""
+    each = F.size("odd") / words
+    zero = F.lit(0).cast("long")
+    parts = [F.slice("odd", (F.greatest(each, F.lit(1)) * i).cast("int") + 1, F.ceil(each).cast("int")) for i in range(words)]
+    return F.array(*[F.aggregate(p, zero, lambda s, x: s.bitwiseXOR(x)) for p in parts])
+
+
 def _underscored(df: DataFrame, *names: str) -> DataFrame:
     return df.select("g", *[F.col(c).alias(f"_{c}") for c in names])
 
@@ -160,11 +172,8 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, spec: Jac
     left = profiles.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "parts", "odd")])
     right = profiles.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "parts", "odd")])
 
-    def total(each: Column) -> Column:
-        return F.aggregate(each, F.lit(0), lambda s, x: s + x)
-
-    apart = total(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)))
-    uneven = total(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    apart = _total(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)))
+    uneven = _total(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
     both = F.col("n_a") + F.col("n_b")
     near = pairs.join(left, "a").join(right, "b").where(F.greatest(apart, uneven) <= both - 2 * spec.needed(both)).select("a", "b")
     text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -218,29 +227,35 @@ def _links(rows: DataFrame, profiles: DataFrame, classes: DataFrame, spec: Jacca
     reps = classes.select(F.col("rep").alias("doc_id"))
     entries = stored(postings.join(common, "g", "left_semi").join(reps, "doc_id", "left_semi"))
     texts = roots = checked = None
-    fresh, round_ = True, 0
+    round_, before = 0, float("inf")
     own = ("doc_id", "n", "pos", "root")
     while True:
         # --- lists that still hold more than one component
         known = entries.drop("root")
         known = known.withColumn("root", F.col("doc_id")) if roots is None else known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        size = F.count(F.lit(1))
-        best = [F.min(F.struct(F.xxhash64(F.lit(spec.pivots * round_ + i), "doc_id").alias("h"), *own)) for i in range(spec.pivots)]
-        lists = known.groupBy("g").agg(size.alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.array(*best).alias("p")).where("low < high")
-        lists = stored(lists.drop("low", "high"))
-        totals = lists.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+        best = [F.min(F.struct(F.xxhash64(F.lit(spec.pivots * round_ + i), "doc_id").alias("h"), *own)).alias(f"p{i}") for i in range(spec.pivots)]
+        per_root = known.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"), *best)
+        picked = F.array(*[F.min(f"p{i}") for i in range(spec.pivots)]).alias("p")
+        lists = per_root.groupBy("g").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"), picked).where("roots > 1")
+        lists = stored(lists.drop("roots"))
+        totals = lists.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
         if not totals[0]:
             return roots
         kept = stored(known.join(lists.select("g"), "g", "left_semi").select("g", *own))
         discard(entries)
         entries = kept
-        last = totals[1] <= spec.direct * totals[0] or not fresh
+        last = totals[1] <= spec.direct * totals[0] or totals[1] > before / 2
+        before = totals[1]
         if texts is None:
             texts = stored(_texts_of_ids(rows, entries.select("doc_id").distinct(), spec).dropDuplicates(["doc_id"]))
 
         # --- all pairs between components, or each document with the best of its lists' pivots
         if last:
-            found = entries.join(_underscored(entries, *own), "g").where((F.col("doc_id") < F.col("_doc_id")) & (F.col("root") != F.col("_root")) & _passing(spec))
+            signed = entries.join(profiles.select("doc_id", _folded().alias("odd")), "doc_id")
+            uneven = _total(F.zip_with("odd", "_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+            both = F.col("n") + F.col("_n")
+            other = (F.col("doc_id") < F.col("_doc_id")) & (F.col("root") != F.col("_root"))
+            found = signed.join(_underscored(signed, *own, "odd"), "g").where(other & _passing(spec) & (uneven <= both - 2 * spec.needed(both)))
         else:
             pivots = lists.select("g", F.explode("p").alias("p")).select("g", *[F.col(f"p.{c}").alias(f"_{c}") for c in own])
             found = entries.join(pivots, "g").where((F.col("root") != F.col("_root")) & _passing(spec))
@@ -253,9 +268,8 @@ def _links(rows: DataFrame, profiles: DataFrame, classes: DataFrame, spec: Jacca
             pairs = pairs.groupBy("doc_id").agg(top).select((-F.col("t.a")).alias("a"), (-F.col("t.b")).alias("b")).distinct()
         made = stored(_verified(pairs.select("a", "b"), profiles, texts, spec))
         links = made.where("linked").select("a", "b")
-        fresh = bool(links.head(1))
         checked = made if checked is None else checked.unionByName(made)
-        if fresh:
+        if links.head(1):
             old = roots.select(F.col("node").alias("a"), F.col("root").alias("b")) if roots is not None else links.limit(0)
             roots = components(links.unionByName(old))
         discard(lists)

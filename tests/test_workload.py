@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -10,6 +11,8 @@ from sparkwatch.plans import forecasting
 from sparkwatch.workload import tables
 
 SF = "/root/testdata/sf0.001"
+#: Large enough for the rows that a forecaster needs.
+FIT = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
 
@@ -18,13 +21,16 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables
 def duck():
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for name in TABLES.split():
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    for schema, folder in (("small", SF), ("fit", FIT)):
+        connection.execute(f"CREATE SCHEMA {schema}")
+        for name in TABLES.split():
+            connection.execute(f"CREATE VIEW {schema}.{name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return connection
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"boosted_forecast"}
+    without = set(contract.queries()) - set(contract.oracle_sql())
+    assert {n for n in without if not re.match(r"op\d+_|pipeline$", n)} == {"boosted_forecast"}
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
@@ -35,7 +41,9 @@ def test_every_sql_belongs_to_a_query():
      "run_header", "upstream_hops", "label_incidents", "fault_overlay", "incident_records", "impact_report"],
 )
 def test_query_agrees_with_sql(spark, duck, name):
-    found = contract.queries()[name](spark, SF)
+    fits = name in ("ks_per_series", "pit_histogram", "accuracy_by_metric")
+    found = contract.queries()[name](spark, FIT if fits else SF)
+    duck.execute(f"USE {'fit' if fits else 'small'}")
     names = sorted(found.columns)
     cursor = duck.execute(contract.oracle_sql()[name])
     order = [d[0] for d in cursor.description]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Texts of one group that NumPy handles together, in bytes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -100,7 +100,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         inside = ~_IS_SPACE[a]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
         s, e = edges[0::2], edges[1::2]
-        up, down = _powers(max(1 << 21, 1 << (end - at + 1).bit_length()))
+        up, down = _powers(max(4 * GROUP_BYTES, 1 << (end - at + 1).bit_length()))
         sums = np.zeros(len(a) + 1, np.uint64)
         np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))

@@ -163,14 +163,16 @@ def taken_text(text: str, rounds: int, part_from: int, part_to: int, wrap_to: in
     return "\n".join(parts)
 
 
-def apply_mix(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with its texts as mixed; documents of which nothing is taken go. Rows that share an id share one decision.
+def apply_mix(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``df`` with its texts as mixed; documents of which nothing is taken go. Each row has the decision of one row of ``mixed``.
 
-    Texts taken once and whole do not leave the JVM.
+    An id that stands once finds its decision by the id. Rows that share an id, or have none, are paired with decisions of their own source
+    and size, in the order of the texts' hashes; such decisions fit each of those texts. Texts taken once and whole do not leave the JVM.
     """
     parts = ["rounds", "part_from", "part_to", "wrap_to"]
-    own, part = free_name(df, "_id_of_parts"), free_name(df, "_parts")
-    plan = mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias(own)).agg(F.min(F.struct(*parts)).alias(part))
+    own, part, key, place = (free_name(df, c) for c in ("_id_of_parts", "_parts", "_alike", "_place"))
+    mixed = stored(mixed.select("doc_id", "source", "size", "taken", F.struct(*parts).alias(part)))
+    by_id = stored(mixed.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("_n"), F.first(part).alias(part), F.max("taken").alias("_taken")))
 
     def cut(texts: pa.Array, plans: pa.Array) -> pa.Array:
         made = []
@@ -178,7 +180,20 @@ def apply_mix(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str
             made.append(None if x is None else taken_text(x, *[p[k] for k in parts]))
         return pa.array(made, pa.string())
 
-    rows = df.join(plan, F.col(doc_id).eqNullSafe(F.col(own)))
+    known = by_id.where((F.col("_n") == 1) & (F.col("_taken") > 0)).select(own, part)
+    rows = df.join(known, F.col(doc_id).eqNullSafe(F.col(own))).select(*df.columns, part)
+
+    # --- ids of several rows: structs are equal where the same fields are missing
+    shared = by_id.where(F.col("_n") > 1).select(own)
+    alike = df.join(shared, F.col(doc_id).eqNullSafe(F.col(own)), "left_semi")
+    alike = alike.withColumn(key, F.struct(F.col(doc_id).alias("i"), F.col(source).alias("s"), word_count(F.col(text)).alias("n")))
+    alike = alike.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), F.col(text))))
+    plans = mixed.join(shared, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    plans = plans.select(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).alias(key), part, "taken")
+    plans = plans.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(part)))
+    plans = plans.where(F.col("taken") > 0).select(key, place, part)
+    rows = rows.unionByName(alike.join(plans, [key, place]).select(*df.columns, part))
+
     once = (F.col(f"{part}.rounds") == 1) & (F.col(f"{part}.part_to") == 0) & (F.col(f"{part}.wrap_to") == 0)
     changed = F.arrow_udf(cut, "string")(F.when(~once, F.col(text)), F.col(part))
     return rows.withColumn(text, F.when(once, F.col(text)).otherwise(changed)).select(*df.columns)

@@ -110,3 +110,18 @@ def test_empty_and_repeated(spark):
     same = [(None, "a b c", "s", "x")] * 3 + [(1, None, None, "x"), (2, "", None, "x")]
     got = mixing.mix(spark.createDataFrame(same, SCHEMA)).select("size", "taken", F.col("source")).collect()
     assert sum(x["taken"] for x in got) == 16 and all(x["taken"] == 0 for x in got if x["source"] is None)  # one block
+
+
+def test_rows_without_an_id_have_decisions_of_their_own(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{i}x{k}" for k in range(r.choice([0, 1, 3, 3, 30, 90]))) for i in range(60)] + ["equal text here"] * 3 + [None]
+    rows = [(None if i % 3 else 7, t, r.choice(["hot", "hot", "a", None]), "x") for i, t in enumerate(texts)] + [(1, "only one", "a", "x")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for spec in (Mix(), Mix(shard_documents=8, block=5)):
+        mixed = mixing.mix(df, spec=spec)
+        want = Counter((x["doc_id"], x["source"], x["taken"]) for x in mixed.collect() if x["taken"])
+        out = mixing.apply_mix(df, mixed).collect()
+        assert Counter((x["doc_id"], x["source"], len(x["text"].split())) for x in out) == want
+        of = {w: t for _, t, _, _ in rows for w in (t or "").split()}
+        for x in out:  # words of one text only
+            assert len({of[w] for w in x["text"].split()}) == 1

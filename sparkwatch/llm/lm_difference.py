@@ -1,12 +1,13 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both are bigram models over one vocabulary, the most frequent words of all documents and one entry for the rest, and over one list of
-bigrams. They are smoothed alike, and the background's counts are scaled to the target's number of tokens, so that the two
+Both are bigram models over one vocabulary, all words of all documents, and over one list of bigrams, all that occur. They are
+smoothed alike, and the background's counts are scaled to the target's number of tokens, so that the two
 differ in what they have seen and not in how much. A document's score is the mean, over its tokens, of what the
 background model loses more than the target model.
 
-Words and bigrams are counted over all documents; tasks add up what they have read before they shuffle it. Only the model goes to
-the executors, and its size is fixed by the parameters.
+Words and bigrams are counted over all documents; tasks add up what they have read before they shuffle it. The models are a table with
+one row per bigram, which grows with the input, and documents meet it in a join of their distinct bigrams. Only the most
+frequent bigrams go to the executors, in bounded number, so that no hot one is a key of that join.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwatch.llm.common import maybe_in, over_batches, texts_of, words_by_text
+from sparkwatch.llm.common import maybe_in, mix, texts_of, words_by_text
 from sparkwatch.session import stored
 
 REST, BEGIN = 0, 1
@@ -27,143 +28,146 @@ _HELD = 1 << 21
 
 @dataclass(frozen=True)
 class BigramModels:
-    """The ``words`` most frequent words and the ``bigrams`` most frequent bigrams of all documents make up both models."""
+    """Both models are made of all words and bigrams, or only of the ``words`` and ``bigrams`` most frequent ones of all documents."""
 
-    words: int = 32_000
-    bigrams: int = 1 << 19
+    words: int | None = None
+    bigrams: int | None = None
     #: Weight of the word distribution against what a history was followed by, in tokens.
     prior: float = 50.0
+    #: Most bigrams whose losses are sent to the executors; all others are joined.
+    sent: int = 1 << 18
 
 
 def _lowered(column) -> list[bytes]:
     return [t.encode().lower() for t in texts_of(column)]
 
 
-def _tally(rows: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``key, n``: how often each key occurs; a task merges its keys before it gives them out, in bounded memory."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        held, counts, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for batch in batches:
-            for _, words in words_by_text(_lowered(batch.column("text"))):
-                waiting.append(keys(words))
-                size += len(words)
-                if size >= _HELD:
-                    held, counts = _merged(held, counts, waiting)
-                    waiting, size = [], 0
-                    if len(held) >= 2 * _HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], ["key", "n"])
-                        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, counts = _merged(held, counts, waiting)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], ["key", "n"])
-
-    return rows.select("text").mapInArrow(run, "key long, n long")
-
-
-def _merged(held: np.ndarray, counts: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not waiting:
-        return held, counts
-    keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-    both, weights = np.concatenate((held, keys)), np.concatenate((counts, n))
-    order = np.argsort(both, kind="stable")
-    both, weights = both[order], weights[order]
-    starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
-    return both[starts], np.add.reduceat(weights, starts) if len(both) else weights
-
-
 class Vocabulary:
-    """Ids of word hashes: 0 for the rest, 1 for the beginning of a text, then the words."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.int64))
+    """Symbols of words: their hashes, or 0 for a word that is not among the listed ones. 1 is the beginning of a text."""
 
-    def __len__(self) -> int:
-        return len(self.hashes) + 2
+    def __init__(self, hashes: np.ndarray | None):
+        self.hashes = None if hashes is None else np.sort(hashes.astype(np.int64))
 
-    def ids(self, words: np.ndarray) -> np.ndarray:
+    def symbols(self, words: np.ndarray) -> np.ndarray:
         signed = words.view(np.int64)
+        if self.hashes is None:
+            return signed
         if not len(self.hashes):
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, signed), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == signed, at + 2, REST)
+        return np.where(self.hashes[at] == signed, signed, REST)
 
-    def bigrams(self, words: np.ndarray) -> np.ndarray:
-        """History and word in one key each."""
-        ids = self.ids(words)
-        if not len(ids):
-            return ids
-        return (np.concatenate(([BEGIN], ids[:-1])) << 32) | ids
+    def bigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, history and word of each token's bigram."""
+        word = self.symbols(words)
+        if not len(word):
+            return word, word, word
+        history = np.concatenate(([BEGIN], word[:-1]))
+        return mix(mix(history.view(np.uint64)) + word.view(np.uint64)).view(np.int64), history, word
 
 
-@dataclass
-class Model:
-    """Counts of one model over the shared lists."""
+def _own(words: np.ndarray) -> tuple[np.ndarray]:
+    return (words.view(np.int64),)
 
-    words: np.ndarray
-    histories: np.ndarray
-    bigrams: np.ndarray
-    prior: float
 
-    def losses(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Minus log probability of each token; ``places`` are the places of its bigram in the list, or -1."""
-        word, history = keys & 0xFFFFFFFF, keys >> 32
-        unigram = (self.words[word] + 1) / (self.words.sum() + len(self.words))
-        seen = np.where(places >= 0, self.bigrams[places], 0.0) if len(self.bigrams) else 0.0
-        return -np.log((seen + self.prior * unigram) / (self.histories[history] + self.prior))
+def _tally(rows: DataFrame, keys: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+    """``names, n``: how often each key, the first of ``names``, occurs; the others go with it. A task merges its keys before it gives
+    them out, in bounded memory."""
+    nothing = [np.zeros(0, np.int64)] * (len(names) + 1)
 
+    def made(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in held], [*names, "n"])
 
-def _model(found, vocabulary: Vocabulary, prior: float, column: str, listed, scale: float) -> Model:
-    words, histories = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
-    words[found["id"].to_numpy()] = found[f"{column}_word"].to_numpy() * scale
-    histories[found["id"].to_numpy()] = found[f"{column}_history"].to_numpy() * scale
-    return Model(words, histories, listed[column].to_numpy().astype(float) * scale, prior)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held, size = nothing, 0
+        for batch in batches:
+            for _, words in words_by_text(_lowered(batch.column("text"))):
+                waiting.append(keys(words))
+                size += len(words)
+                if size >= _HELD:
+                    held = _merged(held, waiting)
+                    waiting, size = [], 0
+                    if len(held[0]) >= _HELD:
+                        yield made(held)
+                        held = nothing
+        yield made(_merged(held, waiting))
 
+    return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "n")))
 
-def learn(df: DataFrame, target_ids: DataFrame, spec: BigramModels = BigramModels()):
-    """(vocabulary, bigram list, target model, background model) from ``doc_id, text`` and the ids of the target's documents, or None
-    where the target has no words."""
-    top = _tally(df, lambda words: words.view(np.int64)).groupBy("key").agg(F.sum("n").alias("n"))
-    # ``words`` rows of one number
-    chosen = top.orderBy(F.desc("n"), "key").limit(spec.words).toPandas()
-    vocabulary = Vocabulary(chosen["key"].to_numpy())
+
+def _merged(held: list[np.ndarray], waiting: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    if not waiting:
+        return held
+    columns = [np.concatenate(x) for x in zip(*waiting)]
+    keys = np.concatenate((held[0], columns[0]))
+    if not len(keys):
+        return held
+    n = np.concatenate((held[-1], np.ones(len(columns[0]), np.int64)))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    also = [np.concatenate((x, y))[order[starts]] for x, y in zip(held[1:-1], columns[1:])]
+    return [keys[starts], *also, np.add.reduceat(n[order], starts)]
+
+
+def learn(df: DataFrame, target_ids: DataFrame, spec: BigramModels = BigramModels()) -> tuple[Vocabulary, DataFrame] | None:
+    """(vocabulary, ``key, background, loss_target, loss_background`` of each bigram) from ``doc_id, text`` and the ids of the target's
+    documents, or None where the target has no words."""
+    vocabulary = Vocabulary(None)
+    if spec.words is not None:
+        top = _tally(df, _own, ["key"]).groupBy("key").agg(F.sum("n").alias("n"))
+        vocabulary = Vocabulary(top.orderBy(F.desc("n"), "key").limit(spec.words).toPandas()["key"].to_numpy())
 
     ids = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     target = maybe_in(df, "doc_id", ids).join(ids, "doc_id", "left_semi")
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def keys(words: np.ndarray) -> np.ndarray:
+    def keys(words: np.ndarray) -> tuple[np.ndarray, ...]:
         return shared.value.bigrams(words)
 
-    zero = F.lit(0).cast("long")
-    background = _tally(df, keys).select("key", zero.alias("target"), F.col("n").alias("background"))
-    aimed = _tally(target, keys).select("key", F.col("n").alias("target"), zero.alias("background"))
-    counts = stored(background.unionByName(aimed).groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    # ``bigrams`` rows of three numbers, and one row per word
-    listed = counts.orderBy(F.desc("background"), "key").limit(spec.bigrams).toPandas().sort_values("key")
-    word, history = F.col("key").bitwiseAND(0xFFFFFFFF), F.shiftright("key", 32)
-    sides = [counts.select(end.alias("id"), F.lit(kind).alias("kind"), "target", "background") for end, kind in ((word, "word"), (history, "history"))]
-    sums = sides[0].unionByName(sides[1]).groupBy("id").agg(
-        *[F.sum(F.when(F.col("kind") == k, F.col(c)).otherwise(zero)).alias(f"{c}_{k}") for c in ("target", "background") for k in ("word", "history")]
-    )
-    found = sums.toPandas()
-    n_target, n_background = found["target_word"].sum(), found["background_word"].sum()
-    if not n_target:
+    zero, names = F.lit(0).cast("long"), ["key", "history", "word"]
+    background = _tally(df, keys, names).select(*names, zero.alias("target"), F.col("n").alias("background"))
+    aimed = _tally(target, keys, names).select(*names, F.col("n").alias("target"), zero.alias("background"))
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    firsts = [F.first(c).alias(c) for c in ("history", "word")]
+    counts = stored(background.unionByName(aimed).groupBy("key").agg(*firsts, *sums))
+
+    total = counts.agg(*sums).first()
+    if not total["target"]:
         return None
-    matched = float(n_target) / float(n_background)
-    models = [_model(found, vocabulary, spec.prior, c, listed, s) for c, s in (("target", 1.0), ("background", matched))]
-    return vocabulary, listed["key"].to_numpy(), *models
+    matched = float(total["target"]) / float(total["background"])
+    ends = {c: stored(counts.groupBy(F.col(c).alias(f"_{c}")).agg(*[F.sum(x).alias(f"{x}_{c}") for x in ("target", "background")])) for c in ("history", "word")}
+    # the listed words, or all, and entries for the rest and the beginning
+    size = (ends["word"].count() if vocabulary.hashes is None else len(vocabulary.hashes)) + 2
+    model = counts
+    for c, end in ends.items():
+        model = model.join(end, F.col(c) == F.col(f"_{c}"))
+    listed = F.lit(True)
+    if spec.bigrams is not None:
+        chosen = counts.orderBy(F.desc("background"), "key").limit(spec.bigrams).select(F.col("key").alias("_listed"))
+        model, listed = model.join(chosen, F.col("key") == F.col("_listed"), "left"), F.col("_listed").isNotNull()
+
+    def loss(side: str, scale: float) -> Column:
+        words = (F.col(f"{side}_word") * F.lit(scale) + 1) / (float(total[side]) * scale + size)
+        seen = F.when(listed, F.col(side) * F.lit(scale)).otherwise(0.0)
+        return -F.log((seen + spec.prior * words) / (F.col(f"{side}_history") * F.lit(scale) + spec.prior))
+
+    return vocabulary, stored(model.select("key", "background", loss("target", 1.0).alias("loss_target"), loss("background", matched).alias("loss_background")))
 
 
-def losses(words: np.ndarray, vocabulary: Vocabulary, listed: np.ndarray, models: list[Model]) -> list[np.ndarray]:
-    """The loss of each token under each model."""
-    keys = vocabulary.bigrams(words)
-    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
-    places = np.where(listed[at] == keys, at, -1)
-    return [m.losses(keys, places) for m in models]
+def most_frequent(model: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order and losses of the bigrams above a power of two of counts, the least that leaves no more than ``limit``."""
+    level = F.floor(F.log2(F.col("background") + 0.5)).cast("int")
+    n = {r["level"]: r["n"] for r in model.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, held = max(n, default=0) + 1, 0
+    while least - 1 in n and held + n[least - 1] <= limit:
+        least, held = least - 1, held + n[least - 1]
+    found = model.where(level >= least).select("key", "loss_target", "loss_background").toPandas().sort_values("key")
+    return tuple(found[c].to_numpy() for c in ("key", "loss_target", "loss_background"))
 
 
-_SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, difference double"
+_FOUND = "row long, key long, n long, doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
 def score(df: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: BigramModels = BigramModels()) -> DataFrame:
@@ -175,18 +179,44 @@ def score(df: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: st
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = learn(rows, target_ids, spec)
-    shared = df.sparkSession.sparkContext.broadcast(made)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        n, means = [], ([], [])
-        for _, words in words_by_text(_lowered(batch.column("text"))):
-            n.append(len(words))
-            each = losses(words, model[0], model[1], model[2:]) if model is not None and len(words) else (None, None)
-            for column, x in zip(means, each):
-                column.append(None if x is None else round(float(x.mean()), 9))
-        gap = [None if a is None else round(b - a, 9) for a, b in zip(*means)]
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(c, pa.float64()) for c in (*means, gap)]]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "loss_target", "loss_background", "difference"])
-
-    return over_batches(rows, work, _SCORES)
+    vocabulary, model = made or (Vocabulary(None), None)
+    nothing = tuple(np.zeros(0, kind) for kind in (np.int64, float, float))
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary, *(nothing if model is None else most_frequent(model, spec.sent))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per document with the losses of the bigrams that were sent, and one per other distinct bigram."""
+        names = [x.split()[0] for x in _FOUND.split(", ")]
+        kinds = [pa.float64() if x.endswith("double") else pa.int64() for x in _FOUND.split(", ")]
+        known, listed, *sent = shared.value
+        for batch in batches:
+            ids, docs = batch.column("row").to_numpy(), batch.column("doc_id").to_pylist()
+            whole, rest = [[] for _ in range(4)], [[np.zeros(0, np.int64)] for _ in range(3)]
+            for i, words in words_by_text(_lowered(batch.column("text"))):
+                key, n = np.unique(known.bigrams(words)[0], return_counts=True)
+                at = np.minimum(np.searchsorted(listed, key), max(len(listed) - 1, 0))
+                here = listed[at] == key if len(listed) else np.zeros(len(key), bool)
+                for column, x in zip(whole, (len(words), *[float(y[at[here]] @ n[here]) for y in sent], ids[i])):
+                    column.append(x)
+                if model_known and not here.all():
+                    for column, x in zip(rest, (np.full((~here).sum(), ids[i]), key[~here], n[~here])):
+                        column.append(x)
+            # a document's own row takes part in the join with a key that is not looked at
+            first = (whole[3], whole[3], None, docs, *whole[:3])
+            other = (*[np.concatenate(x) for x in rest], None, None, None, None)
+            for columns, size in ((first, len(docs)), (other, sum(map(len, rest[0])))):
+                arrays = [pa.nulls(size, kind) if x is None else pa.array(x, kind) for x, kind in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    model_known = model is not None
+    found = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _FOUND)
+    if model_known:
+        losses = model.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("loss_target", "loss_background")])
+        found = found.join(losses, F.col("key") == F.col("_key"), "left")
+        own = F.col("n").isNull()
+        each = {c: F.when(own, F.col(c)).otherwise(F.col("n") * F.col(f"_{c}")) for c in ("loss_target", "loss_background")}
+    else:
+        each = {c: F.lit(None).cast("double") for c in ("loss_target", "loss_background")}
+    sums = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(x).alias(c) for c, x in each.items()])
+    mean = {c: F.round(F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")), 9).alias(c) for c in each}
+    out = sums.select("doc_id", "n_tokens", *mean.values())
+    return out.withColumn("difference", F.round(F.col("loss_background") - F.col("loss_target"), 9))

@@ -87,3 +87,17 @@ def test_without_target_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_difference.score(df, none).collect()[0][:] == (1, 2, None, None, None)
     assert lm_difference.score(df.limit(0), none).collect() == []
+
+
+@pytest.mark.parametrize("sent", [0, 5, 1 << 18])
+def test_models_grow_with_the_input(spark, sent):
+    """More words and bigrams than lists of fixed sizes would hold, and the rare ones count."""
+    rows = [(i, " ".join(f"w{i}x{k} w{i}y{k // 2} common" for k in range(200))) for i in range(120)]
+    rows += [(500 + i, " ".join(f"w{i}x{k} w{i}y{k // 2} common" for k in range(0, 200, 3))) for i in range(0, 120, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = {i for i, _ in rows if i < 120 and i % 10 == 0}
+    assert len({w for _, t in rows for w in t.split()}) > 32_000
+    got = {r["doc_id"]: r for r in lm_difference.score(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), spec=BigramModels(sent=sent)).collect()}
+    want = brute(rows, target, BigramModels())
+    for i, _ in rows:
+        assert got[i]["loss_target"] == pytest.approx(want[i][1], abs=1e-8) and got[i]["loss_background"] == pytest.approx(want[i][2], abs=1e-8)

@@ -2,8 +2,9 @@
 
 For each vocabulary a text has characters per token, the share of tokens that are bytes of split characters, and the entropy of its tokens
 relative to the most that so many tokens can have. A language's bands are its median plus or minus a number of
-scaled median deviations, from exact counts of finely binned values of all its documents that pass the base rules; languages are
-given by ``lang`` or, where that is missing, by the main script of the text.
+scaled median deviations, from exact counts of finely binned values of all its documents that pass the base rules. They are drawn
+towards the bands of the text's main script, the more the fewer documents a language has; where ``lang`` is missing the script's
+bands hold alone.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ class Fertility:
     reference_tokens: int = 400
     #: Least deviation, in the measure's own unit: characters per token, share, relative entropy.
     least: tuple[float, float, float] = (0.05, 0.004, 0.01)
-    #: Languages with fewer documents than this use the bands of all documents together.
+    #: A script's bands count as much as this many documents of the language.
     documents: int = 50
     bins: int = 1000
 
@@ -113,11 +114,11 @@ def token_measures(ids: list[int], n_chars: int, is_byte: np.ndarray) -> tuple[i
     return len(ranked), n_chars / len(ranked), float(is_byte[ranked].mean()), float(entropy)
 
 
-_BASE = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+_BASE = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
 def measure(df: DataFrame, spec: Fertility = Fertility()) -> DataFrame:
-    """From ``doc_id, text, lang``: the base counts, ``lang`` (the script where it is missing) and ``m``, three measures per vocabulary.
+    """From ``doc_id, text, lang``: the base counts, ``lang``, ``script`` and ``m``, three measures per vocabulary.
 
     ``m`` holds, for each vocabulary in turn, characters per token, byte share and relative entropy; ``n_tokens`` is that of the first.
     """
@@ -139,10 +140,10 @@ def measure(df: DataFrame, spec: Fertility = Fertility()) -> DataFrame:
             row = (n, len(texts[i]) - spaces, symbols, repeated_lines(texts[i]), repeats, n < 20 or 100 * repeats > 30 * n, tokens, found)
             for column, value in zip(columns, row):
                 column.append(value)
-        langs = [x if x is not None else f"script:{script(t)}" for x, t in zip(batch.column("lang").to_pylist(), texts)]
+        scripts = pa.array([script(t) for t in texts], pa.string())
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.list_(pa.float64())]
-        arrays = [batch.column("doc_id"), pa.array(langs, pa.string()), *[pa.array(c, t) for c, t in zip(columns, kinds)]]
-        names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "m"]
+        arrays = [batch.column("doc_id"), batch.column("lang").cast(pa.string()), scripts, *[pa.array(c, t) for c, t in zip(columns, kinds)]]
+        names = ["doc_id", "lang", "script", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "m"]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     return over_batches(df.select("doc_id", "text", "lang"), work, f"{_BASE}, n_tokens long, m array<double>")
@@ -192,19 +193,20 @@ def within(spec: Fertility) -> Column:
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", spec: Fertility = Fertility()) -> DataFrame:
     """Per document: the base counts, ``base_failed``, the measures of each vocabulary, and ``kept``.
 
-    A missing text counts as empty: it fails the base rules, as do all texts under 20 words. Repeated rows get equal verdicts. Where no document passes the
-    base rules there are no bands and nothing is kept. Other columns are not read.
+    A missing text counts as empty: it fails the base rules, as do all texts under 20 words. Repeated rows get equal verdicts. Where no document of a language or script passes the
+    base rules it has no bands and nothing of it is kept. Other columns are not read.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     measured = stored(measure(rows, spec))
-    tables = stored(bands(measured, spec))
-    own = tables.where(F.col("lang").isNotNull() & (F.col("n_documents") >= spec.documents)).select("lang", F.col("middle").alias("_middle"), F.col("spread").alias("_spread"))
-    # one row of six numbers, as scalar subqueries
-    common = tables.where(F.col("lang").isNull())
-    joined = measured.join(own, "lang", "left")
+    joined = measured
+    for c, known in (("lang", measured.where(F.col("lang").isNotNull())), ("script", measured)):
+        found = bands(known.select(F.col(c).alias("lang"), "m", "base_failed"), spec).where(F.col("lang").isNotNull())
+        found = stored(found.select(F.col("lang").alias(f"_{c}"), *[F.col(x).alias(f"_{c}_{x}") for x in ("n_documents", "middle", "spread")]))
+        joined = joined.join(found, F.col(c) == F.col(f"_{c}"), "left")
+    own = F.col("_lang_n_documents") / (F.col("_lang_n_documents") + F.lit(float(spec.documents)))
     for c in ("middle", "spread"):
-        joined = joined.withColumn(f"_all_{c}", common.select(c).scalar())
-    joined = joined.withColumn("middle", F.coalesce("_middle", "_all_middle")).withColumn("spread", F.coalesce("_spread", "_all_spread"))
+        drawn = F.zip_with(f"_lang_{c}", f"_script_{c}", lambda x, y: x * own + y * (1 - own))
+        joined = joined.withColumn(c, F.coalesce(drawn, f"_lang_{c}", f"_script_{c}"))
     parts = []
     for i, name in enumerate(spec.vocabularies):
         for j, kind in enumerate(("chars_per_token", "byte_share", "entropy")):

@@ -105,3 +105,17 @@ def test_scripts_and_empty_tables(spark):
     assert fertility.report(empty).collect() == []
     short = spark.createDataFrame([(1, "too short", "en"), (1, "too short", "en")], "doc_id long, text string, lang string")
     assert [r["kept"] for r in fertility.report(short).collect()] == [False, False]
+
+
+def test_a_rare_language_in_another_script_has_bands_of_its_own(spark):
+    """On both sides of any number of documents, and never by those of another script."""
+    r = random.Random(5)
+
+    def cyrillic(n):
+        return " ".join(r.choice("быстрая лиса прыгает через ленивую собаку пока светит солнце над старым домом".split()) for _ in range(n))
+
+    rows = [(i, prose(r, r.randint(60, 300)), "en") for i in range(200)]
+    for k, (lang, n) in enumerate((("uk", 3), ("bg", 49), ("ru", 51))):
+        rows += [(1000 * (k + 1) + i, cyrillic(r.randint(60, 300)), lang) for i in range(n)]
+    got = fertility.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(x["kept"] for x in got)

@@ -3,7 +3,8 @@
 Every line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, where tokens with digits count as a
 variable field. Within a leaf the templates are generalised: at each position the token of the majority of lines stays, others become
 a field. Lines that agree with that at enough positions belong to the template; the rest of the leaf goes
-through the same once more, and what remains then is a template of its own. Lines whose template recurs in several documents are
+through the same once more. What remains then is split by its most informative position, and each part goes through the same, until
+no part is left that could hold a recurring template. Lines whose template recurs in several documents are
 dropped, except where it stands first.
 
 The tree is a key, so leaves are groups of a shuffle. Leaves with too few lines or one document are out before any text moves, equal
@@ -15,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwatch.llm.common import WORD, free_name, maybe_in
 from sparkwatch.session import stored
@@ -33,6 +34,7 @@ class Templates:
     constants: int = 2
     #: Share of positions at which a line must agree with its template.
     agree: float = 0.7
+    #: Times a leaf is generalised before what remains of it is split.
     rounds: int = 2
     #: Documents in which a template must stand to be dropped from all but the first.
     documents: int = 5
@@ -65,22 +67,65 @@ def generalised(counts: DataFrame) -> DataFrame:
     return parts.select("leaf", F.transform("p", lambda x: x["token"]).alias("template"))
 
 
+def fitted(left: DataFrame, spec: Templates) -> DataFrame:
+    """``left`` with the ``template`` of its leaf and whether the line ``fits`` it."""
+    pairs = left.join(generalised(left), "leaf").withColumn("w", F.split("line", " "))
+    same = F.aggregate(F.zip_with("w", "template", lambda x, y: ((x == y) & (y != FIELD)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return stored(pairs.select(*left.columns, "template", (same >= F.size("w") * spec.agree).alias("fits")))
+
+
+def split_by_position(left: DataFrame) -> DataFrame:
+    """``left`` in finer leaves: by the token at that position which the next varying position tells most about.
+
+    Words of a template go together, so the next one leaves little of their entropy; a variable field keeps most of its own. A leaf with one
+    varying position is split by that.
+    """
+    places = left.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    varying = places.groupBy("leaf", "at").agg(F.min("token").alias("a"), F.max("token").alias("b")).where("a != b")
+    order = Window.partitionBy("leaf").orderBy("at")  # as many rows as a line has tokens
+    varying = stored(varying.select("leaf", "at", F.lead("at").over(order).alias("next"), F.lag("at").over(order).alias("last")))
+    known = left.join(varying, "leaf").withColumn("w", F.split("line", " "))
+    token = F.get("w", F.col("at"))
+    beside = F.explode(F.array_compact(F.array("next", "last")))
+    lone = known.select("leaf", "n", "at", token.alias("token"), "w", F.coalesce("next", "last").isNull().alias("lone"), "next", "last")
+    pairs = lone.select("leaf", "n", "at", "token", "w", beside.alias("other")).withColumn("seen", F.get("w", F.col("other")))
+    logs = F.sum(F.col("n") * F.log2("n"))
+    both = pairs.groupBy("leaf", "at", "other", "token", "seen").agg(F.sum("n").alias("n"))
+    joint = both.groupBy("leaf", "at", "other").agg(logs.alias("joint"), F.sum("n").alias("all"))
+    seen = both.groupBy("leaf", "at", "other", "seen").agg(F.sum("n").alias("n")).groupBy("leaf", "at", "other").agg(logs.alias("seen"))
+    own = both.groupBy("leaf", "at", "other", "token").agg(F.sum("n").alias("n")).groupBy("leaf", "at", "other").agg(logs.alias("own"))
+    scored = joint.join(seen, ["leaf", "at", "other"]).join(own, ["leaf", "at", "other"])
+    entropy = F.col("all") * F.log2("all") - F.col("own")
+    told = scored.select("leaf", "at", F.round((F.col("seen") - F.col("joint")) / entropy, 9).alias("rest"), F.round(entropy, 6).alias("entropy"))
+    single = varying.where(F.coalesce("next", "last").isNull()).select("leaf", "at", F.lit(0.0).alias("rest"), F.lit(0.0).alias("entropy"))
+    best = told.unionByName(single).groupBy("leaf").agg(F.min(F.struct("rest", "entropy", "at")).alias("b")).select("leaf", F.col("b.at").alias("at"))
+    finer = F.xxhash64("leaf", "at", F.get(F.split("line", " "), F.col("at")))
+    # a leaf of one line does not vary and needs no more
+    return left.join(best, "leaf").select(finer.alias("leaf"), "root", "line", "n")
+
+
 def templates(lines: DataFrame, spec: Templates = Templates()) -> DataFrame:
     """``leaf, line, template`` of the distinct lines."""
-    left = stored(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
+    every = stored(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
+    left = every.withColumn("root", F.col("leaf"))
     done = []
-    for _ in range(spec.rounds):
-        made = generalised(left)
-        pairs = left.join(made, "leaf").withColumn("w", F.split("line", " "))
-        same = F.aggregate(F.zip_with("w", "template", lambda x, y: ((x == y) & (y != FIELD)).cast("int")), F.lit(0), lambda s, x: s + x)
-        tried = stored(pairs.select("leaf", "line", "n", "template", (same >= F.size("w") * spec.agree).alias("fits")))
-        done.append(tried.where("fits").select("leaf", "line", F.array_join("template", " ").alias("template")))
-        left = tried.where(~F.col("fits")).select("leaf", "line", "n")
-    done.append(left.select("leaf", "line", F.col("line").alias("template")))
-    out = done[0]
+    while True:
+        for _ in range(spec.rounds):
+            tried = fitted(left, spec)
+            done.append(tried.where("fits").select(F.col("root").alias("leaf"), "line", F.array_join("template", " ").alias("template")))
+            left = tried.where(~F.col("fits")).drop("template", "fits")
+        # fewer lines than documents make no recurring template
+        large = left.groupBy("leaf").agg((F.sum("n") >= spec.documents).alias("large"), F.count(F.lit(1)).alias("k")).where("large AND k > 1").select("leaf")
+        left = stored(left.join(large, "leaf", "left_semi"))
+        if left.isEmpty():
+            break
+        left = stored(split_by_position(left))
+    out = done[0] if done else every.select("leaf", "line", F.col("line").alias("template")).limit(0)
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    # what has no template is one of its own
+    rest = every.join(out, ["leaf", "line"], "left_anti").select("leaf", "line", F.col("line").alias("template"))
+    return out.unionByName(rest)
 
 
 def dropped_lines(df: DataFrame, spec: Templates = Templates()) -> DataFrame:

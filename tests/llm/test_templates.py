@@ -112,3 +112,36 @@ def test_report(spark):
     want = [(i, 2, 0 if i == 0 else 1, len(whole if i == 0 else left), hashlib.sha256((whole if i == 0 else left).encode()).hexdigest()) for i, _ in rows if i != 9]
     assert got == sorted([*want, (9, 0, 0, 0, hashlib.sha256(b"").hexdigest())])
     assert templates.report(df.limit(0)).collect() == []
+
+
+def drain(lines, agree=0.7):
+    """One line after the other joins the group it is most like, or begins one: {line: number of its group}."""
+    groups, of = [], {}
+    for w in lines:
+        likes = [sum(x == y for x, y in zip(w, g)) / len(w) for g in groups]
+        best = max(range(len(groups)), key=likes.__getitem__, default=None)
+        if best is None or likes[best] < agree:
+            groups.append(list(w))
+            best = len(groups) - 1
+        else:
+            groups[best] = [x if x == y else FIELD for x, y in zip(w, groups[best])]
+        of[" ".join(w)] = best
+    return of
+
+
+@pytest.mark.parametrize("kinds", [3, 12])
+def test_many_equal_templates_in_one_leaf(spark, kinds):
+    r = random.Random(kinds)
+    names = [a + b for a in "kalorimutanesi" for b in "xyzvwq"][:40]
+    tails = [[f"{'abcdefghijkl'[k]}{x}" for x in ("read", "via", "our", "post", "today")] for k in range(kinds)]
+    rows = []
+    for i in range(kinds * 20):
+        tail = tails[i % kinds]
+        rows.append((i, " ".join(["Click", "here", "to", *tail[:3], r.choice(names), *tail[3:]])))
+    of = drain([t.split() for _, t in rows])
+    assert len(set(of.values())) == kinds
+    first = {}
+    for i, t in rows:
+        first.setdefault(of[t], i)
+    got = {x["doc_id"]: x["n_dropped"] for x in templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(first[of[t]] != i) for i, t in rows}

@@ -42,7 +42,7 @@ class Fertility:
 
     vocabularies: tuple[str, ...] = ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
     #: Scaled median deviations from the median for a text of ``reference_tokens`` or more; shorter ones get more room.
-    width: float = 6.0
+    width: float = 3.5
     reference_tokens: int = 400
     #: Least deviation, in the measure's own unit: characters per token, share, relative entropy.
     least: tuple[float, float, float] = (0.05, 0.004, 0.01)

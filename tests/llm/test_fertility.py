@@ -119,3 +119,11 @@ def test_a_rare_language_in_another_script_has_bands_of_its_own(spark):
         rows += [(1000 * (k + 1) + i, cyrillic(r.randint(60, 300)), lang) for i in range(n)]
     got = fertility.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert all(x["kept"] for x in got)
+
+
+def test_width_of_the_bands(spark):
+    """Five deviations away is outside, three inside."""
+    rows = [(off, [2.5 + off * 0.1, 0.0, 0.9], 400, [2.5, 0.0, 0.9], [0.1, 0.004, 0.01]) for off in (-5, -3, 3, 5)]
+    df = spark.createDataFrame(rows, "off int, m array<double>, n_tokens long, middle array<double>, spread array<double>")
+    got = {r["off"]: r["ok"] for r in df.withColumn("ok", fertility.within(Fertility(vocabularies=("one",)))).collect()}
+    assert got == {-5: False, -3: True, 3: True, 5: False}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwatch.llm import bpe, fertility, language, lm_difference, mixing, ngram_join, ordermin, packing, quality, templates
+from sparkwatch.llm import bpe, fertility, language, lm_difference, mixing, ngram_join, ordermin, packing, quality, sharding, templates
 from sparkwatch.llm.common import documents, labels
 
 
@@ -51,6 +51,10 @@ def attention_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.report(documents(spark, sf), labels(spark, sf))
 
 
+def external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.report(documents(spark, sf))
+
+
 QUERIES = {
     "op1_tokeniser_fertility": tokeniser_fertility,
     "op2_lm_cross_entropy_difference": lm_cross_entropy_difference,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_packed_token_ids": packed_token_ids,
     "op9_order_minhash": order_minhash,
     "op10_attention_quality": attention_quality,
+    "op11_external_shuffle": external_shuffle,
 }
 
 ORACLES: dict[str, str] = {}

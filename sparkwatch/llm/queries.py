@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwatch.llm import bpe, fertility, language, lm_difference, mixing, ngram_join, ordermin, packing, quality, sharding, templates
+from sparkwatch.llm import bpe, fertility, language, lm_difference, merkle, mixing, ngram_join, ordermin, packing, quality, sharding, templates, whitening
 from sparkwatch.llm.common import documents, labels
 
 
@@ -55,6 +55,14 @@ def external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.report(documents(spark, sf))
 
 
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.report(documents(spark, sf))
+
+
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.report(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_tokeniser_fertility": tokeniser_fertility,
     "op2_lm_cross_entropy_difference": lm_cross_entropy_difference,
@@ -67,6 +75,8 @@ QUERIES = {
     "op9_order_minhash": order_minhash,
     "op10_attention_quality": attention_quality,
     "op11_external_shuffle": external_shuffle,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_embedding_whitening": embedding_whitening,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle_manifest": merkle.ORACLE}

@@ -1,11 +1,13 @@
 """Exact percentiles per group that do not gather a group in one task.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a group may hold a third of a huge
-table. Order statistics are found by narrowing instead, at every size in the same way: values are counted (combined
-before the shuffle, spread by group and value), a group's counts are summed per logarithmic bucket and then per linear slice of
-the buckets that hold a wanted rank, and only the few values of those slices are ordered.
+table. Order statistics are found by radix selection instead, at every size in the same way. The source is read once: its values are counted
+(combined before the shuffle, spread by group and value) and written. A value falls in a cell by sign and 4,096th of its octave, which keeps
+the order; a group's counts are summed per cell, and only the values of cells that hold a wanted rank are ordered. A cell with very many
+different values is cut into even slices first, as often as it takes.
 
-Infinities have buckets of their own, and NaN is greater than any number, as in Spark's ordering.
+Several groupings of the same rows share the counts. Infinities have cells of their own, and NaN is greater than any number, as in
+Spark's ordering.
 """
 
 from __future__ import annotations
@@ -14,42 +16,62 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_PER_OCTAVE = 64
-_SLICES = 4096
+from sparkwatch.session import discard, stored
+
+_PER_OCTAVE = 4096
 _OCTAVES = 1100
+_SLICES = 4096
+#: Most different values that are put in order in one task.
+_ORDERED = 1 << 20
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], out: str = "levels") -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], out: str = "levels", ordered: int = _ORDERED
+) -> DataFrame:
     """One row per group: ``keys`` and ``out``, an array with one value per level, linear between the nearest ranks.
 
-    NULL values do not count; a group without others has no row. Between infinities of different sign, and next to NaN, there is
-    only NaN.
+    NULL values do not count; a group without others has no row. Rows without a key are a group like others. Between infinities of different
+    sign, and next to NaN, there is only NaN.
     """
-    keys = list(keys)
-    marked = df.where(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
-    group = keys + ["_all"]
-    counts = marked.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _bucket(F.col("_v")))
-
-    buckets = counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    in_group = Window.partitionBy(*group)
-    buckets = buckets.select("*", _before(in_group.orderBy("_bucket"), "_m").alias("_start"), F.sum("_m").over(in_group).alias("_total"))
-    ranks = [edge for p in levels for edge in _rank_edges(p)]
-    buckets = _holding(buckets.withColumn("_ranks", F.array_distinct(F.array(*ranks))), "_m")
-
-    at_bucket = group + ["_bucket"]
-    carried = ["_start", "_total", "_ranks"]
-    near = counts.join(buckets.select(*at_bucket, "_lo", "_hi", *carried), at_bucket).select(*at_bucket, "_v", "_n", *carried, _slice().alias("_slice"))
-    slices = near.groupBy(*at_bucket, "_slice").agg(F.sum("_n").alias("_m"), *[F.first(c).alias(c) for c in carried])
-    slices = slices.withColumn("_start", F.col("_start") + _before(Window.partitionBy(*at_bucket).orderBy("_slice"), "_m"))
-    slices = _holding(slices, "_m").select(*at_bucket, "_slice", *carried)
-
-    at_slice = at_bucket + ["_slice"]
-    found = near.select(*at_slice, "_v", "_n").join(slices, at_slice)
-    ordered = Window.partitionBy(*at_slice).orderBy("_v")
-    found = _holding(found.withColumn("_start", F.col("_start") + _before(ordered, "_n")), "_n")
+    (found,) = grouped_percentiles(df, [list(keys)], value, levels, out, ordered)
+    return found
+
+
+def grouped_percentiles(
+    df: DataFrame, groupings: Sequence[Sequence[str]], value: str, levels: Sequence[float], out: str = "levels", ordered: int = _ORDERED
+) -> list[DataFrame]:
+    """The same for several groupings, from one pass over ``df``: a frame for each, with a further column ``rows``."""
+    keys = list(dict.fromkeys(k for grouping in groupings for k in grouping))
+    marked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counts = stored(marked.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    # equal structs are equal also where fields are null
+    names = [F.struct(F.lit(i).alias("_grouping"), *[F.col(k) if k in g else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]) for i, g in enumerate(groupings)]
+    name = F.explode(F.array(*names)) if len(names) > 1 else names[0]
+    values = counts.select(name.alias("_key"), "_v", "_n", F.lit(0).cast("long").alias("_part")).withColumn("_cell", _cell(F.col("_v")))
+    wanted = [F.array_distinct(F.array(*[edge for p in levels for edge in _rank_edges(p)]))]
+
+    total = Window.partitionBy("_key")
+    cells = _summed(values)
+    cells = cells.select("*", _before(total.orderBy("_cell"), "_m").alias("_start"), F.sum("_m").over(total).alias("_total"))
+    held = stored(_holding(cells.withColumn("_ranks", wanted[0]), "_m"))
+    written = [counts, held]
+    while (held.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_d")))).first()[0] or 0) > ordered:
+        # dense numbers of the cells of a group: at most two per level
+        place = F.row_number().over(total.orderBy("_cell")).cast("long").alias("_place")
+        inside = values.drop("_part").join(held.select("_key", "_cell", "_lo", "_hi", place), ["_key", "_cell"])
+        values = stored(inside.select("_key", "_v", "_n", F.col("_place").alias("_part"), (F.col("_place") * _SLICES + _slice()).alias("_cell")))
+        held = held.select("_key", place, "_start", "_total", "_ranks")
+        cells = _summed(values).join(held.withColumnsRenamed({"_place": "_part", "_start": "_from"}), ["_key", "_part"])
+        cells = cells.withColumn("_start", F.col("_from") + _before(Window.partitionBy("_key", "_part").orderBy("_cell"), "_m")).drop("_from")
+        held = stored(_holding(cells, "_m"))
+        written += [values, held]
+
+    near = values.join(held.select("_key", "_cell", "_start", "_total", "_ranks"), ["_key", "_cell"])
+    near = near.withColumn("_start", F.col("_start") + _before(Window.partitionBy("_key", "_cell").orderBy("_v"), "_n"))
     picked = (
-        found.select(*group, "_v", "_total", F.explode("_ranks").alias("_rank"))
-        .groupBy(*group)
+        _holding(near, "_n")
+        .select("_key", "_v", "_total", F.explode("_ranks").alias("_rank"))
+        .groupBy("_key")
         # at most two ranks per level, whatever the size of the group
         .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"), F.first("_total").alias("_total"))
     )
@@ -59,7 +81,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: Se
         weight = (F.col("_total") - 1) * F.lit(float(p)) - low
         below, above = F.element_at("_at", low), F.element_at("_at", high)
         answers.append(F.when((weight == 0) | (below == above), below).otherwise(below + (above - below) * weight))
-    return picked.select(*keys, F.array(*answers).alias(out))
+    done = stored(picked.select("_key", F.array(*answers).alias("_answers"), "_total"))
+    for table in written:
+        discard(table)
+    return [
+        done.where(F.col("_key._grouping") == i).select(*[F.col("_key")[k].alias(k) for k in g], F.col("_answers").alias(out), *([F.col("_total").alias("rows")] if len(groupings) > 1 else []))
+        for i, g in enumerate(groupings)
+    ]
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -67,8 +95,14 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return found.select(*keys, F.col("_at")[0].alias(out))
 
 
-def _bucket(v: Column) -> Column:
-    """A coarse, order-preserving bucket of a double: sign, then a slice of its octave."""
+def _summed(values: DataFrame) -> DataFrame:
+    """Rows, different values and bounds per cell."""
+    sums = [F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    return values.groupBy("_key", "_part", "_cell").agg(*sums)
+
+
+def _cell(v: Column) -> Column:
+    """A coarse, order-preserving cell of a double: sign, then a slice of its octave."""
     size = F.floor((F.log2(F.abs(v)) + F.lit(float(_OCTAVES))) * F.lit(_PER_OCTAVE)).cast("long") + 1
     last = 4 * _OCTAVES * _PER_OCTAVE
     finite = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
@@ -81,9 +115,10 @@ def _bucket(v: Column) -> Column:
 
 
 def _slice() -> Column:
-    """A linear slice of a bucket; one of equal values (among them infinities and NaN) has a single one."""
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return F.when(F.col("_lo") < F.col("_hi"), F.floor(share * (_SLICES - 1))).otherwise(F.lit(0).cast("long"))
+    """A linear slice of a cell; one of equal values (among them infinities and NaN) has a single one."""
+    # halves, so that the distance of two large numbers stays finite
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    return F.when(F.col("_lo") < F.col("_hi"), F.least(F.floor(share * _SLICES), F.lit(_SLICES - 1))).otherwise(0).cast("long")
 
 
 def _rank_edges(level: float) -> tuple[Column, Column]:

@@ -1,26 +1,41 @@
-"""Gradient-boosted quantile trees per series, grown by Spark aggregations.
+"""Gradient-boosted quantile trees per series, grown from histograms.
 
-One model per (series, level) is grown for all series and levels at once. Features are binned per series; a
-round adds one tree to every model. For each tree level one aggregation counts, per node, feature and
-bin, the rows and those above the current prediction. The quantile loss has only two gradients, so
-these two counts hold everything a split needs, and they combine before the shuffle. No series is ever gathered
-in one task: a row only meets its series' small model tables.
+One model per (series, level). Training rows are binned per series and lie in blocks of a bounded number of rows, a table row per block.
+
+* A series that fits in one block is grown in the task that holds the block, one task per model; its histograms need no exchange.
+* A longer series (one may hold a third of all rows) is grown round by round: per tree level, tasks count histograms of their blocks,
+  one fixed array per series x level x node x feature, and one exchange sums them. Only the smaller of two siblings is counted,
+  the other is what is left of the parent's. Leaves are exact quantiles over all blocks.
+
+Counts are whole numbers and both ways share the same steps (``functions.trees``), so they grow the same trees. No series is gathered in one
+task, and trees are never on the driver.
+
+A model is a row of flat arrays (feature, bin, missing side and leaf by round and node). Prediction brings the models of a series to
+bounded parts of its rows and takes all rows of a part down each tree at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sparkwatch.functions import trees as grown
 from sparkwatch.functions.ladder import LEVELS
 from sparkwatch.functions.percentiles import exact_percentiles
 from sparkwatch.operators.forecast import anchored
 from sparkwatch.schema import SERIES
-from sparkwatch.session import stored
+from sparkwatch.session import discard, stored
 
-_LEAST_GAIN = 1e-9
+MODEL = "service string, metric string, level int, feature binary, bin binary, side binary, leaf binary"
+_BLOCK = "service string, metric string, parts int, edges array<array<double>>, base array<double>, bins binary, target binary, at binary"
+_COUNTED = "service string, metric string, level int, node int, feature int, counts binary"
+_SETTLED = f"{_COUNTED}, gain double, bin int, side boolean, left long, right long"
+#: Histogram bytes that a task gathers before it sends them on.
+_HELD = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -33,62 +48,32 @@ class BoostConfig:
     min_leaf: int = 40
     bins: int = 255
     levels: tuple[float, ...] = LEVELS
+    #: Most training rows of a block, and about the most rows that are predicted together.
+    block_rows: int = 1 << 16
 
     @property
-    def slots(self) -> int:
+    def nodes(self) -> int:
         """Node numbers per tree: node k has children 2k and 2k + 1."""
         return 2 ** (self.depth + 1)
 
 
 def fit(train: DataFrame, features: Sequence[str], config: BoostConfig = BoostConfig()) -> DataFrame:
-    """Model table, one row per series: bin ``edges``, ``base`` predictions and the ``trees``.
+    """Model table, a row per series and level, with the series' bin ``edges`` and the model's ``base``.
 
-    ``train`` holds the series, ``target`` and the feature columns.
+    ``train`` holds the series, ``target`` and the feature columns; a feature that is null or NaN counts as missing.
     """
-    edges = stored(bin_edges(train, features, config.bins))
-    base = stored(exact_percentiles(train, SERIES, "target", config.levels, "base"))
-    rows = stored(
-        train.join(edges, SERIES)
-        .join(base, SERIES)
-        .select(*SERIES, F.col("target"), binned(features).alias("bins"), F.col("base").alias("at"))
-    )
     if config.rounds < 1 or config.depth < 1:
         raise ValueError("at least one round and one level of splits are needed")
-    rounds: DataFrame | None = None
-    for number in range(config.rounds):
-        tree, rows = _round(rows, config)
-        tree = tree.withColumn("round", F.lit(number))
-        rounds = tree if rounds is None else rounds.unionByName(tree)
-    model = edges.join(base, SERIES)
-    # one entry per round; maps cannot be compared, so the rounds are ordered by their number alone
-    trees = F.array_sort(
-        F.collect_list(F.struct("round", "splits", "leaves")), lambda a, b: (a["round"] - b["round"]).cast("int")
-    )
-    grown = rounds.groupBy(*SERIES).agg(trees.alias("trees"))
-    return stored(model.join(grown, SERIES))
-
-
-def predict(rows: DataFrame, features: Sequence[str], model: DataFrame | None, config: BoostConfig = BoostConfig()) -> DataFrame:
-    """Add ``q``, the ladder of predicted values, to rows with features and ``anchor``."""
-    if model is None:
-        raise RuntimeError("fit before predict")
-    kept = rows.columns
-    joined = rows.join(model, SERIES, "left").withColumn("_bins", binned(features))
-
-    def moved(level: Column) -> Column:
-        return F.aggregate(
-            F.col("trees"),
-            F.get(F.col("base"), level),
-            lambda total, tree: total
-            + F.coalesce(
-                F.element_at(tree["leaves"], _key(level, _descend("_bins", tree["splits"], level, config), config)),
-                F.lit(0.0),
-            )
-            * F.lit(config.learning_rate),
-        )
-
-    changes = F.transform(_level_numbers(config), moved)
-    return joined.withColumn("q", F.when(F.col("base").isNotNull(), anchored(changes))).select(*kept, "q")
+    series = _series(train, features, config)
+    blocks = stored(_blocks(train, series, features, config))
+    sizes = series.agg(F.count(F.lit(1)), F.sum((F.col("parts") > 1).cast("int"))).first()
+    models = _grown_whole(blocks.where("parts = 1"), sizes[0], config)
+    if sizes[1]:
+        models = models.unionByName(_grown_by_rounds(blocks.where("parts > 1"), len(features), config))
+    base = F.get("base", F.col("level")).alias("base")
+    models = stored(models.join(series, SERIES).select(*SERIES, "level", "edges", base, "feature", "bin", "side", "leaf"))
+    discard(blocks)
+    return models
 
 
 def bin_edges(train: DataFrame, features: Sequence[str], bins: int) -> DataFrame:
@@ -97,146 +82,309 @@ def bin_edges(train: DataFrame, features: Sequence[str], bins: int) -> DataFrame
     The sketches are mergeable and of fixed size. They only decide where a split may be tried.
     """
     shares = F.array(*[F.lit((i + 1) / (bins + 1)) for i in range(bins)])
-    found = [F.array_distinct(F.percentile_approx(f, shares, 10_000)) for f in features]
+    found = [F.array_distinct(F.percentile_approx(F.nanvl(f, F.lit(None).cast("double")), shares, 10_000)) for f in features]
     return train.groupBy(*SERIES).agg(F.array(*[F.coalesce(e, F.array().cast("array<double>")) for e in found]).alias("edges"))
 
 
-def binned(features: Sequence[str]) -> Column:
-    """Per feature the number of edges below the value; -1 where it is missing."""
+def _series(train: DataFrame, features: Sequence[str], config: BoostConfig) -> DataFrame:
+    """A row per series: bin edges, base predictions, number of blocks."""
+    base = exact_percentiles(train, SERIES, "target", config.levels, "base")
+    parts = train.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / config.block_rows).cast("int").alias("parts"))
+    return stored(bin_edges(train, features, config.bins).join(base, SERIES).join(parts, SERIES))
 
-    def bin_of(i: int, feature: str) -> Column:
-        below = F.filter(F.get("edges", F.lit(i)), lambda edge: edge < F.col(feature))
-        return F.when(F.col(feature).isNull(), F.lit(-1)).otherwise(F.size(below))
 
-    return F.array(*[bin_of(i, f) for i, f in enumerate(features)])
+def _in_parts(rows: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a ``_part`` below their series' ``parts``, and ``series`` once for each part."""
+    plain = [f.name for f in rows.schema.fields if "map" not in f.dataType.simpleString()]
+    dealt = rows.join(series.select(*SERIES, F.col("parts").alias("_parts")), SERIES)
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*plain), F.col("_parts")).cast("int")).drop("_parts")
+    # named anew: both sides may come from the same rows
+    each = series.select(*[F.col(c).alias(c) for c in series.columns], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+    return dealt, each
 
 
-def _level_numbers(config: BoostConfig) -> Column:
-    return F.array(*[F.lit(i) for i in range(len(config.levels))])
+def _matrix(table: pa.Table, features: Sequence[str]) -> np.ndarray:
+    columns = [table.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features]
+    return np.column_stack(columns) if columns else np.zeros((table.num_rows, 0))
 
 
-def _key(level: Column, node: Column, config: BoostConfig) -> Column:
-    """One number for a node of the tree of a level."""
-    return level * config.slots + node
+def _blocks(train: DataFrame, series: DataFrame, features: Sequence[str], config: BoostConfig) -> DataFrame:
+    """A row per block: its binned rows, targets and predictions so far (one row of ``at`` per level)."""
+    rows, each = _in_parts(train.select(*SERIES, "target", *features), series)
+    schema = pa.schema([("service", pa.string()), ("metric", pa.string()), ("parts", pa.int32()), ("edges", pa.list_(pa.list_(pa.float64()))), ("base", pa.list_(pa.float64())), ("bins", pa.binary()), ("target", pa.binary()), ("at", pa.binary())])
+    empty = schema.empty_table()
 
+    def pack(part: pa.Table, about: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return empty
+        (row,) = about.select(["service", "metric", "parts", "edges", "base"]).to_pylist()
+        edges = [np.array(e) for e in row["edges"]]
+        bins = grown.to_bins(_matrix(part, features), edges)
+        target = part.column("target").to_numpy(zero_copy_only=False)
+        at = np.repeat(np.array(row["base"])[:, None], len(target), 1)
+        return pa.Table.from_pylist([row | {"bins": bins.tobytes(), "target": target.tobytes(), "at": at.tobytes()}], schema)
 
-def _descend(bins: str, splits: Column, level: Column, config: BoostConfig, depth: int | None = None) -> Column:
-    """The node a row ends up in; a node without split is a leaf."""
+    keys = [*SERIES, "_part"]
+    return rows.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(pack, _BLOCK)
 
-    def step(node: Column, _: Column) -> Column:
-        split = F.element_at(splits, _key(level, node, config))
-        bin_ = F.get(F.col(bins), split["feature"])
-        left = F.when(bin_ < 0, split["missing_left"]).otherwise(bin_ <= split["bin"])
-        return F.when(split.isNull(), node).otherwise(node * 2 + F.when(left, 0).otherwise(1))
 
-    depth = config.depth if depth is None else depth
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step) if depth else F.lit(1)
+class _Block:
+    """A row of the block table as arrays."""
 
+    def __init__(self, row: dict):
+        self.key = (row["service"], row["metric"])
+        self.slots = grown.slots_of(row["edges"])
+        self.base = row["base"]
+        self.target = np.frombuffer(row["target"])
+        self.bins = np.frombuffer(row["bins"], np.uint16).reshape(len(self.target), -1)
+        self.at = np.frombuffer(row["at"]).reshape(-1, len(self.target))
 
-def _round(rows: DataFrame, config: BoostConfig) -> tuple[DataFrame, DataFrame]:
-    """Grow one tree per model: (splits and leaves per series, rows with moved predictions)."""
-    found: DataFrame | None = None
-    for depth in range(config.depth):
-        placed = _placed(rows, found, config, depth)
-        best = stored(_best_splits(placed.where(F.col("node") >= 2**depth), config))
-        found = best if found is None else found.unionByName(best)
-
-    placed = _placed(rows, found, config, config.depth)
-    shares = F.array(*[F.lit(float(p)) for p in config.levels])
-    leaves = (
-        placed.groupBy(*SERIES, "level", "node")
-        .agg(F.percentile_approx(F.col("residual"), shares, 10_000).alias("_all"))
-        .select(
-            *SERIES,
-            F.struct(_key(F.col("level"), F.col("node"), config).alias("key"), F.get("_all", F.col("level")).alias("value")).alias("_leaf"),
-        )
-        .groupBy(*SERIES)
-        # one entry per leaf of the round's trees
-        .agg(F.map_from_entries(F.collect_list("_leaf")).alias("leaves"))
-    )
-    tree = stored(leaves.join(_split_maps(found), SERIES, "left").select(*SERIES, "splits", "leaves"))
 
-    def moved(at: Column, level: Column) -> Column:
-        leaf = F.element_at(F.col("leaves"), _key(level, _descend("bins", F.col("splits"), level, config), config))
-        return at + F.lit(config.learning_rate) * F.coalesce(leaf, F.lit(0.0))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # a block at a time
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
-    rows = rows.join(tree, SERIES).select(*SERIES, "target", "bins", F.transform("at", moved).alias("at"))
-    return tree, stored(rows)
 
+def _packed(key: tuple, level: int, found: Sequence[grown.Tree]) -> dict:
+    arrays = {name: np.stack([getattr(tree, name) for tree in found]).tobytes() for name in ("feature", "bin", "side", "leaf")}
+    return {"service": key[0], "metric": key[1], "level": level, **arrays}
 
-def _split_maps(found: DataFrame) -> DataFrame:
-    """Splits per series as a map from node to split; a series without any is absent."""
-    entry = F.struct("key", F.struct("feature", "bin", "missing_left").alias("split"))
-    return found.groupBy(*SERIES).agg(F.map_from_entries(F.collect_list(entry)).alias("splits"))
 
+_MODEL = pa.schema([("service", pa.string()), ("metric", pa.string()), ("level", pa.int32()), ("feature", pa.binary()), ("bin", pa.binary()), ("side", pa.binary()), ("leaf", pa.binary())])
 
-def _placed(rows: DataFrame, found: DataFrame | None, config: BoostConfig, depth: int) -> DataFrame:
-    """A row per training row and level: its node and residual."""
-    if found is not None:
-        rows = rows.join(_split_maps(found), SERIES, "left")
 
-    def entry(at: Column, level: Column) -> Column:
-        node = F.lit(1) if found is None else _descend("bins", F.col("splits"), level, config, depth)
-        return F.struct(level.alias("level"), node.alias("node"), (F.col("target") - at).alias("residual"))
+def _grown_whole(blocks: DataFrame, series: int, config: BoostConfig) -> DataFrame:
+    """Models of series of one block, a task per model as far as there are tasks."""
 
-    return rows.select(*SERIES, "bins", F.inline(F.transform("at", entry)))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block, level = _Block(row), row["level"]
+            made = grown.grow(block.bins, block.target, block.base[level], config.levels[level], config, block.slots)
+            yield pa.RecordBatch.from_pylist([_packed(block.key, level, made)], _MODEL)
 
+    each = blocks.withColumn("level", F.explode(_level_numbers(config)))
+    return each.repartition(min(series * len(config.levels), 10_000) or 1).mapInArrow(work, MODEL)
 
-def _best_splits(placed: DataFrame, config: BoostConfig) -> DataFrame:
-    """The best split of every node that has one, from counts per (node, feature, bin)."""
-    node = [*SERIES, "level", "node"]
-    counts = (
-        placed.select(*node, (F.col("residual") > 0).cast("long").alias("_up"), F.posexplode("bins").alias("feature", "bin"))
-        .groupBy(*node, "feature", "bin")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_up").alias("_up"))
-    )
-    # one row per bin
-    whole = Window.partitionBy(*node, "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    missing = F.col("bin") < 0
-
-    def total(column: str, over, condition: Column | None = None) -> Column:
-        return F.sum(F.col(column) if condition is None else F.when(condition, F.col(column)).otherwise(0)).over(over)
-
-    level = F.get(F.array(*[F.lit(float(p)) for p in config.levels]), F.col("level"))
-    sums = counts.select(
-        *node,
-        "feature",
-        "bin",
-        level.alias("_q"),
-        total("_n", whole).alias("_n"),
-        total("_up", whole).alias("_u"),
-        total("_n", upto, ~missing).alias("_ln"),
-        total("_up", upto, ~missing).alias("_lu"),
-        total("_n", whole, missing).alias("_mn"),
-        total("_up", whole, missing).alias("_mu"),
-    ).where(~missing)
-
-    def strength(n: Column, up: Column) -> Column:
-        pull = (F.lit(1.0) - F.col("_q")) * n - up
-        return F.try_divide(pull * pull, n)
-
-    def candidate(missing_left: bool) -> Column:
-        ln = F.col("_ln") + (F.col("_mn") if missing_left else 0)
-        lu = F.col("_lu") + (F.col("_mu") if missing_left else 0)
-        rn, ru = F.col("_n") - ln, F.col("_u") - lu
-        gain = strength(ln, lu) + strength(rn, ru) - strength(F.col("_n"), F.col("_u"))
-        allowed = (ln >= config.min_leaf) & (rn >= config.min_leaf) & (gain > _LEAST_GAIN)
-        return F.when(
-            allowed,
-            F.struct(
-                gain.alias("gain"),
-                (-F.col("feature")).alias("f"),
-                (-F.col("bin")).alias("b"),
-                F.lit(missing_left).alias("missing_left"),
-            ),
-        )
-
-    best = sums.groupBy(*node).agg(F.max(F.greatest(candidate(True), candidate(False))).alias("_best"))
-    return best.where(F.col("_best").isNotNull()).select(
-        *SERIES,
-        _key(F.col("level"), F.col("node"), config).alias("key"),
-        (-F.col("_best.f")).alias("feature"),
-        (-F.col("_best.b")).alias("bin"),
-        F.col("_best.missing_left").alias("missing_left"),
+
+# --- series of several blocks -------------------------------------------------------------------
+
+
+def _grown_by_rounds(blocks: DataFrame, features: int, config: BoostConfig) -> DataFrame:
+    """Models of series of several blocks: histograms of all blocks are summed by an exchange per tree level."""
+    rounds: list[DataFrame] = []
+    names = stored(blocks.select(*SERIES).distinct().withColumn("level", F.explode(_level_numbers(config))))
+    now = blocks
+    for number in range(config.rounds):
+        rounds.append(_round(now, names, config).withColumn("round", F.lit(number)))
+        if number + 1 < config.rounds:
+            moved = stored(_moved(now, rounds[-1], config))
+            if number:
+                discard(now)
+            now = moved
+    every = rounds[0]
+    for tree in rounds[1:]:
+        every = every.unionByName(tree)
+
+    def pack(table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda r: r["round"])
+        first = found[0]
+        return pa.Table.from_pylist([_packed((first["service"], first["metric"]), first["level"], [_tree(r, config) for r in found])], _MODEL)
+
+    return every.groupBy(*SERIES, "level").applyInArrow(pack, MODEL)
+
+
+def _round(blocks: DataFrame, names: DataFrame, config: BoostConfig) -> DataFrame:
+    """A tree per series and level: ``splits`` and ``leaves``."""
+    splits = "array<struct<node:int,feature:int,bin:int,side:boolean>>"
+    tree = names.select(*SERIES, "level", F.array().cast(splits).alias("splits"), F.array(F.lit(1)).alias("open"))
+    before: DataFrame | None = None
+    for depth in range(config.depth):
+        settled = stored(_settled(_counted(blocks, tree, config), before, config))
+        if before is not None:
+            discard(before)
+        before = settled
+        best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), "bin", "side", "left", "right")).alias("b")
+        chosen = settled.where("gain > 0").groupBy(*SERIES, "level", "node").agg(best)
+        new = F.struct("node", (-F.col("b.f")).alias("feature"), F.col("b.bin").alias("bin"), F.col("b.side").alias("side"))
+        small = F.col("node") * 2 + (F.col("b.left") > F.col("b.right")).cast("int")
+        again = F.when(F.greatest("b.left", "b.right") >= 2 * config.min_leaf, small)
+        # at most a tree's nodes
+        found = chosen.groupBy(*SERIES, "level").agg(F.collect_list(new).alias("_new"), F.collect_list(again).alias("_open"))
+        joined = tree.drop("open").join(found, [*SERIES, "level"], "left")
+        grown_on = F.concat("splits", F.coalesce("_new", F.array().cast(splits))).alias("splits")
+        older, tree = tree, stored(joined.select(*SERIES, "level", grown_on, F.coalesce("_open", F.array().cast("array<int>")).alias("open")))
+        if depth:
+            discard(older)
+        if tree.where(F.size("open") > 0).isEmpty():
+            break
+    discard(before)
+    own = F.get(F.col("_all"), F.col("level")).alias("value")
+    left = stored(_residuals(blocks, tree, config))
+    quantiles = exact_percentiles(left, [*SERIES, "level", "node"], "residual", config.levels, "_all")
+    leaves = quantiles.groupBy(*SERIES, "level").agg(F.collect_list(F.struct("node", own)).alias("leaves"))
+    whole = stored(tree.drop("open").join(leaves, [*SERIES, "level"]))
+    discard(left)
+    discard(tree)
+    return whole
+
+
+def _with_trees(blocks: DataFrame, tree: DataFrame) -> DataFrame:
+    """Blocks with the trees of their series, an entry per level."""
+    fields = [c for c in tree.columns if c not in SERIES and c != "round"]
+    return blocks.join(tree.groupBy(*SERIES).agg(F.collect_list(F.struct(*fields)).alias("trees")), SERIES)
+
+
+def _tree(row: dict, config: BoostConfig) -> grown.Tree:
+    tree = grown.Tree(config.depth)
+    for s in row["splits"]:
+        tree.split(s["node"], s["feature"], s["bin"], s["side"])
+    for leaf in row.get("leaves") or []:
+        tree.leaf[leaf["node"]] = leaf["value"]
+    return tree
+
+
+def _nodes(block: _Block, tree: grown.Tree, config: BoostConfig) -> np.ndarray:
+    node = np.ones(len(block.target), np.int64)
+    for _ in range(config.depth):
+        node = grown.step_down(block.bins, node, block.slots - 1, tree.feature, tree.bin, tree.side)
+    return node
+
+
+def _counted(blocks: DataFrame, tree: DataFrame, config: BoostConfig) -> DataFrame:
+    """Histograms of the ``open`` nodes, a row per task (or as much as a task may hold), node and feature."""
+    schema = pa.schema([("service", pa.string()), ("metric", pa.string()), ("level", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("counts", pa.binary())])
+
+    def sent(held: dict) -> Iterator[pa.RecordBatch]:
+        for (key, level), (nodes, counts) in held.items():
+            rows = [
+                {"service": key[0], "metric": key[1], "level": level, "node": node, "feature": f, "counts": counts[c, f].tobytes()}
+                for c, node in enumerate(nodes)
+                for f in range(counts.shape[1])
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for row in _rows(batches):
+            block = _Block(row)
+            for entry in row["trees"]:
+                if not entry["open"]:
+                    continue
+                place = np.full(config.nodes, -1, np.int64)
+                place[entry["open"]] = np.arange(len(entry["open"]))
+                up = block.target > block.at[entry["level"]]
+                counts = grown.histograms(block.bins, up, place[_nodes(block, _tree(entry, config), config)], len(entry["open"]), block.slots)
+                at = (block.key, entry["level"])
+                held[at] = (entry["open"], held[at][1] + counts if at in held else counts)
+            if sum(counts.nbytes for _, counts in held.values()) > _HELD:
+                yield from sent(held)
+                held = {}
+        yield from sent(held)
+
+    return _with_trees(blocks, tree).mapInArrow(work, _COUNTED)
+
+
+def _settled(counted: DataFrame, before: DataFrame | None, config: BoostConfig) -> DataFrame:
+    """Summed histograms of the counted nodes and of their siblings, each with its best split on the feature."""
+    keys = [*SERIES, "level", "_over", "feature"]
+    schema = pa.schema(
+        [("service", pa.string()), ("metric", pa.string()), ("level", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("counts", pa.binary())]
+        + [("gain", pa.float64()), ("bin", pa.int32()), ("side", pa.bool_()), ("left", pa.int64()), ("right", pa.int64())]
     )
+    empty = schema.empty_table()
+
+    def settle(parts: pa.Table, over: pa.Table | None) -> pa.Table:
+        if not parts.num_rows:
+            return empty
+        total = sum(np.frombuffer(c.as_py(), np.int64) for c in parts.column("counts"))
+        first = parts.select(["service", "metric", "level", "node", "feature"]).slice(0, 1).to_pylist()[0]
+        cells = {first["node"]: total}
+        if over is not None:
+            cells[first["node"] ^ 1] = np.frombuffer(over.column("counts")[0].as_py(), np.int64) - total
+        counts = np.stack([c.reshape(1, -1, 2) for c in cells.values()])
+        best = grown.best_splits(counts, config.levels[first["level"]], config.min_leaf)
+        rows = []
+        for c, node in enumerate(cells):
+            split = {"gain": float(best["gain"][c]), "bin": int(best["bin"][c]), "side": bool(best["side"][c]), "left": int(best["left"][c]), "right": int(best["right"][c])}
+            rows.append(first | {"node": node, "counts": counts[c].tobytes(), **split})
+        return pa.Table.from_pylist(rows, schema)
+
+    counted = counted.withColumn("_over", F.expr("node div 2"))
+    if before is None:
+        return counted.groupBy(*keys).applyInArrow(lambda parts: settle(parts, None), _SETTLED)
+    over = before.withColumn("_over", F.col("node")).select(*keys, "counts")
+    return counted.groupBy(*keys).cogroup(over.groupBy(*keys)).applyInArrow(settle, _SETTLED)
+
+
+def _residuals(blocks: DataFrame, tree: DataFrame, config: BoostConfig) -> DataFrame:
+    """Per training row and level the leaf it is in and what is missing there."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = _Block(row)
+            for entry in row["trees"]:
+                node = _nodes(block, _tree(entry, config), config)
+                n, level = len(node), entry["level"]
+                columns = [pa.repeat(v, n) for v in block.key] + [pa.repeat(pa.scalar(level, pa.int32()), n), pa.array(node.astype(np.int32)), pa.array(block.target - block.at[level])]
+                yield pa.RecordBatch.from_arrays(columns, ["service", "metric", "level", "node", "residual"])
+
+    return _with_trees(blocks, tree).mapInArrow(work, "service string, metric string, level int, node int, residual double")
+
+
+def _moved(blocks: DataFrame, tree: DataFrame, config: BoostConfig) -> DataFrame:
+    """Blocks with the round's trees added to their predictions."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = []
+            for row in _rows(iter([batch])):
+                block = _Block(row)
+                at = block.at.copy()
+                for entry in row["trees"]:
+                    found = _tree(entry, config)
+                    at[entry["level"]] += config.learning_rate * found.leaf[_nodes(block, found, config)]
+                column.append(at.tobytes())
+            names = batch.schema.names[: names_kept]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names if n != "at"), pa.array(column, pa.binary())], [*(n for n in names if n != "at"), "at"])
+
+    names_kept = len(blocks.columns)
+    return _with_trees(blocks, tree).mapInArrow(work, _BLOCK)
+
+
+# --- prediction ---------------------------------------------------------------------------------
+
+
+def predict(rows: DataFrame, features: Sequence[str], model: DataFrame | None, config: BoostConfig = BoostConfig()) -> DataFrame:
+    """Add ``q``, the ladder of predicted values, to rows with features and ``anchor``; null for a series without a model."""
+    if model is None:
+        raise RuntimeError("fit before predict")
+    kept = rows.columns
+    found = model.groupBy(*SERIES).agg(F.collect_list(F.struct("level", "base", "feature", "bin", "side", "leaf")).alias("_models"), F.first("edges").alias("_edges"))
+    parts = rows.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / config.block_rows).cast("int").alias("parts"))
+    dealt, each = _in_parts(rows, parts.join(found, SERIES, "left"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_changes", T.ArrayType(T.DoubleType()))])
+    levels, nodes = len(config.levels), config.nodes
+
+    def score(part: pa.Table, about: pa.Table) -> pa.Table:
+        (row,) = about.select(["_edges", "_models"]).to_pylist() if part.num_rows else ({"_models": None},)
+        part = part.select(kept)
+        if not row["_models"]:
+            return part.append_column("_changes", pa.nulls(part.num_rows, pa.list_(pa.float64())))
+        edges = [np.array(e) for e in row["_edges"]]
+        bins, missing = grown.to_bins(_matrix(part, features), edges), grown.slots_of(edges) - 1
+        out = np.full((part.num_rows, levels), np.nan)
+        for m in row["_models"]:
+            arrays = [np.frombuffer(m[name], kind).reshape(-1, nodes) for name, kind in (("feature", np.int16), ("bin", np.int16), ("side", bool), ("leaf", np.float64))]
+            out[:, m["level"]] = grown.add_up(bins, m["base"], *arrays, config.learning_rate, config.depth, missing)
+        offsets = np.arange(part.num_rows + 1, dtype=np.int32) * levels
+        return part.append_column("_changes", pa.ListArray.from_arrays(offsets, out.ravel()))
+
+    keys = [*SERIES, "_part"]
+    scored = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(score, schema)
+    q = F.when(F.col("_changes").isNotNull(), anchored(F.col("_changes"))).alias("q")
+    return scored.select(*kept, q)
+
+
+def _level_numbers(config: BoostConfig) -> Column:
+    return F.array(*[F.lit(i) for i in range(len(config.levels))])

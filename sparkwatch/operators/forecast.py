@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwatch.functions.ladder import LEVELS, monotone
-from sparkwatch.functions.percentiles import exact_percentiles
+from sparkwatch.functions.percentiles import grouped_percentiles
 from sparkwatch.operators.grid import at_lag, chunk_window, chunked, own_rows
 from sparkwatch.schema import SERIES
 
@@ -65,13 +65,8 @@ def fit_ladder(
     """Model table: per series and hour of day the quantiles of the change, and per series (hour NULL)."""
     hourly = train.withColumn("hour", F.hour("timestamp"))
     keys = SERIES + ["hour"]
-    sizes = hourly.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    by_hour = (
-        exact_percentiles(hourly, keys, "target", levels, "quantiles")
-        .join(sizes.where(F.col("rows") >= min_bucket), keys)
-        .select(*keys, "quantiles")
-    )
-    overall = exact_percentiles(train, SERIES, "target", levels, "quantiles")
+    by_hour, overall = grouped_percentiles(hourly, [keys, SERIES], "target", levels, "quantiles")
+    by_hour = by_hour.where(F.col("rows") >= min_bucket).select(*keys, "quantiles")
     return by_hour.unionByName(overall.select(*SERIES, F.lit(None).cast("int").alias("hour"), "quantiles"))
 
 

@@ -118,10 +118,97 @@ def test_one_split_is_the_best_split(spark):
     train = spark.createDataFrame(rows, "service string, metric string, target double, x double, noise double")
     config = boosting.BoostConfig(rounds=1, learning_rate=1.0, depth=1, min_leaf=40, bins=31, levels=(0.5,))
     model = boosting.fit(train, ["noise", "x"], config).first()
-    split = model["trees"][0]["splits"][1]
-    assert split["feature"] == 1
-    assert model["edges"][1][split["bin"]] == 11.0
-    assert split["missing_left"] is False
+    feature, bin_, side = (np.frombuffer(model[n], t)[1] for n, t in (("feature", np.int16), ("bin", np.int16), ("side", bool)))
+    assert feature == 1
+    assert model["edges"][1][bin_] == 11.0
+    assert not side
+
+
+def boost_rows(spark, n=900):
+    rng = np.random.default_rng(4)
+    rows = []
+    for name, count in (("a", n), ("b", n // 3), ("c", 30)):
+        x, z = rng.normal(size=count), rng.integers(0, 5, count)
+        y = 3 * (x > 0.3) + z * x + rng.normal(0, 0.3, count)
+        rows += [(name, "m", float(t), None if i % 11 == 0 else float(u), float(w), float("nan") if i % 13 == 0 else float(v)) for i, (t, u, w, v) in enumerate(zip(y, x, z, y**2))]
+    return spark.createDataFrame(rows, "service string, metric string, target double, x double, z double, square double")
+
+
+def test_blocks_grow_the_trees_of_one_block(spark):
+    """Histograms summed over blocks, siblings by subtraction and leaves over all blocks give what one block gives."""
+    train = boost_rows(spark)
+    models = []
+    for block_rows in (5_000, 250):  # in the second a has four blocks and b two
+        config = boosting.BoostConfig(rounds=3, learning_rate=0.3, depth=3, min_leaf=20, bins=40, levels=(0.1, 0.5), block_rows=block_rows)
+        model = boosting.fit(train, ["x", "z", "square"], config)
+        models.append({(r["service"], r["level"]): r.asDict() for r in model.collect()})
+    assert models[0].keys() == models[1].keys() and len(models[0]) == 6
+    for key, one in models[0].items():
+        other = models[1][key]
+        assert all(one[c] == other[c] for c in ("edges", "base", "feature", "side"))
+        split = np.frombuffer(one["feature"], np.int16) >= 0
+        assert (np.frombuffer(one["bin"], np.int16)[split] == np.frombuffer(other["bin"], np.int16)[split]).all()
+        assert np.allclose(np.frombuffer(one["leaf"]), np.frombuffer(other["leaf"]), rtol=0, atol=1e-12)
+        assert split.any() == (key[0] != "c")  # 30 rows cannot be split with 20 on either side
+
+
+def test_trees_against_plain_python():
+    """Splits by trying all thresholds on the rows themselves, without histograms."""
+    from sparkwatch.functions import trees
+
+    rng = np.random.default_rng(8)
+    values = np.round(rng.normal(size=(160, 3)), 1)
+    values[rng.random(values.shape) < 0.1] = np.nan
+    target = np.where(np.nan_to_num(values[:, 1]) > 0.2, 2.0, 0.0) + rng.normal(size=160)
+    edges = [np.unique(c[~np.isnan(c)]) for c in values.T]
+    bins, slots = trees.to_bins(values, edges), trees.slots_of(edges)
+    config = boosting.BoostConfig(rounds=4, learning_rate=0.4, depth=3, min_leaf=12)
+    made = trees.grow(bins, target, 0.5, 0.3, config, slots)
+    at = np.full(160, 0.5)
+    for tree in made:
+        node = np.ones(160, int)
+        for k in range(1, 2**config.depth):
+            rows = np.flatnonzero(node == k)
+            if not len(rows):
+                assert tree.feature[k] < 0
+                continue
+            pull = lambda r: (0.7 * len(r) - (target[r] > at[r]).sum()) ** 2 / max(len(r), 1)
+            best = (1e-9, -1, 0, False)
+            for f in range(3):
+                for b, edge in enumerate([*edges[f], np.inf]):
+                    for side in (True, False):
+                        missing = np.isnan(values[rows, f])
+                        left = np.where(missing, side, values[rows, f] <= edge)
+                        if min(left.sum(), (~left).sum()) >= config.min_leaf:
+                            gain = pull(rows[left]) + pull(rows[~left]) - pull(rows)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, f, b, side)
+            if best[1] < 0:
+                assert tree.feature[k] < 0
+                continue
+            chosen = np.where(np.isnan(values[rows, tree.feature[k]]), tree.side[k], bins[rows, tree.feature[k]] <= tree.bin[k])
+            gain = pull(rows[chosen]) + pull(rows[~chosen]) - pull(rows)
+            assert gain == pytest.approx(best[0]) and min(chosen.sum(), (~chosen).sum()) >= config.min_leaf
+            node[rows] = 2 * k + np.where(chosen, 0, 1)
+        for k in np.unique(node):
+            assert tree.leaf[k] == pytest.approx(np.percentile((target - at)[node == k], 30))
+        at = at + 0.4 * tree.leaf[node]
+    arrays = [np.stack([getattr(t, name) for t in made]) for name in ("feature", "bin", "side", "leaf")]
+    assert np.allclose(trees.add_up(bins, 0.5, *arrays, 0.4, 3, slots - 1), at)
+
+
+def test_prediction_in_parts_and_without_a_model(spark):
+    config = boosting.BoostConfig(rounds=2, depth=2, min_leaf=20, bins=20, levels=(0.1, 0.9))
+    rows = boost_rows(spark).withColumn("anchor", F.lit(1.0)).withColumn("text", F.lit("kept"))
+    model = boosting.fit(rows.where("service = 'a'"), ["x", "z", "square"], config)
+    whole = boosting.predict(rows, ["x", "z", "square"], model, config)
+    parts = boosting.predict(rows, ["x", "z", "square"], model, boosting.BoostConfig(**{**vars(config), "block_rows": 100}))
+    assert whole.columns == [*rows.columns, "q"]
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, parts.collect()))
+    assert whole.where("q IS NULL").select("service").distinct().count() == 2
+    assert whole.where("q IS NOT NULL").count() == 900
+    none = boosting.predict(rows.limit(0), ["x", "z", "square"], model, config)
+    assert none.collect() == [] and none.columns == whole.columns
 
 
 def test_too_few_rows_stop_the_ladder_too(spark):

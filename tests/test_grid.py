@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import START, column, gappy, same, sparse_grid, telemetry, times
-from sparkwatch.functions.percentiles import exact_percentiles
+from sparkwatch.functions.percentiles import exact_percentiles, grouped_percentiles
 from sparkwatch.operators import grid
 from sparkwatch.schema import as_telemetry, within_bounds
 
@@ -110,6 +110,35 @@ def test_percentiles_by_narrowing_equal_the_builtin(spark, kind):
         np.testing.assert_allclose(got[k], want[k], rtol=1e-12)
 
 
+@pytest.mark.parametrize("ordered", [3, 100])
+def test_percentiles_of_cells_that_are_cut_again(spark, ordered):
+    rng = np.random.default_rng(5)
+    values = {"narrow": 2048 + rng.normal(0, 1e-6, 800), "wide": rng.normal(0, 10, 800), "same": np.full(50, 3.5), "ends": np.append(1.5 + rng.normal(0, 1e-9, 60), [1e300, -1e300, 4e299])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    levels = [0.0, 0.05, 0.5, 0.51, 0.99, 1.0]
+    got = {r["k"]: r["levels"] for r in exact_percentiles(df, ["k"], "v", levels, ordered=ordered).collect()}
+    assert got.keys() == values.keys()
+    for k, vs in values.items():
+        np.testing.assert_allclose(got[k], np.percentile(np.sort(vs), [100 * p for p in levels]), rtol=1e-12)
+
+
+def test_percentiles_of_several_groupings_and_missing_keys(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, h, float(v)) for v, k, h in zip(rng.integers(0, 50, 900), rng.choice(["a", "b", None], 900), rng.integers(0, 3, 900).tolist())]
+    rows += [("a", None, 7.0), ("a", None, 9.0), ("gone", 1, None)]
+    df = spark.createDataFrame(rows, "k string, h int, v double")
+    both, by_k, whole = grouped_percentiles(df, [["k", "h"], ["k"], []], "v", [0.25, 0.5])
+    want = lambda keep: np.percentile([r[2] for r in rows if r[2] is not None and keep(r)], [25, 50])
+    assert both.columns == ["k", "h", "levels", "rows"] and both.count() == 10 and by_k.count() == 3
+    for r in both.collect():
+        assert r["levels"] == pytest.approx(want(lambda x: (x[0], x[1]) == (r["k"], r["h"])))
+    for r in by_k.collect():
+        assert r["levels"] == pytest.approx(want(lambda x: x[0] == r["k"]))
+        assert r["rows"] == sum(x[0] == r["k"] and x[2] is not None for x in rows)
+    assert whole.first()["levels"] == pytest.approx(want(lambda x: True)) and whole.first()["rows"] == 902
+    assert exact_percentiles(df.where("v > 100"), ["k"], "v", [0.5]).collect() == []
+
+
 def test_chunks_do_not_change_windows(spark):
     g = sparse_grid(spark, {("a", "m"): gappy(300), ("b", "m"): gappy(300, 1)})
     for back in (1, 7):

@@ -1,10 +1,10 @@
 """Exact percentiles per group that do not gather a group in one task.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a group may hold a third of a huge
-table. Order statistics are found by radix selection instead, at every size in the same way. The source is read once: its values are counted
-(combined before the shuffle, spread by group and value) and written. A value falls in a cell by sign and 4,096th of its octave, which keeps
-the order; a group's counts are summed per cell, and only the values of cells that hold a wanted rank are ordered. A cell with very many
-different values is cut into even slices first, as often as it takes.
+table. Order statistics are found by radix selection instead. The source is read once: its values are counted (combined before the
+shuffle, spread by group and value) and written. A group with at most 2^20 different values is put in order as it is. A larger one is cut
+into cells by sign and 4,096th of an octave, which keeps the order; counts are summed per cell, and only the values of cells that hold a
+wanted rank are ordered, after these were cut into even slices as often as it takes for 2^20 different values.
 
 Several groupings of the same rows share the counts. Infinities have cells of their own, and NaN is greater than any number, as in
 Spark's ordering.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from sparkwatch.session import discard, stored
 
@@ -43,31 +43,21 @@ def grouped_percentiles(
     """The same for several groupings, from one pass over ``df``: a frame for each, with a further column ``rows``."""
     keys = list(dict.fromkeys(k for grouping in groupings for k in grouping))
     marked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counts = stored(marked.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    seen = Observation()
+    counts = stored(marked.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.count(F.lit(1)).alias("n")))
     # equal structs are equal also where fields are null
     names = [F.struct(F.lit(i).alias("_grouping"), *[F.col(k) if k in g else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]) for i, g in enumerate(groupings)]
     name = F.explode(F.array(*names)) if len(names) > 1 else names[0]
-    values = counts.select(name.alias("_key"), "_v", "_n", F.lit(0).cast("long").alias("_part")).withColumn("_cell", _cell(F.col("_v")))
-    wanted = [F.array_distinct(F.array(*[edge for p in levels for edge in _rank_edges(p)]))]
-
-    total = Window.partitionBy("_key")
-    cells = _summed(values)
-    cells = cells.select("*", _before(total.orderBy("_cell"), "_m").alias("_start"), F.sum("_m").over(total).alias("_total"))
-    held = stored(_holding(cells.withColumn("_ranks", wanted[0]), "_m"))
-    written = [counts, held]
-    while (held.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_d")))).first()[0] or 0) > ordered:
-        # dense numbers of the cells of a group: at most two per level
-        place = F.row_number().over(total.orderBy("_cell")).cast("long").alias("_place")
-        inside = values.drop("_part").join(held.select("_key", "_cell", "_lo", "_hi", place), ["_key", "_cell"])
-        values = stored(inside.select("_key", "_v", "_n", F.col("_place").alias("_part"), (F.col("_place") * _SLICES + _slice()).alias("_cell")))
-        held = held.select("_key", place, "_start", "_total", "_ranks")
-        cells = _summed(values).join(held.withColumnsRenamed({"_place": "_part", "_start": "_from"}), ["_key", "_part"])
-        cells = cells.withColumn("_start", F.col("_from") + _before(Window.partitionBy("_key", "_part").orderBy("_cell"), "_m")).drop("_from")
-        held = stored(_holding(cells, "_m"))
-        written += [values, held]
-
-    near = values.join(held.select("_key", "_cell", "_start", "_total", "_ranks"), ["_key", "_cell"])
-    near = near.withColumn("_start", F.col("_start") + _before(Window.partitionBy("_key", "_cell").orderBy("_v"), "_n"))
+    values = counts.select(name.alias("_key"), "_v", "_n")
+    wanted = F.array_distinct(F.array(*[edge for p in levels for edge in _rank_edges(p)]))
+    written = [counts]
+    group = Window.partitionBy("_key")
+    most = seen.get["n"] if seen.get["n"] <= ordered else values.groupBy("_key").count().agg(F.max("count")).first()[0]
+    if most <= ordered:
+        # the whole group is one cell
+        near = values.select("*", _before(group.orderBy("_v"), "_n").alias("_start"), F.sum("_n").over(group).alias("_total")).withColumn("_ranks", wanted)
+    else:
+        near = _narrowed(values, wanted, ordered, written)
     picked = (
         _holding(near, "_n")
         .select("_key", "_v", "_total", F.explode("_ranks").alias("_rank"))
@@ -90,6 +80,28 @@ def grouped_percentiles(
     ]
 
 
+def _narrowed(values: DataFrame, wanted: Column, ordered: int, written: list[DataFrame]) -> DataFrame:
+    """The values of the cells that hold a wanted rank, with ``_start``, ``_total`` and ``_ranks``; tables it writes are added to ``written``."""
+    total = Window.partitionBy("_key")
+    values = values.select("*", F.lit(0).cast("long").alias("_part"), _cell(F.col("_v")).alias("_cell"))
+    cells = _summed(values)
+    cells = cells.select("*", _before(total.orderBy("_cell"), "_m").alias("_start"), F.sum("_m").over(total).alias("_total"))
+    held = stored(_holding(cells.withColumn("_ranks", wanted), "_m"))
+    written.append(held)
+    while (held.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_d")))).first()[0] or 0) > ordered:
+        # dense numbers of the cells of a group: at most two per level
+        place = F.row_number().over(total.orderBy("_cell")).cast("long").alias("_place")
+        inside = values.drop("_part").join(held.select("_key", "_cell", "_lo", "_hi", place), ["_key", "_cell"])
+        values = stored(inside.select("_key", "_v", "_n", F.col("_place").alias("_part"), (F.col("_place") * _SLICES + _slice()).alias("_cell")))
+        held = held.select("_key", place, "_start", "_total", "_ranks")
+        cells = _summed(values).join(held.withColumnsRenamed({"_place": "_part", "_start": "_from"}), ["_key", "_part"])
+        cells = cells.withColumn("_start", F.col("_from") + _before(Window.partitionBy("_key", "_part").orderBy("_cell"), "_m")).drop("_from")
+        held = stored(_holding(cells, "_m"))
+        written += [values, held]
+    near = values.join(held.select("_key", "_cell", "_start", "_total", "_ranks"), ["_key", "_cell"])
+    return near.withColumn("_start", F.col("_start") + _before(Window.partitionBy("_key", "_cell").orderBy("_v"), "_n"))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     found = exact_percentiles(df, keys, value, [0.5], "_at")
     return found.select(*keys, F.col("_at")[0].alias(out))

@@ -56,21 +56,35 @@ def known_kind(kind: Column) -> Column:
     return F.when(kind.isin(*KINDS), kind).otherwise(F.raise_error(complaint).cast("string"))
 
 
-def ramp_steps(n: Column) -> Column:
-    """Rows until the shape has climbed to 1; halves are rounded to even."""
-    return F.greatest(F.lit(1.0), F.rint(n * F.col("ramp")))
+def _field(name: str, of: Column | None) -> Column:
+    return F.col(name) if of is None else of[name]
 
 
-def shape(i: Column, n: Column) -> Column:
-    climb = F.least(i / ramp_steps(n), F.lit(1.0))
-    decay = F.pow(F.lit(0.5), i / F.greatest(F.lit(1.0), n * F.col("half_life")))
-    return climb * (F.col("floor") + (F.lit(1.0) - F.col("floor")) * decay)
+def ramp_steps(n: Column, of: Column | None = None) -> Column:
+    """Rows until the shape has climbed to 1; halves are rounded to even.
 
+    Here and below the parameters are columns of ``effect_table``, or fields of the struct ``of``.
+    """
+    return F.greatest(F.lit(1.0), F.rint(n * _field("ramp", of)))
 
-def multiplier(i: Column, n: Column, magnitude: Column) -> Column:
-    """The factor at the origin, over the columns of ``effect_table``."""
-    above = F.greatest(shape(i, n) - F.col("offset"), F.lit(0.0)) / (F.lit(1.0) - F.col("offset"))
-    return F.lit(1.0) + F.col("gain") * magnitude * F.pow(above, F.col("power"))
+
+def shape(i: Column, n: Column, of: Column | None = None) -> Column:
+    floor = _field("floor", of)
+    climb = F.least(i / ramp_steps(n, of), F.lit(1.0))
+    decay = F.pow(F.lit(0.5), i / F.greatest(F.lit(1.0), n * _field("half_life", of)))
+    return climb * (floor + (F.lit(1.0) - floor) * decay)
+
+
+def moving_rows(n: Column) -> Column:
+    """Rows after which the multiplier no longer changes; those of the whole window where it decays."""
+    return F.when(F.col("floor") < 1.0, n).otherwise(F.least(n, ramp_steps(n).cast("long")))
+
+
+def multiplier(i: Column, n: Column, magnitude: Column, of: Column | None = None) -> Column:
+    """The factor at the origin."""
+    offset = _field("offset", of)
+    above = F.greatest(shape(i, n, of) - offset, F.lit(0.0)) / (F.lit(1.0) - offset)
+    return F.lit(1.0) + _field("gain", of) * magnitude * F.pow(above, _field("power", of))
 
 
 def inherited(factor: Column, hops: Column, attenuation: float) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwatch.functions.profiles import effect_table, known_kind
-from sparkwatch.schema import CELL
+from sparkwatch.operators.intervals import settle
+from sparkwatch.schema import SERIES
 
 _BUCKET_SECONDS = 6 * 3600
 
@@ -48,37 +49,36 @@ def label(
 ) -> DataFrame:
     """Telemetry with ``is_anomalous`` and ``incident_id`` ("" for none); both window ends count.
 
-    Of several incidents on a cell the one with the lowest ``ordinal`` keeps it. Claims are cut into time buckets and
-    joined on (service, metric, bucket). Within a bucket a claim is dropped when an earlier one covers
-    the whole bucket, since it could not win a cell there.
+    Of several incidents on a cell the one with the lowest ``ordinal`` keeps it. Claims are settled among themselves first: every stretch of a
+    series' time belongs to one claim or none. Stretches are clipped to the time that telemetry covers, cut into time buckets, and a row of
+    telemetry meets at most one of them, so telemetry is shuffled once (or not at all while the stretches are few). A claim may end in 9999.
     """
-    first_claim = _first_claims(telemetry, claims(incidents, affected), bucket_seconds)
-    return telemetry.join(first_claim, CELL, "left").select(
-        *telemetry.columns,
-        F.col("_claim").isNotNull().alias("is_anomalous"),
-        F.coalesce("_claim.incident_id", F.lit("")).alias("incident_id"),
+    owned = _owned(claims(incidents, affected))
+    bounds = telemetry.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    ends = bounds.select(F.struct(F.unix_micros("lo").alias("lo"), F.unix_micros("hi").alias("hi"))).scalar()
+    width = bucket_seconds * 1_000_000
+    clipped = owned.withColumns({"_from": F.greatest("_from", ends["lo"]), "_until": F.least("_until", ends["hi"] + 1)}).where("_from < _until")
+    buckets = F.sequence(F.expr(f"floor(_from / {width})"), F.expr(f"floor((_until - 1) / {width})"))
+    cut = clipped.select(*SERIES, "_from", "_until", "_claim", F.explode(buckets).alias("_bucket"))
+    at = F.unix_micros("timestamp")
+    asked = telemetry.withColumns({"_at": at, "_bucket": F.floor(at / width)}).alias("t")
+    same = [F.col(f"t.{c}") == F.col(f"c.{c}") for c in [*SERIES, "_bucket"]]
+    inside = (F.col("t._at") >= F.col("c._from")) & (F.col("t._at") < F.col("c._until"))
+    found = asked.join(cut.alias("c"), [*same, inside], "left")
+    return found.select(
+        *[F.col(f"t.{c}") for c in telemetry.columns],
+        F.col("c._claim").isNotNull().alias("is_anomalous"),
+        F.coalesce("c._claim.incident_id", F.lit("")).alias("incident_id"),
     )
 
 
-def _first_claims(telemetry: DataFrame, claimed: DataFrame, width: int) -> DataFrame:
-    def bucket(t: str) -> Column:
-        return F.floor(F.unix_seconds(F.col(t)) / width)
-
-    cut = claimed.where(F.col("start") <= F.col("end")).withColumn(
-        "_bucket", F.explode(F.sequence(bucket("start"), bucket("end")))
-    )
-    opens = F.timestamp_seconds(F.col("_bucket") * width)
-    closes = F.timestamp_seconds((F.col("_bucket") + 1) * width)
-    place = ["service", "metric", "_bucket"]
-    full = (F.col("start") <= opens) & (F.col("end") >= closes)
-    winner = cut.where(full).groupBy(*place).agg(F.min("ordinal").alias("_first"))
-    useful = (
-        cut.join(winner, place, "left").where(F.col("_first").isNull() | (F.col("ordinal") <= F.col("_first"))).drop("_first")
-    )
-    asked = telemetry.select(*CELL, bucket("timestamp").alias("_bucket"))
-    return (
-        asked.join(useful, place)
-        .where((F.col("timestamp") >= F.col("start")) & (F.col("timestamp") <= F.col("end")))
-        .groupBy(*CELL)
-        .agg(F.min(F.struct("ordinal", "incident_id")).alias("_claim"))
+def _owned(claimed: DataFrame) -> DataFrame:
+    """Disjoint stretches of microseconds per series, ``_from`` to before ``_until``, with the claim of the lowest ordinal."""
+    rows = claimed.select(
+        *SERIES,
+        F.unix_micros("start").alias("_from"),
+        # the end counts
+        (F.unix_micros("end") + 1).alias("_until"),
+        F.struct("ordinal", "incident_id").alias("_claim"),
     )
+    return settle(rows, SERIES, "_from", "_until", {"_claim": F.min})

@@ -11,13 +11,15 @@ from sparkwatch.functions.profiles import (
     effect_table,
     inherited,
     known_kind,
+    moving_rows,
     multiplier,
     ramp_steps,
 )
 from sparkwatch.operators.grid import axis_length, axis_of, positions_of
+from sparkwatch.operators.intervals import settle
 from sparkwatch.schema import SERIES, within_bounds
 
-_BLOCK = 1024
+_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -98,10 +100,11 @@ def effects(
     return rows.where((F.col("hops") == 0) | (F.col("peak") > config.effect_threshold)).drop("_length", "_end_pos")
 
 
-def felt(i: Column, config: OverlayConfig) -> Column:
-    """The factor at row ``i`` of an effect, at the origin or upstream."""
-    factor = multiplier(i, F.col("n"), F.col("magnitude"))
-    return F.when(F.col("hops") == 0, factor).otherwise(inherited(factor, F.col("hops"), config.attenuation))
+def felt(i: Column, config: OverlayConfig, of: Column | None = None) -> Column:
+    """The factor at row ``i`` of an effect, at the origin or upstream; its parameters are columns, or fields of ``of``."""
+    get = F.col if of is None else (lambda name: of[name])
+    factor = multiplier(i, get("n"), get("magnitude"), of)
+    return F.when(get("hops") == 0, factor).otherwise(inherited(factor, get("hops"), config.attenuation))
 
 
 def incident_id(ordinal: Column) -> Column:
@@ -114,36 +117,59 @@ def apply_faults(
     """The grid with values multiplied and clipped, ``is_anomalous`` and ``incident_id``.
 
     Overlapping faults multiply; a cell belongs to the first fault (by ordinal) that deviates beyond
-    the threshold there. Effects are cut into blocks of positions and joined on (service, metric, block).
+    the threshold there. The grid meets a row per (series, block of positions) that holds what changes there: effects that still climb or
+    decay, and stretches over which the product of all others is one number. The grid is shuffled once at most.
     """
-    first, last = F.expr(f"from_pos div {_BLOCK}"), F.expr(f"(from_pos + length - 1) div {_BLOCK}")
-    parameters = [
-        "ordinal", "n", "magnitude", "hops", "from_pos", "length",
-        "ramp", "floor", "half_life", "gain", "power", "offset",
-    ]
-    spread = effect_rows.select(*SERIES, *parameters, F.explode(F.sequence(first, last)).alias("_block")).alias("e")
-    cells = grid.withColumn("_block", F.expr(f"pos div {_BLOCK}")).alias("g")
-    same = [F.col(f"g.{c}") == F.col(f"e.{c}") for c in [*SERIES, "_block"]]
-    inside = (F.col("g.pos") >= F.col("e.from_pos")) & (F.col("g.pos") < F.col("e.from_pos") + F.col("e.length"))
-    joined = cells.join(spread, [*same, inside], "left").select(
-        *[F.col(f"g.{c}") for c in grid.columns], *[F.col(f"e.{c}") for c in parameters]
-    )
-    factor = felt((F.col("pos") - F.col("from_pos")).cast("double"), config)
-    joined = joined.withColumn("_factor", F.when(F.col("ordinal").isNotNull(), factor))
-    active = F.abs(F.col("_factor") - 1) > config.effect_threshold
-    hit = joined.groupBy(*grid.columns).agg(
-        F.product("_factor").alias("_factor"),
-        F.coalesce(F.bool_or(active), F.lit(False)).alias("is_anomalous"),
-        F.min(F.when(active, F.col("ordinal"))).alias("_first"),
-    )
+    cells = grid.withColumn("_block", F.expr(f"pos div {_BLOCK}"))
+    joined = cells.join(_by_block(effect_rows, config), [*SERIES, "_block"], "left")
+    pos = F.col("pos")
+
+    def here(e: Column) -> Column:
+        return (pos >= e["from_pos"]) & (pos < e["until"])
+
+    def moved(e: Column) -> Column:
+        factor = felt((pos - e["from_pos"]).cast("double"), config, e)
+        return F.struct(factor.alias("factor"), F.when(F.abs(factor - 1) > config.effect_threshold, e["ordinal"]).alias("first"))
+
+    steady = F.transform(F.filter("_steady", here), lambda e: F.struct(e["factor"].alias("factor"), e["first"].alias("first")))
+    found = F.concat(F.transform(F.filter("_moving", here), moved), steady)
+    hit = joined.withColumn("_hit", found)
+    factor = F.aggregate("_hit", F.lit(1.0), lambda product, e: product * e["factor"])
+    hit = hit.withColumns({"_factor": factor, "_first": F.array_min(F.transform("_hit", lambda e: e["first"]))})
     changed = within_bounds(F.col("metric"), F.col("value") * F.coalesce("_factor", F.lit(1.0)))
     return hit.select(
         *[changed.alias("value") if c == "value" else F.col(c) for c in grid.columns],
-        "is_anomalous",
+        F.col("_first").isNotNull().alias("is_anomalous"),
         F.coalesce(incident_id(F.col("_first")), F.lit("")).alias("incident_id"),
     )
 
 
+def _by_block(effect_rows: DataFrame, config: OverlayConfig) -> DataFrame:
+    """Per series and block the effects that are ``_moving`` there and the ``_steady`` stretches, which do not overlap.
+
+    A fault without end is moving for its ramp only; after that it is one more factor of the stretches behind.
+    """
+    rows = effect_rows.withColumn("_moves", F.least("length", moving_rows(F.col("n"))))
+    settled = F.col("from_pos") + F.col("_moves")
+    last = felt(ramp_steps(F.col("n")), config)
+    constant = rows.where(F.col("_moves") < F.col("length")).select(
+        *SERIES,
+        settled.alias("from_pos"),
+        (F.col("from_pos") + F.col("length")).alias("until"),
+        last.alias("factor"),
+        F.when(F.abs(last - 1) > config.effect_threshold, F.col("ordinal")).alias("first"),
+    )
+    steady = settle(constant, SERIES, "from_pos", "until", {"factor": F.product, "first": F.min})
+    parameters = ["ordinal", "n", "magnitude", "hops", "from_pos", "until", "ramp", "floor", "half_life", "gain", "power", "offset"]
+    moving = rows.withColumn("until", settled)
+    kinds = {"_moving": (moving, parameters), "_steady": (steady, ["from_pos", "until", "factor", "first"])}
+    blocks = F.explode(F.sequence(F.expr(f"from_pos div {_BLOCK}"), F.expr(f"(until - 1) div {_BLOCK}"))).alias("_block")
+    spread = [table.select(*SERIES, blocks, F.struct(*fields).alias(name)) for name, (table, fields) in kinds.items()]
+    both = spread[0].unionByName(spread[1], allowMissingColumns=True)
+    # what changes within one block of one series
+    return both.groupBy(*SERIES, "_block").agg(*[F.collect_list(name).alias(name) for name in kinds])
+
+
 def incident_records(
     faults: DataFrame, grid: DataFrame, hops: DataFrame, config: OverlayConfig = OverlayConfig()
 ) -> DataFrame:

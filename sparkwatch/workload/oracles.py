@@ -36,7 +36,7 @@ def r(expression: str) -> str:
 
 
 EV = """ev AS (
-  SELECT event_id, ts, date_trunc('hour', ts) AS hour, 's' || (user_id % 6) AS service, user_id, event_type, value, props
+  SELECT event_id, ts, date_trunc('hour', ts) AS hour, 's' || (user_id // 1500 * 6 + user_id % 6) AS service, user_id, event_type, value, props
   FROM events)"""
 
 TEL = f"""{EV},
@@ -61,7 +61,7 @@ SPLIT = "(SELECT CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) FROM axis
 W = "PARTITION BY service, metric ORDER BY pos"
 
 SERVICE_HOPS = """calls AS (
-  SELECT DISTINCT service AS caller, 's' || least(5, user_id % 6 + 1 + event_id % 2) AS callee FROM ev
+  SELECT DISTINCT service AS caller, 's' || (user_id // 1500 * 6 + least(5, user_id % 6 + 1 + event_id % 2)) AS callee FROM ev
   WHERE user_id % 6 <> least(5, user_id % 6 + 1 + event_id % 2)),
 walk(origin, service, hops) AS (
   SELECT callee, caller, 1 FROM calls
@@ -73,18 +73,19 @@ radius AS (
   SELECT root, string_agg(service, ',' ORDER BY service) AS affected_services FROM (
     SELECT DISTINCT service AS root, service FROM ev UNION SELECT origin, service FROM hops) GROUP BY root)"""
 
-_kind_case = "CASE ordinal % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+_kind_case = "CASE CASE WHEN long_ THEN day(ts) % 6 ELSE event_id % 5 END " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
 FAULTS = f"""{SERVICE_HOPS},
-worst AS (
-  SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) AS nth
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) = 1 AS long_
   FROM ev WHERE event_type = 'error'),
-numbered AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ordinal FROM worst WHERE nth = 1),
 faults AS (
-  SELECT ordinal, {_kind_case} AS kind, service, ts AS start, CAST(28800 AS BIGINT) AS duration_s,
-    CAST(0.35 AS DOUBLE) + (event_id % 66) / CAST(100 AS DOUBLE) AS magnitude, ts + INTERVAL 8 HOUR AS finish
-  FROM numbered),
+  SELECT *, start + to_seconds(duration_s) AS finish FROM (
+    SELECT event_id AS ordinal, {_kind_case} AS kind, service, ts AS start,
+      CAST(CASE WHEN long_ THEN 28800 ELSE 60 * (1 + event_id % 3) END AS BIGINT) AS duration_s,
+      CAST(0.35 AS DOUBLE) + (event_id % 66) / CAST(100 AS DOUBLE) AS magnitude
+    FROM ranked)),
 incidents AS (
-  SELECT f.ordinal, 'INC-' || lpad(CAST(f.ordinal AS VARCHAR), 4, '0') AS incident_id, f.kind, f.service AS root_service, f.start,
+  SELECT f.ordinal, printf('INC-%04d', f.ordinal) AS incident_id, f.kind, f.service AS root_service, f.start,
     f.finish, f.magnitude, f.kind = 'deploy_regression' AS permanent, d.affected_services
   FROM faults f JOIN radius d ON d.root = f.service),
 effects(kind, metric, ramp, floor_, half_life, gain, power, off, at_caller) AS (VALUES {", ".join(
@@ -452,10 +453,7 @@ SELECT caller, callee FROM links WHERE callee NOT IN (
     "callers_of": f"WITH {USER_GRAPH} SELECT DISTINCT caller FROM links WHERE callee = 'u3'",
     "upstream_hops": f"""WITH RECURSIVE {USER_GRAPH},
 walk(origin, service, hops) AS (
-  SELECT callee, caller, 1 FROM links WHERE callee IN (
-    SELECT 'u' || user_id FROM (
-      SELECT user_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id) AS nth
-      FROM events WHERE event_type = 'error') WHERE nth = 1)
+  SELECT callee, caller, 1 FROM links WHERE callee IN (SELECT 'u' || user_id FROM events WHERE event_type = 'error')
   UNION
   SELECT w.origin, c.caller, w.hops + 1 FROM walk w JOIN links c ON c.callee = w.service WHERE c.caller <> w.origin)
 SELECT origin, service, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY origin, service""",
@@ -497,12 +495,12 @@ SELECT ordinal, service, metric, CAST(hops AS BIGINT) AS hops, CAST(from_pos AS
 FROM kept GROUP BY ordinal, service, metric, hops, from_pos""",
     "fault_overlay": f"{OVERLAID}, CASE WHEN g.value IS NOT NULL THEN {r(_bounded.format(v='g.value * coalesce(h.factor, 1)').replace('CASE metric', 'CASE g.metric'))} END AS value {_hit}",
     "fault_overlay_labels": f"""{OVERLAID}, coalesce(h.active, false) AS is_anomalous,
-  coalesce('INC-' || lpad(CAST(h.first AS VARCHAR), 4, '0'), '') AS incident_id {_hit}""",
+  coalesce(printf('INC-%04d', h.first), '') AS incident_id {_hit}""",
     "incident_records": f"""{SPREAD},
 seen AS (
   SELECT ordinal, string_agg(DISTINCT service, ',' ORDER BY service) AS affected_services FROM kept k
   WHERE abs(factor - 1) > 0.05 AND EXISTS (SELECT 1 FROM series s WHERE s.service = k.service AND s.metric = k.metric) GROUP BY ordinal)
-SELECT f.ordinal, 'INC-' || lpad(CAST(f.ordinal AS VARCHAR), 4, '0') AS incident_id, f.kind, f.service AS root_service, f.start,
+SELECT f.ordinal, printf('INC-%04d', f.ordinal) AS incident_id, f.kind, f.service AS root_service, f.start,
   CASE WHEN f.kind = 'deploy_regression' THEN (SELECT max(timestamp) FROM axis) ELSE f.finish END AS "end",
   {r("f.magnitude")} AS magnitude, f.kind = 'deploy_regression' AS permanent, coalesce(s.affected_services, '') AS affected_services
 FROM faults f LEFT JOIN seen s ON s.ordinal = f.ordinal""",

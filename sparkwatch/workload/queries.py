@@ -545,7 +545,7 @@ def _effects(spark, sf, seen):
 
 @query
 def fault_profile(spark, sf):
-    seen = t.sparse(spark, sf)
+    seen = t.observed(spark, sf)
     windows = overlay.fault_windows(t.faults(spark, sf), grid.axis_of(seen)).where(F.col("n") > 0)
     rows = windows.join(F.broadcast(effect_table(spark)), "kind").withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
@@ -556,7 +556,7 @@ def fault_profile(spark, sf):
 
 @query
 def fault_propagation(spark, sf):
-    rows = _effects(spark, sf, t.sparse(spark, sf))
+    rows = _effects(spark, sf, t.observed(spark, sf))
     return rows.select("ordinal", "service", "metric", "hops", "from_pos", "length", "peak")
 
 
@@ -577,7 +577,7 @@ def fault_overlay_labels(spark, sf):
 
 @query
 def incident_records(spark, sf):
-    return overlay.incident_records(t.faults(spark, sf), t.sparse(spark, sf), t.hops(spark, sf))
+    return overlay.incident_records(t.faults(spark, sf), t.observed(spark, sf), t.hops(spark, sf))
 
 
 @query

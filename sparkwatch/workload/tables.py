@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparkwatch.functions.percentiles import exact_percentiles
 from sparkwatch.functions.profiles import KINDS, PERMANENT_KIND
@@ -17,7 +17,8 @@ HOUR = 3600
 DAY = 24
 SPEC = FeatureSpec(day=DAY, windows=(24, 72))
 WINDOW = 48
-SERVICES = 6
+#: Services of a group of users; a group is so many consecutive numbers, so services and series grow with the users.
+SERVICES, USERS = 6, 1500
 GAUGES = ("request_rate_rps", "latency_p95_ms", "error_rate", "cpu_pct", "mem_mb")
 
 
@@ -28,7 +29,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("timestamp"),
-        F.concat(F.lit("s"), F.col("user_id") % SERVICES).alias("service"),
+        _service(F.col("user_id") % SERVICES).alias("service"),
         "user_id",
         "event_type",
         "value",
@@ -36,8 +37,13 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _service(nth: Column) -> Column:
+    """The name of the nth service of a user's group."""
+    return F.concat(F.lit("s"), F.expr(f"user_id div {USERS}") * SERVICES + nth)
+
+
 def series() -> list[str]:
-    """Names of the series of ``telemetry``."""
+    """Names of the series of the first group's services."""
     return [f"s{i}/{m}" for i in range(SERVICES) for m in GAUGES]
 
 
@@ -60,6 +66,14 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
     return per_hour.unpivot(by, list(GAUGES), "metric", "value")
 
 
+def observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Which cells of the grid have a value, without the values."""
+    per_hour = hourly(events(spark, sf)).groupBy("timestamp", "service").agg(F.count("value").alias("_n"))
+    always = [m for m in GAUGES if m in ("request_rate_rps", "error_rate")]
+    metrics = F.when(F.col("_n") > 0, F.array(*[F.lit(m) for m in GAUGES])).otherwise(F.array(*[F.lit(m) for m in always]))
+    return stored(indexed(per_hour.select("timestamp", "service", F.explode(metrics).alias("metric"))))
+
+
 def sparse(spark: SparkSession, sf: str) -> DataFrame:
     """The sparse grid, written once per query that uses it."""
     return stored(indexed(cells(telemetry(spark, sf))))
@@ -73,10 +87,10 @@ def forecast_plan(spark: SparkSession, sf: str, **changes) -> ForecastPlan:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Each event as a call from its service to one of the next two."""
+    """Each event as a call from its service to one of the next two of its group."""
     number = F.col("user_id") % SERVICES
     callee = F.least(F.lit(SERVICES - 1), number + 1 + F.col("event_id") % 2)
-    rows = events(spark, sf).select(F.col("service").alias("caller"), F.concat(F.lit("s"), callee).alias("callee"))
+    rows = events(spark, sf).select(F.col("service").alias("caller"), _service(callee).alias("callee"))
     return rows.where(F.col("caller") != F.col("callee"))
 
 
@@ -112,33 +126,30 @@ def radius(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def faults(spark: SparkSession, sf: str) -> DataFrame:
-    """The worst error of each day, numbered in time order, as an eight-hour fault of the next kind."""
-    errors = events(spark, sf).where(F.col("event_type") == "error")
-    best = F.max(F.struct(F.col("value"), (-F.col("event_id")).alias("_neg"), "timestamp", "service")).alias("_e")
-    worst = errors.groupBy(F.to_date("timestamp").alias("_day")).agg(best)
-    # one row per day
-    order = Window.orderBy("start", "event_id")
-    rows = worst.select(
-        (-F.col("_e._neg")).alias("event_id"), F.col("_e.timestamp").alias("start"), F.col("_e.service").alias("service")
-    ).withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+    """Every error event as a fault: the worst of a day lasts eight hours and may be of any kind, the others last one to three minutes and
+    end by themselves. Ordinals are the events' numbers, which follow time."""
+    errors = events(spark, sf).where(F.col("event_type") == "error").withColumn("_day", F.to_date("timestamp"))
+    best = F.max(F.struct(F.col("value"), (-F.col("event_id")).alias("_neg"))).alias("_e")
+    worst = errors.groupBy("_day").agg(best).select("_day", (-F.col("_e._neg")).alias("_worst"))
+    rows = errors.join(worst, "_day").withColumn("_long", F.col("event_id") == F.col("_worst"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
+    passing = len(KINDS) - 1  # the last kind never ends
+    kind = F.get(kinds, F.when(F.col("_long"), F.dayofmonth("timestamp") % len(KINDS)).otherwise(F.col("event_id") % passing).cast("int"))
     table = rows.select(
-        "ordinal",
-        F.get(kinds, (F.col("ordinal") % len(KINDS)).cast("int")).alias("kind"),
+        F.col("event_id").alias("ordinal"),
+        kind.alias("kind"),
         "service",
-        "start",
-        F.lit(8 * HOUR).cast("long").alias("duration_s"),
+        F.col("timestamp").alias("start"),
+        F.when(F.col("_long"), F.lit(8 * HOUR)).otherwise(60 * (1 + F.col("event_id") % 3)).cast("long").alias("duration_s"),
         (F.lit(0.35) + (F.col("event_id") % 66) / F.lit(100.0)).alias("magnitude"),
     )
     return stored(table)
 
 
 def fault_users(spark: SparkSession, sf: str) -> DataFrame:
-    """The users whose event was the worst error of a day, as names of the deeper call graph."""
+    """The users with an error, as names of the deeper call graph."""
     errors = events(spark, sf).where(F.col("event_type") == "error")
-    best = F.max(F.struct(F.col("value"), (-F.col("event_id")).alias("_neg"), "user_id")).alias("_e")
-    worst = errors.groupBy(F.to_date("timestamp").alias("_day")).agg(best)
-    return worst.select(F.concat(F.lit("u"), F.col("_e.user_id")).alias("origin")).distinct()
+    return errors.select(F.concat(F.lit("u"), F.col("user_id")).alias("origin")).distinct()
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +170,7 @@ def incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.label(telemetry(spark, sf), incidents(spark, sf))
+    return labels.label(stored(telemetry(spark, sf)), incidents(spark, sf))
 
 
 def clean_grid(spark: SparkSession, sf: str) -> DataFrame:

@@ -119,3 +119,22 @@ def test_impact_report(spark):
     found = plans.impact(data.where("value is not null"), "a", hops, F.col("timestamp") < middle, F.col("timestamp") >= middle)
     rows = [(r["service"], r["distance"], r["p95_ratio"]) for r in found.collect()]
     assert rows == [("a", 0, pytest.approx(40 / 11)), ("b", 2, None), ("zz", 99, 1.0)]
+
+
+def test_an_incident_without_end_and_thousands_that_overlap(spark):
+    table = incidents(spark, (3, 7, ["maps"], "latency_injection"))
+    endless = table.withColumns({"ordinal": F.lit(1).cast("long"), "incident_id": F.lit("INC-0001"), "end": F.lit("9999-12-31 23:59:59").cast("timestamp")})
+    early = endless.withColumns({"ordinal": F.lit(2).cast("long"), "incident_id": F.lit("INC-0002"), "start": F.lit("0001-01-01").cast("timestamp")})
+    got = flagged(labels.label(mesh(spark), table.unionByName(endless).unionByName(early)))
+    assert {k[2]: v for k, v in got.items()} == {i: "INC-0002" if i < 3 else "INC-0000" if i < 8 else "INC-0001" for i in range(STEPS)}
+    many = spark.range(3_000).select((F.col("id") + 5).alias("ordinal"), F.format_string("INC-%04d", F.col("id") + 5).alias("incident_id"))
+    covered = endless.drop("ordinal", "incident_id").crossJoin(many).select(*table.columns)
+    got = flagged(labels.label(mesh(spark), covered))
+    assert set(got.values()) == {"INC-0005"} and len(got) == STEPS - 3
+
+
+def test_rows_without_a_timestamp_or_a_series_are_not_marked(spark):
+    rows = spark.createDataFrame([(None, "maps", "latency_p95_ms", 1.0), (times(1)[0].to_pydatetime(), None, "latency_p95_ms", 1.0)], "timestamp timestamp, service string, metric string, value double")
+    got = labels.label(mesh(spark).unionByName(rows), incidents(spark, (0, 15, ["maps"], "latency_injection")))
+    assert got.count() == 66 and got.where("is_anomalous").count() == 16
+    assert labels.label(rows.limit(0), incidents(spark, (0, 15, ["maps"], "latency_injection"))).collect() == []

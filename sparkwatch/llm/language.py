@@ -8,7 +8,7 @@ predicted. Where the second best is nearly as small, the prediction is rejected.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -24,11 +24,12 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class Languages:
-    """``pieces`` documents give at most ``piece_chars`` code points each; the ``languages`` most frequent ones are learned."""
+    """Up to ``pieces`` documents of each language give at most ``piece_chars`` code points each; with many languages fewer do, so that
+    all dictionaries hold about ``all_pieces`` together (one of each language at least). Every language that has a text is learned."""
 
     pieces: int = 256
     piece_chars: int = 1024
-    languages: int = 64
+    all_pieces: int = 16_384
     slack: int = 4
     level: int = 9
     block: int = 4096
@@ -58,11 +59,12 @@ def learn(df: DataFrame, spec: Languages = Languages()) -> dict[str, bytes]:
     Rows without a language or text are left out. Only the bounded sample of pieces comes to the driver.
     """
     known = df.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(spec.languages)
-    found = {r["lang"]: r["count"] for r in counts.collect()}
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    found = {r["lang"]: r["count"] for r in counts.collect()}  # a row per language
     names = list(found)
     if not names:
         return {}
+    spec = replace(spec, pieces=max(1, min(spec.pieces, spec.all_pieces // len(names))))
     # Draws are uniform, so of a language's n documents about ``slack`` times the wanted pieces are below this bound and get ranked.
     rows = _drawn(known, {lang: min(1.0, spec.slack * spec.pieces / n) for lang, n in found.items()}, spec)
     got = Counter(r["lang"] for r in rows)

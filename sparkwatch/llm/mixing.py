@@ -27,7 +27,8 @@ from sparkwatch.session import stored
 class Mix:
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     epochs: int = 3
-    block: int = 16
+    #: Words of a block. Only quotients near a source's share are ranked, so blocks of one word cost no more than larger ones.
+    block: int = 1
     shard_documents: int = 4096
     seed: int = 11
 

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwatch.llm.common import groups, over_batches, remainder, texts_of, word_hashes
+from sparkwatch.session import discard, stored
 
 #: Words of a passage.
 PASSAGE = 64
@@ -147,10 +148,11 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray, labe
 
 @dataclass(frozen=True)
 class Training:
-    """At most ``documents`` labelled ones, ``passages`` evenly spaced ones of each while learning."""
+    """The sample that is learned from: at most ``documents`` labelled ones, in the order of their hashes as far as all their passages together
+    are at most ``passages``. A document is in it with all its passages or, if it alone has more than a 16th of them, not at all."""
 
     documents: int = 4096
-    passages: int = 64
+    passages: int = 1 << 17
     hidden: int = 24
     attention: int = 16
     epochs: int = 25
@@ -199,21 +201,24 @@ def learn(df: DataFrame, labels: DataFrame, spec: Training = Training()):
     known = known.groupBy("doc_id").agg(F.min("label").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(spec.seed), "doc_id"), "doc_id").limit(spec.documents)
     rows = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``documents`` rows of two numbers
-    limit = spec.passages
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         features, counts = encode_passages([t.encode() for t in texts_of(batch.column("text"))])
         ends = np.cumsum(counts)
         blobs = []
         for end, n in zip(ends, counts):
-            own = features[end - n : end]
-            if n > limit:
-                own = own[np.linspace(0, n - 1, limit).astype(int)]
-            blobs.append(own.tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "x"])
-
-    # bounded by the sample: documents x passages x features
-    got = over_batches(rows, encoded, "doc_id long, label double, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable")
+            blobs.append(features[end - n : end].tobytes())
+        columns = [batch.column("doc_id"), batch.column("label"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "n", "x"])
+
+    every = stored(over_batches(rows, encoded, "doc_id long, label double, n long, x binary"))
+    # at most ``documents`` ids; rows that share one are one document
+    sizes = every.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64(F.lit(spec.seed), "doc_id"), "doc_id"))
+    fits = sizes.where(F.col("n") <= spec.passages // 16).withColumn("upto", upto).where(F.col("upto") <= spec.passages).select("doc_id")
+    # bounded by the sample: passages x features
+    got = every.join(fits, "doc_id").drop("n").toPandas().sort_values(["doc_id", "x"], kind="stable")
+    discard(every)
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
     features = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
     return fit(features, np.array([len(b) for b in bags], np.int64), got["label"].to_numpy(), spec)

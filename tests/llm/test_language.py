@@ -62,6 +62,20 @@ def test_held_out_accuracy(spark):
     assert got[1004]["lang_pred"] == rows[2][2]
 
 
+def test_every_language_is_learned(spark):
+    """Seventy invented languages; none is left out, and with fewer pieces for each they are still told apart."""
+    import random
+
+    r = random.Random(7)
+    words = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(40)] for k in range(70)}
+    rows = [(70 * n + k, " ".join(r.choice(words[k]) for _ in range(60)), f"l{k:02d}") for k in range(70) for n in range(8 if k < 60 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language.report(docs, spec=Languages(all_pieces=210)).collect()}
+    held = [x for x in rows if got[x[0]]["held_out"]]
+    assert {x[2] for x in held if int(x[2][1:]) >= 60}
+    assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in held]) > 0.95
+
+
 def test_only_the_learned_rows_matter(spark):
     rows = corpus(120, 2)
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}

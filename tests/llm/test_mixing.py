@@ -109,7 +109,15 @@ def test_empty_and_repeated(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     same = [(None, "a b c", "s", "x")] * 3 + [(1, None, None, "x"), (2, "", None, "x")]
     got = mixing.mix(spark.createDataFrame(same, SCHEMA)).select("size", "taken", F.col("source")).collect()
-    assert sum(x["taken"] for x in got) == 16 and all(x["taken"] == 0 for x in got if x["source"] is None)  # one block
+    assert sum(x["taken"] for x in got) == 9 and all(x["taken"] == 0 for x in got if x["source"] is None)  # all words there are
+
+
+def test_many_tiny_sources(spark):
+    """One document of one to nine words in each of 600 sources: each source comes within a word of its target."""
+    rows = [(i, " ".join("w" * (1 + i % 9)), f"s{i:03d}", "x") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(abs(x["taken"] - x["target"]) <= 1 for x in got)
+    assert abs(sum(x["taken"] for x in got) - sum(x["size"] for x in got)) <= 1
 
 
 def test_rows_without_an_id_have_decisions_of_their_own(spark):

@@ -89,6 +89,33 @@ def test_held_out_accuracy(spark):
     assert by[5][0] == by[5][1] and by[9000] == by[9001] == by[None]
 
 
+def test_one_passage_of_two_hundred_decides(spark):
+    """Long texts whose label hangs on one passage anywhere in them: it is in the bag while learning."""
+    r = random.Random(11)
+    rows = []
+    for i in range(160):
+        words = [r.choice("some of these words stand for quite ordinary prose here".split()) for _ in range(64 * 200)]
+        if i % 2:
+            at = 64 * r.randrange(200)
+            words[at : at + 64] = ["#%&" + r.choice("abc") for _ in range(64)]
+        rows.append((i, " ".join(words), 1 - i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = quality.report(docs, labels, spec=Training(epochs=40, batch=16)).collect()
+    held = [x for x in got if x["held_out"]]
+    assert len(held) > 20 and np.mean([x["predicted"] == 1 - x["doc_id"] % 2 for x in held]) > 0.9
+
+
+def test_the_sample_has_whole_documents(spark):
+    """A bound on passages leaves documents out of the sample, never passages of a document that is in it."""
+    rows = bags(200, 4) + [(500, "long " * 64 * 90, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = quality.report(docs, labels, spec=Training(epochs=30, passages=800)).collect()
+    held = [x for x in got if x["held_out"] and x["doc_id"] < 500]
+    assert np.mean([x["predicted"] == 1 - x["doc_id"] % 2 for x in held]) > 0.8
+
+
 def test_held_out_labels_are_not_used(spark):
     rows = bags(200, 3)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")

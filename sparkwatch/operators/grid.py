@@ -33,45 +33,50 @@ def cells(long: DataFrame) -> DataFrame:
 def time_axis(observed: DataFrame) -> DataFrame:
     """Distinct timestamps numbered from 0.
 
-    Numbered inside each hour, then shifted by the running size of the hours before; only the
-    table of hours (one row each) is ordered in one place.
+    Numbered inside each second (at most a million microseconds), then shifted by the sizes of the seconds before in the hour and of the
+    hours before; only the table of hours (one row each) is ordered in one place, so times may be as dense as they can be.
     """
-    times = observed.select("timestamp").distinct().withColumn("_hour", _hour("timestamp"))
-    inside = Window.partitionBy("_hour").orderBy("timestamp")
+    times = observed.select("timestamp").distinct().withColumn("_second", _second("timestamp"))
+    inside = Window.partitionBy("_second").orderBy("timestamp")
     numbered = times.withColumn("_nth", F.row_number().over(inside) - 1)
-    sizes = times.groupBy("_hour").agg(F.count(F.lit(1)).alias("_size"))
-    return numbered.join(_offsets(sizes), "_hour").select(
+    sizes = times.groupBy("_second").agg(F.count(F.lit(1)).alias("_size"))
+    return numbered.join(_offsets(sizes), "_second").select(
         "timestamp", (F.col("_nth") + F.col("_offset")).cast("long").alias("pos")
     )
 
 
-def _hour(column: str) -> Column:
-    return F.floor(F.unix_seconds(F.col(column)) / _HOUR_SECONDS)
+def _second(column: str) -> Column:
+    return F.unix_seconds(F.col(column))
 
 
 def _offsets(sizes: DataFrame) -> DataFrame:
-    """Running ``_size`` of the hours before each hour."""
+    """Running ``_size`` of all seconds before each second."""
+    sizes = sizes.withColumn("_hour", F.expr(f"floor(_second / {_HOUR_SECONDS})"))
+    earlier = Window.partitionBy("_hour").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("_hour", F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_offset"))
+    hours = sizes.groupBy("_hour").agg(F.sum("_size").alias("_size"))
+    hours = hours.select("_hour", F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_before"))
+    inside = sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    return inside.join(hours, "_hour").select("_second", (F.col("_before") + F.col("_inside")).alias("_offset"))
 
 
 def positions_of(axis: DataFrame, points: DataFrame, out: str = "before") -> DataFrame:
     """Per distinct ``timestamp`` of ``points``: how many axis timestamps lie strictly before it.
 
-    Points and axis are ranked together, hour by hour, so that no pair of them is ever joined.
+    Points and axis are ranked together, second by second, so that no pair of them is ever joined.
     """
     asked = points.select("timestamp").distinct()
     mixed = (
         axis.select("timestamp", F.lit(1).alias("_axis"))
         .unionByName(asked.select("timestamp", F.lit(0).alias("_axis")))
-        .withColumn("_hour", _hour("timestamp"))
+        .withColumn("_second", _second("timestamp"))
     )
-    offsets = _offsets(mixed.groupBy("_hour").agg(F.sum("_axis").alias("_size")))
-    inside = Window.partitionBy("_hour").orderBy("timestamp", "_axis").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _offsets(mixed.groupBy("_second").agg(F.sum("_axis").alias("_size")))
+    inside = Window.partitionBy("_second").orderBy("timestamp", "_axis").rowsBetween(Window.unboundedPreceding, -1)
     return (
         mixed.withColumn("_seen", F.coalesce(F.sum("_axis").over(inside), F.lit(0)))
         .where(F.col("_axis") == 0)
-        .join(offsets, "_hour")
+        .join(offsets, "_second")
         .select("timestamp", (F.col("_seen") + F.col("_offset")).cast("long").alias(out))
     )
 

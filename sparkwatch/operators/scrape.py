@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwatch.functions.percentiles import exact_percentiles
 from sparkwatch.operators.grid import chunk_window, chunked, own_rows
@@ -17,6 +17,8 @@ MICROS = 1_000_000
 # Finite bucket bounds of the request duration histogram, in seconds, and the least denominator of a ratio.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 LEAST_RATE = 1e-9
+#: Windows of so few steps are summed step by step.
+_SHORT_WINDOW = 8
 
 
 def increases(samples: DataFrame, labels: Sequence[str], window_seconds: int) -> DataFrame:
@@ -41,14 +43,50 @@ def _steps(at_micros: Column, step: int, reach: int) -> Column:
 
 
 def rate(samples: DataFrame, labels: Sequence[str], by: Sequence[str], window_seconds: int = 60, step_seconds: int = 15) -> DataFrame:
-    """Per step and ``by``: growth per second over the trailing window, summed over the other labels."""
-    grown = increases(samples, labels, window_seconds)
-    steps = grown.withColumn("_step", F.explode(_steps(F.unix_micros("timestamp"), step_seconds, window_seconds)))
-    return (
-        steps.groupBy("_step", *by)
-        .agg((F.sum("increase") / F.lit(float(window_seconds))).alias("value"))
-        .select(F.timestamp_seconds(F.col("_step") * step_seconds).alias("timestamp"), *by, "value")
-    )
+    """Per step and ``by``: growth per second over the trailing window, summed over the other labels.
+
+    Increases are summed per step first. A window of many steps is then the tail of one stretch of steps and the head of the next, both
+    running sums, so that no increase is copied to the steps that see it; steps whose window is empty have no row.
+    """
+    at, step = F.unix_micros("timestamp"), step_seconds * MICROS
+    first = F.ceil(at / F.lit(step))
+    seen_by = F.ceil((at + F.lit(window_seconds * MICROS)) / F.lit(step)) - first
+    slots = increases(samples, labels, window_seconds).groupBy(*by, first.alias("_step"), seen_by.alias("_seen"))
+    slots = slots.agg(F.sum("increase").alias("_v"))
+    # a sample is in the window of so many steps, or one more where steps do not divide the window
+    widths = sorted({window_seconds // step_seconds, -(-window_seconds // step_seconds)} - {0})
+    parts = [_windowed(slots.where(F.col("_seen") == k).drop("_seen"), list(by), k) for k in widths]
+    if len(parts) > 1:
+        both = parts[0].unionByName(parts[1])
+        parts = [both.groupBy(*by, "_step").agg(F.sum("_v").alias("_v"))]
+    value = F.col("_v") / F.lit(float(window_seconds))
+    return parts[0].select(F.timestamp_seconds(F.col("_step") * step_seconds).alias("timestamp"), *by, value.alias("value"))
+
+
+def _windowed(slots: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Sums over the last ``k`` steps, for every step with a slot among them."""
+    if k <= _SHORT_WINDOW:
+        copies = slots.withColumn("_step", F.explode(F.sequence(F.col("_step"), F.col("_step") + k - 1)))
+        return copies.groupBy(*by, "_step").agg(F.sum("_v").alias("_v"))
+    size = max(4096, 4 * k)
+    laid = chunked(slots, k, size, by, "_step").drop("own")
+    place = chunk_window(by, "_step")
+    # up to the step before the next slot, the last one that sees this slot, or the end of the chunk
+    until = F.least(F.lead("_step").over(place) - 1, F.col("_step") + k - 1, (F.col("chunk") + 1) * size - 1)
+    laid = laid.withColumn("_until", F.greatest(until, F.col("_step")))
+    steps = laid.withColumn("_at", F.explode(F.sequence("_step", "_until")))
+    steps = steps.select(*by, "chunk", F.col("_at").alias("_step"), F.when(F.col("_at") == F.col("_step"), F.col("_v")).alias("_v"))
+    steps = steps.withColumn("_stretch", F.expr(f"_step div {k}"))
+    stretch = Window.partitionBy(*by, "chunk", "_stretch")
+    upto = Window.unboundedPreceding, Window.currentRow
+    reach = Window.partitionBy(*by, "chunk").orderBy(F.col("_step").desc()).rangeBetween(Window.unboundedPreceding, k - 1)
+    steps = steps.withColumn("_tail", F.struct("_stretch", F.sum("_v").over(stretch.orderBy(F.col("_step").desc()).rowsBetween(*upto)).alias("v")))
+    steps = steps.withColumn("_head", F.sum("_v").over(stretch.orderBy("_step").rowsBetween(*upto)))
+    # the tail at the first step that is still in the window
+    steps = steps.withColumn("_tail", F.last("_tail").over(reach))
+    earlier = F.when(F.col("_tail._stretch") == F.col("_stretch") - 1, F.col("_tail.v"))
+    total = F.coalesce("_head", F.lit(0.0)) + F.coalesce(earlier, F.lit(0.0))
+    return steps.where(F.expr(f"_step div {size}") == F.col("chunk")).select(*by, "_step", total.alias("_v"))
 
 
 def event_rate(events: DataFrame, by: Sequence[str], width_seconds: int = 60) -> DataFrame:

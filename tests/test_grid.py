@@ -45,6 +45,17 @@ def test_positions_count_times_strictly_before(spark):
     assert sorted(got.values()) == [0, 0, 1, 1500, 2000]
 
 
+def test_a_million_times_in_one_hour(spark):
+    first = int(START.timestamp()) * 1_000_000 + 7
+    micros = F.lit(first) + F.col("id") * 3599
+    times = spark.range(0, 1_000_000, 1, 8).select(F.timestamp_micros(micros).alias("timestamp"), F.col("id"))
+    placed = grid.time_axis(times).join(times, "timestamp")
+    assert placed.where("pos = id").count() == 1_000_000
+    points = spark.createDataFrame([(first - 1,), (first,), (first + 3599 * 500_000 + 1,), (first + 10**12,)], "at long").select(F.timestamp_micros("at").alias("timestamp"))
+    got = sorted(r["before"] for r in grid.positions_of(grid.time_axis(times), points).collect())
+    assert got == [0, 0, 500_001, 1_000_000]
+
+
 def test_step_is_the_median_gap(spark):
     g = sparse_grid(spark, {("a", "m"): range(50)}, step=15)
     assert grid.require_step(g) == 15.0

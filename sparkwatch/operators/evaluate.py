@@ -69,20 +69,26 @@ def tail_mass(below: str = "below", above: str = "above") -> list[Column]:
     ]
 
 
-def pit_histogram(pits: DataFrame, bins: int = 20) -> DataFrame:
-    """Counts per equal bin of [0, 1] against the expected count; empty bins included.
+def pit_bin(value: Column, bins: int) -> Column:
+    """The equal bin of [0, 1] that a value is in.
 
     A value is first put in the bin its product with ``bins`` suggests and then moved by one if the
     bin's edge, as a double, says otherwise.
     """
     width = 1.0 / bins
-    guess = F.least(F.floor(F.col("pit") * bins), F.lit(bins - 1))
+    guess = F.least(F.floor(value * bins), F.lit(bins - 1))
     moved = (
-        F.when(F.col("pit") < guess * F.lit(width), guess - 1)
-        .when((F.col("pit") >= (guess + 1) * F.lit(width)) & (guess < bins - 1), guess + 1)
+        F.when(value < guess * F.lit(width), guess - 1)
+        .when((value >= (guess + 1) * F.lit(width)) & (guess < bins - 1), guess + 1)
         .otherwise(guess)
     )
-    counts = pits.groupBy(moved.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("observed"))
+    return F.when(value.isNotNull(), moved.cast("long"))
+
+
+def pit_histogram(pits: DataFrame, bins: int = 20) -> DataFrame:
+    """Counts per equal bin of [0, 1] against the expected count; empty bins included."""
+    width = 1.0 / bins
+    counts = pits.groupBy(pit_bin(F.col("pit"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("observed"))
     frame = pits.sparkSession.range(bins).withColumnRenamed("id", "bin")
     filled = frame.join(counts, "bin", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     all_bins = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkwatch.functions.ladder import LEVELS, rung
+from sparkwatch.functions.ladder import LEVELS, pit, rung
 from sparkwatch.operators import baselines, boosting, evaluate, features, forecast
 from sparkwatch.operators.features import FeatureSpec
 from sparkwatch.operators.grid import axis_of, split, split_position
@@ -168,6 +168,76 @@ def honesty_histogram(predicted: DataFrame, bins: int = 10, levels: Sequence[flo
     return evaluate.pit_histogram(evaluate.with_pit(predicted.where(F.col("clean")), levels).select("pit"), bins)
 
 
+def report(grid: DataFrame, plan: ForecastPlan, step: Column | float, bins: int = 10) -> DataFrame:
+    """All reports above in one long table (``section, item, name, value``), from one fit and one table of scored cells.
+
+    Accuracy, calibration, separation, pinned mass and the PIT histogram are one aggregation over it, per metric and in all; only the distance
+    from uniform orders values. Times of the header are seconds since the epoch.
+    """
+    both = with_baselines(grid, plan, predictions(grid, plan))
+    cells = stored(both.select(*CELL, "value", "clean", "q", "seasonal", "ewma", pit(F.col("value"), F.col("q"), plan.levels).alias("pit")))
+    names = ("forecaster", "seasonal", "ewma")
+    clean = F.coalesce(F.col("clean"), F.lit(False))
+    sure = F.when(clean, F.col("pit"))
+    counts = [F.sum((evaluate.pit_bin(sure, bins) == b).cast("long")).alias(f"_bin_{b}") for b in range(bins)]
+    sums = cells.rollup("metric").agg(
+        F.grouping("metric").alias("_all"),
+        F.stddev_pop("value").alias("spread"),
+        *_losses(plan.levels),
+        *_coverages(plan.levels, F.when(clean, F.col("value")), "clean"),
+        *_coverages(plan.levels, F.when(~clean, F.col("value")), "anomalous"),
+        F.avg((sure <= 0).cast("double")).alias("below"),
+        F.avg((sure >= 1).cast("double")).alias("above"),
+        F.count(sure).alias("_n"),
+        *counts,
+    )
+    sums = stored(sums)
+    spread = F.when(F.coalesce("spread", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("spread"))
+    by_metric, overall = F.col("_all") == 0, F.col("_all") == 1
+    nominal = [str(round(hi - lo, 9)) for lo, hi in INTERVALS]
+    entries: list[tuple[Column, str, Column, str, Column]] = [(by_metric, "accuracy", F.col("metric"), "spread", spread)]
+    entries += [(by_metric, "accuracy", F.col("metric"), n, F.col(n) / spread) for n in names]
+    entries += [(overall, "pooled", F.lit(""), n, F.col(n)) for n in names]
+    for i, share in enumerate(nominal):
+        entries.append((overall, "calibration", F.lit(share), "covered", F.col(f"clean_{i}")))
+        entries += [(overall, "separation", F.lit(share), side, F.col(f"{side}_{i}")) for side in ("clean", "anomalous")]
+    entries += [(overall, "honesty", F.lit(""), n, F.col(n)) for n in ("below", "above")]
+    for b in range(bins):
+        entries.append((overall, "histogram", F.lit(str(b)), "observed", F.coalesce(F.col(f"_bin_{b}"), F.lit(0))))
+        entries.append((overall, "histogram", F.lit(str(b)), "ratio", F.try_divide(F.col(f"_bin_{b}"), F.col("_n") / F.lit(float(bins)))))
+    parts = [_long(sums, entries)]
+    distance = evaluate.ks_distance(cells.where(clean & F.col("pit").isNotNull()).select("pit"))
+    parts.append(_long(distance, [(F.lit(True), "honesty", F.lit(""), n, F.col(n)) for n in ("ks", "n")]))
+    head = run_header(grid, plan, step)
+    number = lambda f: F.unix_micros(f.name) / F.lit(1e6) if f.dataType.simpleString() == "timestamp" else F.col(f.name)
+    parts.append(_long(head, [(F.lit(True), "header", F.lit(""), f.name, number(f)) for f in head.schema.fields]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _long(rows: DataFrame, entries: Sequence[tuple[Column, str, Column, str, Column]]) -> DataFrame:
+    """Entries (when, section, item, name, value) of each row as rows of their own."""
+    made = [
+        F.when(when, F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"), F.lit(name).alias("name"), value.cast("double").alias("value")))
+        for when, section, item, name, value in entries
+    ]
+    return rows.select(F.inline(F.filter(F.array(*made), lambda e: e.isNotNull())))
+
+
+def target_comparison(grid: DataFrame, plan: ForecastPlan, metrics: Sequence[str]) -> DataFrame:
+    """Levels against changes as targets: a row per target with the median's loss, coverage of both intervals, distance from uniform and
+    pinned mass over the chosen metrics' cells."""
+    parts = []
+    for target, changes in (("change", True), ("level", False)):
+        found = predictions(grid, replace(plan, residual_target=changes)).where(F.col("metric").isin(*metrics))
+        cells = stored(found.select("value", "q", pit(F.col("value"), F.col("q"), plan.levels).alias("pit")))
+        loss = F.avg(evaluate.pinball(F.col("value"), rung(F.col("q"), plan.levels, 0.5), 0.5)).alias("pinball")
+        pinned = [F.avg((F.col("pit") <= 0).cast("double")).alias("below"), F.avg((F.col("pit") >= 1).cast("double")).alias("above")]
+        scores = cells.agg(loss, *_coverages(plan.levels), *pinned).withColumn("target", F.lit(target))
+        distance = evaluate.ks_distance(cells.where("pit IS NOT NULL").select("pit")).withColumn("target", F.lit(target))
+        parts.append(scores.join(distance, "target"))
+    return parts[0].unionByName(parts[1]).select("target", "pinball", F.col("covered_0").alias("covered_90"), F.col("covered_1").alias("covered_98"), "ks", "n", "below", "above")
+
+
 def run_header(grid: DataFrame, plan: ForecastPlan, step: Column | float) -> DataFrame:
     """One row: series, step, bounds and length of both periods, anomalous share of the test cells.
 

@@ -190,12 +190,18 @@ EWMA = f"""sums AS (
   FROM grid WINDOW w AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 smoothed AS (SELECT *, CASE WHEN cnt >= 5 THEN num / den END AS ewma FROM sums)"""
 
-SIGMA = f"""rolled AS (
+
+
+def sigma(width: int) -> str:
+    return f"""rolled AS (
   SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, count(value) OVER w AS n,
     min(value) OVER w AS lo, max(value) OVER w AS hi
-  FROM grid WINDOW w AS ({W} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)),
+  FROM grid WINDOW w AS ({W} ROWS BETWEEN {width} PRECEDING AND 1 PRECEDING)),
 sigma AS (
-  SELECT *, CASE WHEN n >= 12 THEN m END AS mean, CASE WHEN n >= 12 THEN CASE WHEN lo = hi THEN 0 ELSE s END END AS std FROM rolled)"""
+  SELECT *, CASE WHEN n >= {width // 4} THEN m END AS mean, CASE WHEN n >= {width // 4} THEN CASE WHEN lo = hi THEN 0 ELSE s END END AS std FROM rolled)"""
+
+
+SIGMA = sigma(48)
 
 STEP = """(SELECT CAST(quantile_cont(gap, 0.5) AS DOUBLE) FROM (
   SELECT (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (ORDER BY timestamp))) / CAST(1000000 AS DOUBLE) AS gap FROM axis))"""
@@ -214,11 +220,17 @@ SELECT {select} FROM counted"""
 LAGS = ", ".join(f"{r(f'lag(value, {n}) OVER w')} AS lag_{n}" for n in (1, 2, 4, 8, 16)) + ", " + ", ".join(
     f"{r(f'lag(value, 1) OVER w - lag(value, {n + 1}) OVER w')} AS delta_{n}" for n in (1, 4)
 )
-ROLLS = ", ".join(
-    f"{r(f'CASE WHEN count(value) OVER w{n} >= {n // 4} THEN avg(value) OVER w{n} END')} AS mean_{n}, "
-    f"{r(f'CASE WHEN count(value) OVER w{n} >= {n // 4} THEN stddev_samp(value) OVER w{n} END')} AS std_{n}"
-    for n in (24, 72)
-)
+
+
+def rolls(*widths: int) -> str:
+    return ", ".join(
+        f"{r(f'CASE WHEN count(value) OVER w{n} >= {n // 4} THEN avg(value) OVER w{n} END')} AS mean_{n}, "
+        f"{r(f'CASE WHEN count(value) OVER w{n} >= {n // 4} THEN stddev_samp(value) OVER w{n} END')} AS std_{n}"
+        for n in widths
+    )
+
+
+ROLLS = rolls(24, 72)
 DAILY = ", ".join(f"{r(f'lag(value, {24 * n}) OVER w')} AS lag_day_{n}" for n in (1, 2))
 CLOCK = ", ".join(
     f"{r(f'{fn}(2 * pi() * fmod(epoch_us({{t}}) / CAST(1000000 AS DOUBLE), {p}) / {p})')} AS {name}_{fn}"
@@ -370,6 +382,8 @@ SELECT timestamp, service, metric, {r(_bounded.format(v="v"))} AS value FROM mov
     "seasonal_naive": f"WITH {GRID}, {NAIVE} SELECT timestamp, service, metric, {r('predicted')} AS predicted FROM naive",
     "ewma": f"WITH {GRID}, {EWMA} SELECT timestamp, service, metric, {r('ewma')} AS predicted FROM smoothed",
     "k_sigma_alerts": f"""WITH {GRID}, {SIGMA}
+SELECT timestamp, service, metric, coalesce(abs(value - mean) > 3 * std AND std > 0, false) AS alert FROM sigma""",
+    "k_sigma_alerts_240": f"""WITH {GRID}, {sigma(240)}
 SELECT timestamp, service, metric, coalesce(abs(value - mean) > 3 * std AND std > 0, false) AS alert FROM sigma""",
     "alert_rate": alerts(f"fired AS alerts, cells, {r(RATE)} AS alerts_per_series_per_day"),
     "alert_projection": alerts(f"{r(RATE)} AS alerts_per_series_per_day, {r(f'{RATE} * 5000')} AS daily_alerts"),
@@ -384,6 +398,8 @@ SELECT k, alerts, {r("gaussian_rate")} AS gaussian_rate, {r("per_day")} AS alert
   {r("per_day * 5000")} AS fleet_daily_alerts FROM rated""",
     "features_lags": feature_query(LAGS),
     "features_rolling": feature_query(ROLLS),
+    "features_rolling_240": f"""WITH {GRID} SELECT timestamp, service, metric, {rolls(60, 240)} FROM grid
+WINDOW w60 AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), w240 AS ({W} ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)""",
     "features_daily": feature_query(DAILY),
     "features_calendar": f"SELECT ts AS timestamp, {CLOCK.format(t='ts')} FROM (SELECT DISTINCT ts FROM events)",
     "features_all": feature_query(f"{LAGS}, {ROLLS}, {DAILY}, {CLOCK.format(t='timestamp')}"),
@@ -531,3 +547,47 @@ SELECT metric, CASE metric WHEN 'mem_mb' THEN 'too many samples' ELSE 'query fai
 FROM pages WHERE metric IN ('mem_mb', 'error_rate') GROUP BY metric"""
 ORACLES["service_filter"] = f"""{PREDICTED}
 SELECT timestamp, service, metric, {r("value")} AS value, {rungs_of("q")} FROM predicted WHERE service IN ('s1', 's4')"""
+
+
+def _unpivoted(section: str, query: str, item: str, columns: list[str]) -> str:
+    """Columns of a report as rows of the long one."""
+    listed = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"""SELECT '{section}' AS section, item, name, value FROM (SELECT {item} AS item, {listed} FROM ({ORACLES[query]}))
+  UNPIVOT INCLUDE NULLS (value FOR name IN ({", ".join(columns)}))"""
+
+
+_seconds = ["train_start", "train_end", "test_start", "test_end"]
+_header = ", ".join(f"epoch_us({c}) / CAST(1000000 AS DOUBLE) AS {c}" for c in _seconds)
+ORACLES["_header_numbers"] = f"SELECT * REPLACE ({_header}) FROM ({ORACLES['run_header']})"
+_share = "CASE WHEN nominal < 0.95 THEN '0.9' ELSE '0.98' END"
+ORACLES["forecast_report"] = " UNION ALL ".join(
+    [
+        _unpivoted("accuracy", "accuracy_by_metric", "metric", ["spread", "forecaster", "seasonal", "ewma"]),
+        _unpivoted("pooled", "accuracy_pooled", "''", ["forecaster", "seasonal", "ewma"]),
+        _unpivoted("calibration", "calibration", _share, ["covered"]),
+        _unpivoted("separation", "separation", _share, ["clean", "anomalous"]),
+        _unpivoted("honesty", "honesty", "''", ["ks", "n", "below", "above"]),
+        _unpivoted("histogram", "honesty_histogram", "CAST(bin AS VARCHAR)", ["observed", "ratio"]),
+        _unpivoted("header", "_header_numbers", "''", ["series", "step_seconds", "train_steps", "test_steps", "anomalous_share", *_seconds]),
+    ]
+)
+del ORACLES["_header_numbers"]
+
+
+def _targets(target: str) -> str:
+    """The scores of one target over two metrics' cells."""
+    pits = PIT if target == "change" else PIT.replace(f"lag(value) OVER ({W}) AS anchor", "CAST(0 AS DOUBLE) AS anchor")
+    chosen = "metric IN ('latency_p95_ms', 'mem_mb')"
+    return f"""SELECT '{target}' AS target, * FROM ({pits},
+mine AS (SELECT * FROM pits WHERE {chosen}),
+distance AS (WITH {ks("mine")}),
+scores AS (
+  SELECT {r(_loss("q[4]", 0.5))} AS pinball, {r(interval(2, 6, "true"))} AS covered_90, {r(interval(1, 7, "true"))} AS covered_98
+  FROM predicted WHERE {chosen}),
+ends AS (
+  SELECT {r("avg(CASE WHEN pit <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS below,
+    {r("avg(CASE WHEN pit >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS above FROM mine)
+SELECT * FROM scores CROSS JOIN distance CROSS JOIN ends)"""
+
+
+ORACLES["target_comparison"] = f"{_targets('change')} UNION ALL {_targets('level')}"

@@ -240,6 +240,11 @@ def k_sigma_alerts(spark, sf):
     return baselines.k_sigma_alerts(grid.dense(t.sparse(spark, sf)), t.WINDOW).select(*CELL, "alert")
 
 
+@query
+def k_sigma_alerts_240(spark, sf):
+    return baselines.k_sigma_alerts(grid.dense(t.sparse(spark, sf)), 240).select(*CELL, "alert")
+
+
 def _alert_rate(spark, sf, fleet=None):
     seen = t.sparse(spark, sf)
     alerts = baselines.k_sigma_alerts(seen, t.WINDOW)
@@ -282,6 +287,12 @@ def features_rolling(spark, sf):
     return _features(spark, sf, "rolling")
 
 
+@query
+def features_rolling_240(spark, sf):
+    spec = features.FeatureSpec(day=t.DAY)
+    return features.build(grid.dense(t.sparse(spark, sf)), spec, ("rolling",)).drop("pos", "value")
+
+
 @query
 def features_daily(spark, sf):
     return _features(spark, sf, "daily")
@@ -450,6 +461,18 @@ def run_header(spark, sf):
     return forecasting.run_header(seen, t.forecast_plan(spark, sf), step)
 
 
+@query
+def forecast_report(spark, sf):
+    """All forecast reports from one fit and one table of scored cells."""
+    seen = t.clean_grid(spark, sf)
+    return forecasting.report(seen, t.forecast_plan(spark, sf), grid.step_seconds(seen).scalar())
+
+
+@query
+def target_comparison(spark, sf):
+    return forecasting.target_comparison(t.clean_grid(spark, sf), t.forecast_plan(spark, sf), ("latency_p95_ms", "mem_mb"))
+
+
 # --- service graph --------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkwatch.llm.common import WORD, free_name, maybe_in
-from sparkwatch.session import stored
+from sparkwatch.session import discard, stored
 
 FIELD = "<*>"
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -130,11 +130,13 @@ def templates(lines: DataFrame, spec: Templates = Templates()) -> DataFrame:
 
 def dropped_lines(df: DataFrame, spec: Templates = Templates()) -> DataFrame:
     """``doc_id, pos`` of the lines to drop, from ``doc_id, text``."""
-    lines = leaves_of(df, spec)
+    # lines are taken apart once; the table of them goes again before anything else is shuffled
+    lines = stored(leaves_of(df, spec))
     several = (F.count(F.lit(1)) >= spec.documents) & (F.min("doc_id") != F.max("doc_id"))
     leaves = stored(lines.groupBy("leaf").agg(several.alias("several")).where("several").select("leaf"))
     kept = maybe_in(lines, "leaf", leaves).join(leaves, "leaf", "left_semi")
     kept = stored(kept.select("doc_id", "pos", masked(F.col("raw")).alias("line"), "leaf"))
+    discard(lines)
     named = stored(templates(kept, spec))
     constants = F.size(F.filter(F.split("template", " "), lambda x: x != FIELD))
     placed = kept.join(named.where(constants >= spec.constants), ["leaf", "line"]).select("doc_id", "pos", "leaf", "template")

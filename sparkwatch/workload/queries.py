@@ -13,7 +13,7 @@ from sparkwatch.operators import baselines, evaluate, features, forecast, graph,
 from sparkwatch.operators.boosting import BoostConfig
 from sparkwatch.plans import alerting, forecasting, incidents as incident_plans
 from sparkwatch.schema import CELL, SERIES, within_bounds
-from sparkwatch.session import shared_folder
+from sparkwatch.session import shared_folder, stored
 from sparkwatch.sources import readers, writers
 from sparkwatch.workload import tables as t
 
@@ -346,6 +346,25 @@ def boosted_forecast(spark, sf):
     return found.select(*CELL, "value", *rungs("q"))
 
 
+@query
+def boosted_quality(spark, sf):
+    """Per metric what must hold of the boosted forecasts: rows, missing ladders, their order, and a loss not above that of the hourly ladder."""
+    seen, plan = t.clean_grid(spark, sf), t.forecast_plan(spark, sf)
+    found = {
+        "boosted": stored(forecasting.boosted_predictions(seen, plan, t.SPEC, BoostConfig())),
+        "ladder": forecasting.predictions(seen, plan),
+    }
+    loss = sum(F.avg(pinball(F.col("value"), F.get("q", F.lit(i)), p)) for i, p in enumerate(LEVELS))
+    scores = {name: rows.groupBy("metric").agg(loss.alias(name)) for name, rows in found.items()}
+    missing = F.col("q").isNull()
+    ordered = F.bool_and(missing | (F.col("q") == F.array_sort("q")))
+    checks = found["boosted"].groupBy("metric").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(missing.cast("long")).alias("without_ladder"), ordered.alias("ordered")
+    )
+    both = checks.join(scores["boosted"], "metric").join(scores["ladder"], "metric")
+    return both.select("metric", "rows", "without_ladder", "ordered", (F.col("boosted") <= F.col("ladder")).alias("not_worse"))
+
+
 @query
 def predict_history(spark, sf):
     seen = t.sparse(spark, sf)

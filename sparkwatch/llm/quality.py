@@ -228,8 +228,10 @@ def score(model, text: Column) -> Column:
     """Score of a text column, 0 to 1; a missing text is scored like an empty one."""
 
     def scored(column: pa.Array) -> pa.Array:
-        features, counts = encode_passages([t.encode() for t in texts_of(column)])
-        return pa.array(np.round(model.scores(features, counts).astype(np.float64), 6))
+        texts = [t.encode() for t in texts_of(column)]
+        # a group of texts at a time, so that features of a whole batch are never held
+        made = [model.scores(*encode_passages(texts[i:j])) for i, j in groups(texts)]
+        return pa.array(np.round(np.concatenate([np.zeros(0), *made]), 6))
 
     return F.arrow_udf(scored, "double")(text)
 

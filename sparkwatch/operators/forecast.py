@@ -6,6 +6,7 @@ series at the same hour of day. See ``boosting`` for the tree-based forecaster w
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,11 +51,20 @@ def training_counts(grid: DataFrame, train: DataFrame) -> DataFrame:
     return every.join(found, SERIES, "left").select(*SERIES, F.coalesce("_n", F.lit(0)).alias("rows"))
 
 
-def require_rows(counts: DataFrame, least: int = MIN_TRAINING_ROWS) -> None:
-    """Fail when a series has too few usable rows, and name the worst one."""
-    short = counts.where(F.col("rows") < least).orderBy("rows", *SERIES).first()
-    if short is not None:
-        raise ValueError(f"{short['service']}/{short['metric']}: only {short['rows']} clean rows to fit on")
+def require_rows(counts: DataFrame, least: int = MIN_TRAINING_ROWS, short: str = "raise") -> None:
+    """Fail when a series has too few usable rows, and name the worst one.
+
+    With ``short="warn"`` that is a warning, and the series is fitted on the rows it has.
+    """
+    if short not in ("raise", "warn"):
+        raise ValueError("short must be 'raise' or 'warn'")
+    worst = counts.where(F.col("rows") < least).orderBy("rows", *SERIES).first()
+    if worst is None:
+        return
+    text = f"{worst['service']}/{worst['metric']}: only {worst['rows']} clean rows to fit on"
+    if short == "raise":
+        raise ValueError(text)
+    warnings.warn(text, stacklevel=2)
 
 
 def fit_ladder(

@@ -32,6 +32,8 @@ class ForecastPlan:
     residual_target: bool = True
     #: Least clean training rows of a series; 0 lets any series through.
     least_rows: int = forecast.MIN_TRAINING_ROWS
+    #: What a series with fewer is: an error ("raise"), or fitted on what it has with a warning ("warn").
+    short: str = "raise"
 
 
 def chosen(rows: DataFrame, plan: ForecastPlan) -> DataFrame:
@@ -55,7 +57,7 @@ def train_changes(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
 
 
 def fit(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Model table of the ladder forecaster. A series with fewer than ``plan.least_rows`` clean rows is an error."""
+    """Model table of the ladder forecaster. A series with fewer than ``plan.least_rows`` clean rows is what ``plan.short`` says."""
     train = stored(train_changes(grid, plan))
     check_rows(grid, plan, train)
     return forecast.fit_ladder(train, plan.levels)
@@ -63,7 +65,7 @@ def fit(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
 
 def check_rows(grid: DataFrame, plan: ForecastPlan, train: DataFrame) -> None:
     if plan.least_rows > 0:
-        forecast.require_rows(forecast.training_counts(chosen(grid, plan), train), plan.least_rows)
+        forecast.require_rows(forecast.training_counts(chosen(grid, plan), train), plan.least_rows, plan.short)
 
 
 def predictions(grid: DataFrame, plan: ForecastPlan, model: DataFrame | None = None) -> DataFrame:
@@ -89,7 +91,7 @@ def boosted_rows(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec) -> tupl
 
 
 def boosted_predictions(grid: DataFrame, plan: ForecastPlan, spec: FeatureSpec, config: boosting.BoostConfig) -> DataFrame:
-    """Test cells with the ladder ``q`` of boosted trees. A series with too few clean rows is an error."""
+    """Test cells with the ladder ``q`` of boosted trees. A series with too few clean rows is what ``plan.short`` says."""
     train, test = boosted_rows(grid, plan, spec)
     train = stored(train)
     check_rows(grid, plan, train)

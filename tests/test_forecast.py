@@ -218,6 +218,16 @@ def test_too_few_rows_stop_the_ladder_too(spark):
     assert forecasting.fit(g, forecasting.ForecastPlan(day=4, least_rows=0)).count() == 1
 
 
+def test_too_few_rows_may_be_a_warning(spark):
+    g = sparse_grid(spark, {("a", "m"): list(range(20)), ("b", "m"): list(range(200))}).withColumn("clean", F.col("service") == "b")
+    plan = forecasting.ForecastPlan(day=4, short="warn")
+    with pytest.warns(UserWarning, match="a/m: only 0"):
+        rows = forecasting.predictions(g, plan).collect()
+    assert {r["service"] for r in rows if r["q"] is not None} == {"b"}
+    with pytest.raises(ValueError, match="short must be"):
+        forecasting.fit(g, forecasting.ForecastPlan(day=4, short="skip"))
+
+
 def test_level_targets_in_a_plan(spark):
     g = sparse_grid(spark, {("a", "m"): [float(10 + i % 2) for i in range(60)]}).withColumn("clean", F.lit(True))
     plan = forecasting.ForecastPlan(day=4, least_rows=0, residual_target=False, levels=(0.1, 0.5, 0.9))

@@ -63,3 +63,26 @@ def test_too_few_clean_rows_is_an_error_here(spark):
 def test_only_needed_columns_are_read(spark):
     plan = tables.telemetry(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
+
+
+def test_series_with_few_clean_rows_are_in_the_reports(spark, tmp_path):
+    """Errors every hour leave a series without clean hours, and others with fewer than a forecaster should have."""
+    duckdb = pytest.importorskip("duckdb")
+    duck = duckdb.connect()
+    duck.execute(
+        """CREATE TABLE events AS SELECT row_number() OVER (ORDER BY m, u) AS event_id, TIMESTAMP '2024-01-01' + to_minutes(m) AS ts,
+        u AS user_id, CASE WHEN u = 0 AND m % 60 = 0 OR u = 1 AND m % 1440 = 0 THEN 'error' ELSE 'click' END AS event_type,
+        (hash(m, u) % 1000003)::DOUBLE / 10007 AS value, '{"k": 1}' AS props FROM range(0, 9000, 15) a(m), range(0, 2) b(u)"""
+    )
+    duck.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    counts = [r["rows"] for r in contract.queries()["train_row_counts"](spark, str(tmp_path)).collect()]
+    assert min(counts) == 0 and any(0 < n < forecast.MIN_TRAINING_ROWS for n in counts)
+    for name in ("quantile_ladder", "pit_values", "accuracy_by_metric", "target_comparison"):
+        with pytest.warns(UserWarning, match="clean rows to fit on"):
+            found = contract.queries()[name](spark, str(tmp_path))
+        names = sorted(found.columns)
+        cursor = duck.execute(contract.oracle_sql()[name])
+        order = [d[0] for d in cursor.description]
+        want = sorted(repr([row[order.index(n)] for n in names]) for row in cursor.fetchall())
+        assert sorted(repr([row[n] for n in names]) for row in found.collect()) == want
+        assert want

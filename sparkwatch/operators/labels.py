@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkwatch.functions.profiles import effect_table, known_kind
+from sparkwatch.operators.grid import positions_of
 from sparkwatch.operators.intervals import settle
 from sparkwatch.schema import SERIES
+from sparkwatch.session import stored
 
 _BUCKET_SECONDS = 6 * 3600
 
@@ -49,11 +51,12 @@ def label(
 ) -> DataFrame:
     """Telemetry with ``is_anomalous`` and ``incident_id`` ("" for none); both window ends count.
 
-    Of several incidents on a cell the one with the lowest ``ordinal`` keeps it. Claims are settled among themselves first: every stretch of a
+    Of several incidents on a cell the one with the lowest ``ordinal`` keeps it. Incidents between two times of the telemetry are out before
+    they are spelled out by service and metric. Claims are settled among themselves first: every stretch of a
     series' time belongs to one claim or none. Stretches are clipped to the time that telemetry covers, cut into time buckets, and a row of
     telemetry meets at most one of them, so telemetry is shuffled once (or not at all while the stretches are few). A claim may end in 9999.
     """
-    owned = _owned(claims(incidents, affected))
+    owned = _owned(claims(_touching(telemetry, incidents), affected))
     bounds = telemetry.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     ends = bounds.select(F.struct(F.unix_micros("lo").alias("lo"), F.unix_micros("hi").alias("hi"))).scalar()
     width = bucket_seconds * 1_000_000
@@ -72,6 +75,19 @@ def label(
     )
 
 
+def _touching(telemetry: DataFrame, incidents: DataFrame) -> DataFrame:
+    """The incidents during which telemetry has a timestamp, both ends included."""
+    axis = telemetry.select("timestamp").where(F.col("timestamp").isNotNull()).distinct()
+    # the end counts
+    after = F.timestamp_micros(F.unix_micros("end") + 1)
+    ends = incidents.select(F.col("start").alias("timestamp")).unionByName(incidents.select(after.alias("timestamp")))
+    placed = stored(positions_of(axis, ends.where(F.col("timestamp").isNotNull())))
+    first = placed.select(F.col("timestamp").alias("_start"), F.col("before").alias("_first"))
+    last = placed.select(F.col("timestamp").alias("_after"), F.col("before").alias("_last"))
+    rows = incidents.withColumn("_end", after).join(first, F.col("start") == F.col("_start")).join(last, F.col("_end") == F.col("_after"))
+    return rows.where("_first < _last").select(*incidents.columns)
+
+
 def _owned(claimed: DataFrame) -> DataFrame:
     """Disjoint stretches of microseconds per series, ``_from`` to before ``_until``, with the claim of the lowest ordinal."""
     rows = claimed.select(

@@ -138,3 +138,14 @@ def test_rows_without_a_timestamp_or_a_series_are_not_marked(spark):
     got = labels.label(mesh(spark).unionByName(rows), incidents(spark, (0, 15, ["maps"], "latency_injection")))
     assert got.count() == 66 and got.where("is_anomalous").count() == 16
     assert labels.label(rows.limit(0), incidents(spark, (0, 15, ["maps"], "latency_injection"))).collect() == []
+
+
+def test_incidents_between_two_times_are_not_spelled_out(spark):
+    table = incidents(spark, (5, 11, ["ledger"], "latency_injection"), (2, 2, ["stock"], "latency_injection"), (7, 7, ["maps"], "latency_injection"))
+    second = F.expr("INTERVAL 1 SECOND")
+    inside = F.col("ordinal") == 2  # from one second after a time to one second before the next
+    table = table.withColumn("end", F.when(inside, F.col("start") + (STEP - 1) * second).otherwise(F.col("end"))).withColumn("start", F.when(inside, F.col("start") + second).otherwise(F.col("start")))
+    table = table.unionByName(table.where("ordinal = 0").withColumns({"ordinal": F.lit(9).cast("long"), "end": F.lit(None).cast("timestamp")}))
+    assert sorted(r["ordinal"] for r in labels._touching(mesh(spark), table).collect()) == [0, 1]
+    got = flagged(labels.label(mesh(spark), table))
+    assert {(k[0], k[2]) for k in got} == {("ledger", i) for i in range(5, 12)} | {("stock", 2)}

@@ -86,3 +86,13 @@ def test_series_with_few_clean_rows_are_in_the_reports(spark, tmp_path):
         want = sorted(repr([row[order.index(n)] for n in names]) for row in cursor.fetchall())
         assert sorted(repr([row[n] for n in names]) for row in found.collect()) == want
         assert want
+
+
+@pytest.mark.parametrize("name", ["run_manifest", "manifest_json_round_trip"])
+def test_manifest_makes_its_tables_once(spark, monkeypatch, name):
+    made = []
+    for table in ("telemetry", "incidents"):
+        plain = getattr(tables, table)
+        monkeypatch.setattr(tables, table, lambda *a, plain=plain, table=table: made.append(table) or plain(*a))
+    assert contract.queries()[name](spark, SF).count() == 1
+    assert sorted(made) == ["incidents", "telemetry"]

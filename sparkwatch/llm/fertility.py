@@ -9,6 +9,7 @@ bands hold alone.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ _STARTS = np.array([b for b, _ in _BLOCKS], np.uint32)
 _SCRIPTS = sorted({s for _, s in _BLOCKS})
 _SCRIPT_OF = np.array([_SCRIPTS.index(s) for _, s in _BLOCKS])
 _WINDOW = 8
-_COUNTED = np.zeros(256, np.uint8)
-_COUNTED[list(b"#*$%&|<>")] = 1
+_SYMBOLS = b"#*$%&|<>"
+_SPACES = " \t\n\x0b\x0c\r"
 _LAYOUT = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -71,16 +72,23 @@ def repeated_words(hashes: np.ndarray, window: int = _WINDOW) -> int:
 
 
 def repeated_lines(text: str) -> int:
-    lines = [x for x in text.split("\n") if x.encode().split()]
+    lines = [x for x in text.split("\n") if x.strip(_SPACES)]
     return len(lines) - len(set(lines))
 
 
+@lru_cache(maxsize=1)
+def _script_table() -> np.ndarray:
+    """The number of each code point's script; one more than the last for what is no letter."""
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    letters = np.array([chr(x).isalpha() for x in range(sys.maxunicode + 1)])
+    return np.where(letters, _SCRIPT_OF[np.searchsorted(_STARTS, points, "right") - 1], len(_SCRIPTS)).astype(np.uint8)
+
+
 def script(text: str) -> str:
     """The script of most visible characters beyond ASCII punctuation and digits; ``other`` if there are none."""
-    points = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le"), np.uint32)
-    if not len(points):
-        return "other"
-    return _SCRIPTS[np.bincount(_SCRIPT_OF[np.searchsorted(_STARTS, points, "right") - 1]).argmax()]
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    found = np.bincount(_script_table()[points], minlength=len(_SCRIPTS) + 1)[:-1]
+    return _SCRIPTS[found.argmax()] if found.any() else "other"
 
 
 @lru_cache(maxsize=4)
@@ -136,7 +144,7 @@ def measure(df: DataFrame, spec: Fertility = Fertility()) -> DataFrame:
                 n_tokens, *three = token_measures(encode(texts[i]), len(texts[i]), is_byte)
                 found += three
                 tokens = tokens if k else n_tokens
-            symbols = int(_COUNTED[np.frombuffer(raw[i], np.uint8)].sum())
+            symbols = len(raw[i]) - len(raw[i].translate(None, _SYMBOLS))
             row = (n, len(texts[i]) - spaces, symbols, repeated_lines(texts[i]), repeats, n < 20 or 100 * repeats > 30 * n, tokens, found)
             for column, value in zip(columns, row):
                 column.append(value)

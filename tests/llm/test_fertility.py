@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -127,3 +128,13 @@ def test_width_of_the_bands(spark):
     df = spark.createDataFrame(rows, "off int, m array<double>, n_tokens long, middle array<double>, spread array<double>")
     got = {r["off"]: r["ok"] for r in df.withColumn("ok", fertility.within(Fertility(vocabularies=("one",)))).collect()}
     assert got == {-5: False, -3: True, 3: True, 5: False}
+
+
+def test_letters_and_blank_lines_by_table():
+    """Scripts as letter by letter, from one table of code points."""
+    texts = ["", "12 !!", "abc \u0434\u043e\u043c", "\u6f22\u5b57 a", "\U00020000\U000e0100", "\u00aa\u00ba\u0430\u0431\u0432"]
+    for text in texts:
+        letters = [fertility._SCRIPT_OF[np.searchsorted(fertility._STARTS, ord(c), "right") - 1] for c in text if c.isalpha()]
+        assert fertility.script(text) == (fertility._SCRIPTS[np.bincount(letters).argmax()] if letters else "other")
+    assert len(fertility._script_table()) == 0x110000
+    assert fertility.repeated_lines("a\n \t\x0b\x0c\r\na\n\n\x1c\n\x1c") == 2

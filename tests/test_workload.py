@@ -96,3 +96,47 @@ def test_manifest_makes_its_tables_once(spark, monkeypatch, name):
         monkeypatch.setattr(tables, table, lambda *a, plain=plain, table=table: made.append(table) or plain(*a))
     assert contract.queries()[name](spark, SF).count() == 1
     assert sorted(made) == ["incidents", "telemetry"]
+
+
+@pytest.fixture(scope="module")
+def hourly_errors(tmp_path_factory):
+    """Events of two services; an error every hour leaves one of them without clean hours, one a day leaves the other few."""
+    duckdb = pytest.importorskip("duckdb")
+    folder, duck = tmp_path_factory.mktemp("hourly_errors"), duckdb.connect()
+    duck.execute(
+        """CREATE TABLE events AS SELECT row_number() OVER (ORDER BY m, u) AS event_id, TIMESTAMP '2024-01-01' + to_minutes(m) AS ts,
+        u AS user_id, CASE WHEN u = 0 AND m % 60 = 0 OR u = 1 AND m % 1440 = 0 THEN 'error' ELSE 'click' END AS event_type,
+        (hash(m, u) % 1000003)::DOUBLE / 10007 AS value, '{"k": 1}' AS props FROM range(0, 9000, 15) a(m), range(0, 2) b(u)"""
+    )
+    duck.execute(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder), duck
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["accuracy_pooled", "calibration", "forecast_report", "honesty", "honesty_histogram", "ks_per_series", "ks_pooled", "pit_histogram",
+     "pit_values", "quantile_ladder", "separation", "tail_mass"],
+)
+def test_each_report_has_series_with_few_clean_rows(spark, hourly_errors, name):
+    folder, duck = hourly_errors
+    with pytest.warns(UserWarning, match="clean rows to fit on"):
+        found = contract.queries()[name](spark, folder)
+    names = sorted(found.columns)
+    cursor = duck.execute(contract.oracle_sql()[name])
+    order = [d[0] for d in cursor.description]
+    want = sorted(repr([row[order.index(n)] for n in names]) for row in cursor.fetchall())
+    assert sorted(repr([row[n] for n in names]) for row in found.collect()) == want
+    assert want
+
+
+def test_boosted_reports_have_series_with_few_clean_rows(spark, hourly_errors):
+    folder, _ = hourly_errors
+    counts = {(r["service"], r["metric"]): r["rows"] for r in contract.queries()["train_row_counts"](spark, folder).collect()}
+    assert 0 in counts.values()
+    with pytest.warns(UserWarning, match="clean rows to fit on"):
+        rows = contract.queries()["boosted_forecast"](spark, folder).collect()
+    assert {(r["service"], r["metric"]) for r in rows} == set(counts)
+    assert {(r["service"], r["metric"]) for r in rows if r["q50"] is not None} == {s for s, n in counts.items() if n}
+    with pytest.warns(UserWarning, match="clean rows to fit on"):
+        checks = contract.queries()["boosted_quality"](spark, folder).collect()
+    assert sum(c["rows"] for c in checks) == len(rows) and all(c["ordered"] for c in checks)

@@ -233,7 +233,10 @@ def _links(rows: DataFrame, profiles: DataFrame, classes: DataFrame, spec: Jacca
         # --- lists that still hold more than one component
         known = entries.drop("root")
         known = known.withColumn("root", F.col("doc_id")) if roots is None else known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        best = [F.min(F.struct(F.xxhash64(F.lit(spec.pivots * round_ + i), "doc_id").alias("h"), *own)).alias(f"p{i}") for i in range(spec.pivots)]
+        # every other pivot is the document in most lists: of near copies the least changed one, to which most others link
+        known = known.join(known.groupBy("doc_id").agg((-F.count(F.lit(1))).alias("w")), "doc_id")
+        weights = [F.col("w") if i % 2 == 0 else F.lit(0).cast("long").alias("w") for i in range(spec.pivots)]
+        best = [F.min(F.struct(w, F.xxhash64(F.lit(spec.pivots * round_ + i), "doc_id").alias("h"), *own)).alias(f"p{i}") for i, w in enumerate(weights)]
         per_root = known.groupBy("g", "root").agg(F.count(F.lit(1)).alias("c"), *best)
         picked = F.array(*[F.min(f"p{i}") for i in range(spec.pivots)]).alias("p")
         lists = per_root.groupBy("g").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"), picked).where("roots > 1")

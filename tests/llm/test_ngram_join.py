@@ -128,3 +128,25 @@ def test_components_of_chains_and_stars(spark):
     want = roots({x for link in links for x in link}, links)
     assert {r["node"]: r["root"] for r in components(df).collect()} == want
     assert components(df.where(F.lit(False))).collect() == []
+
+
+def test_near_copies_of_one_text_are_compared_with_it_first(spark, monkeypatch):
+    """Copies with two changed words link with the text and with those with one, hardly ever with each other."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 181):
+        copy = list(words)
+        for at in (r.randrange(5, 70), r.randrange(80, 145))[: 1 if i <= 20 else 2]:
+            copy[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    compared, plain = [], ngram_join._verified
+
+    def verified(pairs, *others):
+        compared.append(pairs.count())
+        return plain(pairs, *others)
+
+    monkeypatch.setattr(ngram_join, "_verified", verified)
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(row) for row in found} == brute(rows) and {row["component_id"] for row in found} == {0}
+    assert sum(compared) < 1000

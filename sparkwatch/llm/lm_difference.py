@@ -5,9 +5,10 @@ smoothed alike, and the background's counts are scaled to the target's number of
 differ in what they have seen and not in how much. A document's score is the mean, over its tokens, of what the
 background model loses more than the target model.
 
-Words and bigrams are counted over all documents; tasks add up what they have read before they shuffle it. The models are a table with
-one row per bigram, which grows with the input, and documents meet it in a join of their distinct bigrams. Only the most
-frequent bigrams go to the executors, in bounded number, so that no hot one is a key of that join.
+Documents are packed into groups of a bounded number of bytes. A group counts its words and bigrams, each with what the target has
+of it, and sends every part of the key space its keys in order, as packed differences. A part adds up the counts of all groups and
+sends back totals alone, in the order of the keys that came; the group meets them when it reads its texts again. So a key is sent once
+per group, however frequent it is, and neither its history nor its word goes along.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sparkwatch.llm.common import maybe_in, mix, texts_of, words_by_text
+from sparkwatch.llm.common import mix, texts_of, words_by_text
 from sparkwatch.session import stored
 
 REST, BEGIN = 0, 1
 _HELD = 1 << 21
+#: Bytes of text that make a group, and for which there is a part of the key space: about two million words of prose.
+_GROUP_BYTES = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,7 @@ class BigramModels:
     bigrams: int | None = None
     #: Weight of the word distribution against what a history was followed by, in tokens.
     prior: float = 50.0
-    #: Most bigrams whose losses are sent to the executors; all others are joined.
+    #: Without effect: no bigram is sent to the executors, as none is a hot key.
     sent: int = 1 << 18
 
 
@@ -57,117 +60,196 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, signed), len(self.hashes) - 1)
         return np.where(self.hashes[at] == signed, signed, REST)
 
-    def bigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, history and word of each token's bigram."""
+    def bigrams(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key and word of each token's bigram; ``sizes`` are the numbers of words of the texts."""
         word = self.symbols(words)
-        if not len(word):
-            return word, word, word
-        history = np.concatenate(([BEGIN], word[:-1]))
-        return mix(mix(history.view(np.uint64)) + word.view(np.uint64)).view(np.int64), history, word
+        history = np.roll(word, 1)
+        history[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
+        return mix(mix(history.view(np.uint64)) + word.view(np.uint64)), word.view(np.uint64)
 
 
-def _own(words: np.ndarray) -> tuple[np.ndarray]:
-    return (words.view(np.int64),)
+def _tally(rows: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``key, n``: how often each key occurs. A task merges its keys before it gives them out, in bounded memory."""
 
-
-def _tally(rows: DataFrame, keys: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
-    """``names, n``: how often each key, the first of ``names``, occurs; the others go with it. A task merges its keys before it gives
-    them out, in bounded memory."""
-    nothing = [np.zeros(0, np.int64)] * (len(names) + 1)
-
-    def made(held: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in held], [*names, "n"])
+    def merged(held: list[np.ndarray], waiting: list[np.ndarray]) -> list[np.ndarray]:
+        every = np.concatenate((held[0], *waiting))
+        found, at = np.unique(every, return_inverse=True)
+        n = np.concatenate((held[1], np.ones(len(every) - len(held[0]), np.int64)))
+        return [found, np.bincount(at, n, len(found)).astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, ...]] = []
+        nothing = [np.zeros(0, np.int64)] * 2
+        waiting: list[np.ndarray] = []
         held, size = nothing, 0
         for batch in batches:
             for _, words in words_by_text(_lowered(batch.column("text"))):
                 waiting.append(keys(words))
                 size += len(words)
                 if size >= _HELD:
-                    held = _merged(held, waiting)
+                    held = merged(held, waiting)
                     waiting, size = [], 0
                     if len(held[0]) >= _HELD:
-                        yield made(held)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["key", "n"])
                         held = nothing
-        yield made(_merged(held, waiting))
-
-    return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "n")))
-
-
-def _merged(held: list[np.ndarray], waiting: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    if not waiting:
-        return held
-    columns = [np.concatenate(x) for x in zip(*waiting)]
-    keys = np.concatenate((held[0], columns[0]))
-    if not len(keys):
-        return held
-    n = np.concatenate((held[-1], np.ones(len(columns[0]), np.int64)))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    also = [np.concatenate((x, y))[order[starts]] for x, y in zip(held[1:-1], columns[1:])]
-    return [keys[starts], *also, np.add.reduceat(n[order], starts)]
-
-
-def learn(df: DataFrame, target_ids: DataFrame, spec: BigramModels = BigramModels()) -> tuple[Vocabulary, DataFrame] | None:
-    """(vocabulary, ``key, background, loss_target, loss_background`` of each bigram) from ``doc_id, text`` and the ids of the target's
-    documents, or None where the target has no words."""
-    vocabulary = Vocabulary(None)
-    if spec.words is not None:
-        top = _tally(df, _own, ["key"]).groupBy("key").agg(F.sum("n").alias("n"))
-        vocabulary = Vocabulary(top.orderBy(F.desc("n"), "key").limit(spec.words).toPandas()["key"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held, waiting)], ["key", "n"])
+
+    return rows.select("text").mapInArrow(run, "key long, n long")
+
+
+def _most_frequent(rows: DataFrame, keys: Callable[[np.ndarray], np.ndarray], limit: int) -> np.ndarray:
+    counts = _tally(rows, keys).groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(counts.orderBy(F.desc("n"), "key").limit(limit).toPandas()["key"].to_numpy(np.int64))
+
+
+# --- what is sent ---------------------------------------------------------------------------------
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte by byte: first the lowest of each, then the next."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the parts of the key space begin and end in ``keys``, which are in order."""
+    between = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, between), [len(keys)]))
 
-    ids = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    target = maybe_in(df, "doc_id", ids).join(ids, "doc_id", "left_semi")
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def keys(words: np.ndarray) -> tuple[np.ndarray, ...]:
-        return shared.value.bigrams(words)
-
-    zero, names = F.lit(0).cast("long"), ["key", "history", "word"]
-    background = _tally(df, keys, names).select(*names, zero.alias("target"), F.col("n").alias("background"))
-    aimed = _tally(target, keys, names).select(*names, F.col("n").alias("target"), zero.alias("background"))
-    sums = [F.sum(c).alias(c) for c in ("target", "background")]
-    firsts = [F.first(c).alias(c) for c in ("history", "word")]
-    counts = stored(background.unionByName(aimed).groupBy("key").agg(*firsts, *sums))
-
-    total = counts.agg(*sums).first()
-    if not total["target"]:
-        return None
-    matched = float(total["target"]) / float(total["background"])
-    ends = {c: stored(counts.groupBy(F.col(c).alias(f"_{c}")).agg(*[F.sum(x).alias(f"{x}_{c}") for x in ("target", "background")])) for c in ("history", "word")}
-    # the listed words, or all, and entries for the rest and the beginning
-    size = (ends["word"].count() if vocabulary.hashes is None else len(vocabulary.hashes)) + 2
-    model = counts
-    for c, end in ends.items():
-        model = model.join(end, F.col(c) == F.col(f"_{c}"))
-    listed = F.lit(True)
-    if spec.bigrams is not None:
-        chosen = counts.orderBy(F.desc("background"), "key").limit(spec.bigrams).select(F.col("key").alias("_listed"))
-        model, listed = model.join(chosen, F.col("key") == F.col("_listed"), "left"), F.col("_listed").isNotNull()
 
-    def loss(side: str, scale: float) -> Column:
-        words = (F.col(f"{side}_word") * F.lit(scale) + 1) / (float(total[side]) * scale + size)
-        seen = F.when(listed, F.col(side) * F.lit(scale)).otherwise(0.0)
-        return -F.log((seen + spec.prior * words) / (F.col(f"{side}_history") * F.lit(scale) + spec.prior))
+def _placed(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each of ``found`` is among ``keys``."""
+    out = np.zeros(len(found), np.int64)
+    some, n = np.unique(keys, return_counts=True)
+    out[np.searchsorted(found, some)] = n
+    return out
 
-    return vocabulary, stored(model.select("key", "background", loss("target", 1.0).alias("loss_target"), loss("background", matched).alias("loss_background")))
 
+_GROUP = "group long, bytes long, ids array<long>, texts binary"
+_ASKED = "group long, kind int, part int, n int, keys binary, counts binary"
+_TOLD = "group long, kind int, part int, n int, totals binary, target long, background long, distinct long"
+_BIGRAMS, _WORDS = 0, 1
+#: Numbers per key: of target and background; words have them as words and as histories.
+_WIDE = {_BIGRAMS: 2, _WORDS: 4}
 
-def most_frequent(model: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order and losses of the bigrams above a power of two of counts, the least that leaves no more than ``limit``."""
-    level = F.floor(F.log2(F.col("background") + 0.5)).cast("int")
-    n = {r["level"]: r["n"] for r in model.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least, held = max(n, default=0) + 1, 0
-    while least - 1 in n and held + n[least - 1] <= limit:
-        least, held = least - 1, held + n[least - 1]
-    found = model.where(level >= least).select("key", "loss_target", "loss_background").toPandas().sort_values("key")
-    return tuple(found[c].to_numpy() for c in ("key", "loss_target", "loss_background"))
 
+def _fields(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-_FOUND = "row long, key long, n long, doc_id long, n_tokens long, loss_target double, loss_background double"
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows of ``doc_id, text`` in groups, each row once; a long text is a group of its own."""
+
+    def made(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        sink = pa.BufferOutputStream()
+        text = whole.select(["text"])
+        with pa.ipc.new_stream(sink, text.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(text.combine_chunks())
+        return _table([(whole.column("row")[0].as_py(), size, whole.column("doc_id").to_pylist(), sink.getvalue().to_pybytes())], _GROUP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")], np.int64)
+            start = 0
+            for i, n in enumerate(sizes.tolist()):
+                if size and size + n > _GROUP_BYTES:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield made(held, size)
+                    held, size, start = [], 0, i
+                size += n
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+        if held:
+            yield made(held, size)
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(run, _GROUP)
+
+
+def _words(texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a group, and the number of words of each text."""
+    column = pa.ipc.open_stream(texts).read_all().column("text")
+    found = [words for _, words in words_by_text(_lowered(column))]
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.array([len(x) for x in found], np.int64)
+
+
+def asked(groups: DataFrame, parts: int, shared) -> DataFrame:
+    """What the groups have of each part of the key space: keys in order, as differences, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a group at a time
+                group, aimed, texts = (batch.column(c)[i].as_py() for c in ("group", "aimed", "texts"))
+                words, sizes = _words(texts)
+                chosen = np.zeros(len(sizes), bool)
+                chosen[aimed or []] = True
+                yield _table(list(sent(group, words, sizes, chosen)), _ASKED)
+
+    def sent(group: int, words: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> Iterator[tuple]:
+        if not len(words):
+            return
+        bigram, word = shared.value[0].bigrams(words, sizes)
+        inside = np.repeat(chosen, sizes)
+        found, n = np.unique(bigram, return_counts=True)
+        yield from by_part(group, _BIGRAMS, found, [_placed(found, bigram[inside]), n])
+        # every word but the last of a text is a history
+        last, some = np.cumsum(sizes) - 1, sizes > 0
+        found = np.unique(np.append(word, np.uint64(BEGIN)))
+        counts = [_placed(found, word[inside]), _placed(found, word)]
+        for n, those in zip(tuple(counts), (some & chosen, some)):
+            history = n - _placed(found, word[last[those]])
+            history[np.searchsorted(found, np.uint64(BEGIN))] += those.sum()
+            counts.append(history)
+        yield from by_part(group, _WORDS, found, counts)
+
+    def by_part(group: int, kind: int, keys: np.ndarray, counts: list[np.ndarray]) -> Iterator[tuple]:
+        cuts = _cuts(keys, parts)
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            i, j = cuts[part], cuts[part + 1]
+            steps = np.diff(keys[i:j], prepend=np.uint64(0))
+            yield group, kind, part, int(j - i), packed(steps), packed(np.concatenate([c[i:j] for c in counts]))
+
+    return groups.select("group", "aimed", "texts").mapInArrow(run, _ASKED)
+
+
+def told(asks: DataFrame) -> DataFrame:
+    """Totals of a part's keys for each group that asked, in the order of its keys, and a row without a group with sums over the part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        wide = _WIDE[rows[0]["kind"]]
+        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([unpacked(r["counts"], wide * r["n"]).reshape(wide, -1) for r in rows], 1)
+        found, at = np.unique(keys, return_inverse=True)
+        # counts are far below 2^53
+        totals = [np.bincount(at, c, len(found)).astype(np.uint64) for c in counts.astype(float)]
+        name = (rows[0]["kind"], rows[0]["part"])
+        out = [(None, *name, len(found), None, int(totals[0].sum()), int(totals[1].sum()), int((totals[1] > 0).sum()))]
+        start = 0
+        for r in rows:
+            own = at[start : start + r["n"]]
+            out.append((r["group"], *name, r["n"], packed(np.concatenate([t[own] for t in totals])), None, None, None))
+            start += r["n"]
+        return pa.Table.from_batches([_table(out, _TOLD)])
+
+    return asks.groupBy("kind", "part").applyInArrow(run, _TOLD)
+
+
+_SUMS = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
 def score(df: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: BigramModels = BigramModels()) -> DataFrame:
@@ -178,45 +260,64 @@ def score(df: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: st
     has no tokens. Repeated rows count as often as they stand there. Other columns are not read.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = learn(rows, target_ids, spec)
-    vocabulary, model = made or (Vocabulary(None), None)
-    nothing = tuple(np.zeros(0, kind) for kind in (np.int64, float, float))
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary, *(nothing if model is None else most_frequent(model, spec.sent))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per document with the losses of the bigrams that were sent, and one per other distinct bigram."""
-        names = [x.split()[0] for x in _FOUND.split(", ")]
-        kinds = [pa.float64() if x.endswith("double") else pa.int64() for x in _FOUND.split(", ")]
-        known, listed, *sent = shared.value
-        for batch in batches:
-            ids, docs = batch.column("row").to_numpy(), batch.column("doc_id").to_pylist()
-            whole, rest = [[] for _ in range(4)], [[np.zeros(0, np.int64)] for _ in range(3)]
-            for i, words in words_by_text(_lowered(batch.column("text"))):
-                key, n = np.unique(known.bigrams(words)[0], return_counts=True)
-                at = np.minimum(np.searchsorted(listed, key), max(len(listed) - 1, 0))
-                here = listed[at] == key if len(listed) else np.zeros(len(key), bool)
-                for column, x in zip(whole, (len(words), *[float(y[at[here]] @ n[here]) for y in sent], ids[i])):
-                    column.append(x)
-                if model_known and not here.all():
-                    for column, x in zip(rest, (np.full((~here).sum(), ids[i]), key[~here], n[~here])):
-                        column.append(x)
-            # a document's own row takes part in the join with a key that is not looked at
-            first = (whole[3], whole[3], None, docs, *whole[:3])
-            other = (*[np.concatenate(x) for x in rest], None, None, None, None)
-            for columns, size in ((first, len(docs)), (other, sum(map(len, rest[0])))):
-                arrays = [pa.nulls(size, kind) if x is None else pa.array(x, kind) for x, kind in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    model_known = model is not None
-    found = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _FOUND)
-    if model_known:
-        losses = model.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("loss_target", "loss_background")])
-        found = found.join(losses, F.col("key") == F.col("_key"), "left")
-        own = F.col("n").isNull()
-        each = {c: F.when(own, F.col(c)).otherwise(F.col("n") * F.col(f"_{c}")) for c in ("loss_target", "loss_background")}
-    else:
-        each = {c: F.lit(None).cast("double") for c in ("loss_target", "loss_background")}
-    sums = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(x).alias(c) for c, x in each.items()])
-    mean = {c: F.round(F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")), 9).alias(c) for c in each}
+    ids = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    vocabulary, listed = Vocabulary(None), None
+    if spec.words is not None:
+        vocabulary = Vocabulary(_most_frequent(rows, lambda words: words.view(np.int64), spec.words))
+    if spec.bigrams is not None:
+        known = vocabulary
+        listed = _most_frequent(rows, lambda words: known.bigrams(words, np.array([len(words)]))[0].view(np.int64), spec.bigrams)
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary, listed))
+
+    groups = stored(grouped(rows))
+    parts = -(-(groups.agg(F.sum("bytes")).first()[0] or 1) // _GROUP_BYTES)
+    places = groups.select("group", F.posexplode("ids").alias("pos", "doc_id")).join(ids, "doc_id", "left_semi")
+    # at most a group's texts
+    aimed = stored(places.groupBy("group").agg(F.collect_list("pos").alias("aimed")))
+    answers = stored(told(asked(groups.join(aimed, "group", "left"), parts, shared)))
+
+    of = {r["kind"]: r for r in answers.where("group IS NULL").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("target", "background", "distinct")]).collect()}
+    total = {side: of[_BIGRAMS][side] if of else 0 for side in ("target", "background")}
+    # the listed words, or all, and entries for the rest and the beginning
+    n_words = len(vocabulary.hashes) if vocabulary.hashes is not None else of[_WORDS]["distinct"] if of else 0
+    size = n_words + 2
+    scale = {"target": 1.0, "background": total["target"] / total["background"] if total["background"] else 1.0}
+
+    def losses(words: np.ndarray, sizes: np.ndarray, answer: pa.Table) -> list[np.ndarray]:
+        """What either model loses at each token."""
+        bigram, word = shared.value[0].bigrams(words, sizes)
+        sums: dict[int, list[np.ndarray]] = {}
+        for r in sorted(answer.to_pylist(), key=lambda r: r["part"]):
+            sums.setdefault(r["kind"], []).append(unpacked(r["totals"], _WIDE[r["kind"]] * r["n"]).reshape(_WIDE[r["kind"]], -1))
+        every = {kind: np.concatenate(x, 1).astype(float) for kind, x in sums.items()}
+        keys, at = np.unique(bigram, return_inverse=True)
+        found = np.unique(np.append(word, np.uint64(BEGIN)))
+        word_at = np.searchsorted(found, word)
+        before = np.roll(word_at, 1)
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = np.searchsorted(found, np.uint64(BEGIN))
+        out = []
+        for k, side in enumerate(("target", "background")):
+            seen = every[_BIGRAMS][k] * scale[side]
+            if shared.value[1] is not None:
+                seen = np.where(np.isin(keys.view(np.int64), shared.value[1]), seen, 0.0)
+            likely = spec.prior * ((every[_WORDS][k] * scale[side] + 1) / (float(total[side]) * scale[side] + size))
+            history = every[_WORDS][2 + k] * scale[side] + spec.prior
+            out.append(-np.log((seen[at] + likely[word_at]) / history[before]))
+        return out
+
+    def scored(group: pa.Table, answer: pa.Table) -> pa.Table:
+        out = []
+        for row in group.to_pylist():
+            words, sizes = _words(row["texts"])
+            text_of = np.repeat(np.arange(len(sizes)), sizes)
+            sums = [np.bincount(text_of, x, len(sizes)) for x in losses(words, sizes, answer)] if model_known and len(words) else [[None] * len(sizes)] * 2
+            columns = [pa.array(x, kind) for x, kind in zip((row["ids"], sizes, *sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            out.append(pa.RecordBatch.from_arrays(columns, _fields(_SUMS)))
+        return pa.Table.from_batches(out)
+
+    model_known = total["target"] > 0
+    asking = groups.select("group", "ids", "texts").groupBy("group")
+    sums = asking.cogroup(answers.where("group IS NOT NULL").select("group", "kind", "part", "n", "totals").groupBy("group")).applyInArrow(scored, _SUMS)
+    mean = {c: F.round(F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")), 9).alias(c) for c in ("loss_target", "loss_background")}
     out = sums.select("doc_id", "n_tokens", *mean.values())
     return out.withColumn("difference", F.round(F.col("loss_background") - F.col("loss_target"), 9))

@@ -101,3 +101,41 @@ def test_models_grow_with_the_input(spark, sent):
     want = brute(rows, target, BigramModels())
     for i, _ in rows:
         assert got[i]["loss_target"] == pytest.approx(want[i][1], abs=1e-8) and got[i]["loss_background"] == pytest.approx(want[i][2], abs=1e-8)
+
+
+def test_many_groups_and_parts(spark, monkeypatch):
+    """Texts of more than a group, repeated rows and ids, and ids that are missing."""
+    monkeypatch.setattr(lm_difference, "_GROUP_BYTES", 700)
+    rows = corpus(seed=3, n=80) + [(7, "a second text of seven"), (None, "the house by the sea"), (1000, "the hill " * 400), (1001, None), (1001, "")]
+    df = spark.createDataFrame(rows + [rows[12]], "doc_id long, text string").repartition(2)
+    assert lm_difference.grouped(df).count() > 20
+    target = {i for i, _ in rows if i is not None and i % 5 == 2 or i == 1000}
+    numbered = list(enumerate(rows + [rows[12]]))
+    want = brute([(k, t) for k, (_, t) in numbered], {k for k, (i, _) in numbered if i in target}, BigramModels())
+    got = lm_difference.score(df, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+
+    def line(i, n, a, b):
+        return (-1 if i is None else i, n, *(-1.0 if x is None else round(x, 7) for x in (a, b)))
+
+    mine = sorted(line(r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in got)
+    for x, y in zip(mine, sorted(line(i, *want[k]) for k, (i, _) in numbered), strict=True):
+        assert x == pytest.approx(y, abs=1e-6)
+
+
+def test_a_bigram_is_sent_in_a_few_bytes(spark):
+    """Keys, both counts and what its words need, where hardly a bigram comes twice; a row of key, history, word and counts took 34."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.3)) % 40_000}" for _ in range(3_000))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    groups = lm_difference.grouped(df).selectExpr("*", "array(0, 1, 2) AS aimed")
+    shared = spark.sparkContext.broadcast((lm_difference.Vocabulary(None), None))
+    sent = lm_difference.asked(groups, 3, shared).toPandas()
+    bigrams = {b for _, t in rows for b in zip(["<begin>", *t.split()[:-1]], t.split())}
+    assert sent["n"][sent["kind"] == 0].sum() == len(bigrams) > 100_000
+    assert (sent["keys"].map(len) + sent["counts"].map(len)).sum() < 10 * len(bigrams)
+
+
+def test_packed_numbers():
+    numbers = lm_difference.np.array([0, 1, 2**63, 2**64 - 1, 77], "uint64")
+    assert lm_difference.unpacked(lm_difference.packed(numbers), 5).tolist() == numbers.tolist()
+    assert lm_difference.unpacked(lm_difference.packed(numbers[:0]), 0).tolist() == []

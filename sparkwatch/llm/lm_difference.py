@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sparkwatch.llm.common import mix, texts_of, words_by_text
@@ -27,6 +28,8 @@ REST, BEGIN = 0, 1
 _HELD = 1 << 21
 #: Bytes of text that make a group, and for which there is a part of the key space: about two million words of prose.
 _GROUP_BYTES = 12 << 20
+#: Texts of a group that are Python strings at a time, and tokens that are worked on at a time.
+_TEXTS, _TOKENS = 64, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -62,10 +65,13 @@ class Vocabulary:
 
     def bigrams(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Key and word of each token's bigram; ``sizes`` are the numbers of words of the texts."""
-        word = self.symbols(words)
-        history = np.roll(word, 1)
-        history[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
-        return mix(mix(history.view(np.uint64)) + word.view(np.uint64)), word.view(np.uint64)
+        word = self.symbols(words).view(np.uint64)
+        key = np.roll(word, 1)
+        key[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
+        for i in range(0, len(key), _TOKENS):
+            j = i + _TOKENS
+            key[i:j] = mix(mix(key[i:j]) + word[i:j])
+        return key, word
 
 
 def _tally(rows: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -106,8 +112,8 @@ def _most_frequent(rows: DataFrame, keys: Callable[[np.ndarray], np.ndarray], li
 
 def packed(numbers: np.ndarray) -> bytes:
     """64-bit numbers, compressed byte by byte: first the lowest of each, then the next."""
-    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    planes = np.ascontiguousarray(numbers.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
@@ -121,10 +127,34 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, between), [len(keys)]))
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is there. ``keys`` are sorted in place."""
+    keys.sort()
+    starts = np.flatnonzero(_first(keys))
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Which of the keys, which are in order, are not equal to the one before."""
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return first
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _first(keys)
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - 1
+    return keys[first], at
+
+
 def _placed(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often each of ``found`` is among ``keys``."""
+    """How often each of ``found`` is among ``keys``, which are sorted in place."""
     out = np.zeros(len(found), np.int64)
-    some, n = np.unique(keys, return_counts=True)
+    some, n = _counted(keys)
     out[np.searchsorted(found, some)] = n
     return out
 
@@ -181,10 +211,14 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def _words(texts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a group, and the number of words of each text."""
+    """Hashes of all words of a group, and the number of words of each text. Only a few texts at a time are Python strings."""
     column = pa.ipc.open_stream(texts).read_all().column("text")
-    found = [words for _, words in words_by_text(_lowered(column))]
-    return np.concatenate([np.zeros(0, np.uint64), *found]), np.array([len(x) for x in found], np.int64)
+    found, sizes = [np.zeros(0, np.uint64)], []
+    for i in range(0, len(column), _TEXTS):
+        some = [words for _, words in words_by_text(_lowered(column.slice(i, _TEXTS)))]
+        sizes += map(len, some)
+        found.append(np.concatenate(some))
+    return np.concatenate(found), np.array(sizes, np.int64)
 
 
 def asked(groups: DataFrame, parts: int, shared) -> DataFrame:
@@ -197,19 +231,24 @@ def asked(groups: DataFrame, parts: int, shared) -> DataFrame:
                 words, sizes = _words(texts)
                 chosen = np.zeros(len(sizes), bool)
                 chosen[aimed or []] = True
-                yield _table(list(sent(group, words, sizes, chosen)), _ASKED)
+                made = list(sent(group, words, sizes, chosen))
+                del words
+                yield _table(made, _ASKED)
 
     def sent(group: int, words: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> Iterator[tuple]:
         if not len(words):
             return
         bigram, word = shared.value[0].bigrams(words, sizes)
         inside = np.repeat(chosen, sizes)
-        found, n = np.unique(bigram, return_counts=True)
-        yield from by_part(group, _BIGRAMS, found, [_placed(found, bigram[inside]), n])
+        aimed = bigram[inside]
+        found, n = _counted(bigram)
+        del bigram
+        yield from by_part(group, _BIGRAMS, found, [_placed(found, aimed), n])
+        del aimed, n
         # every word but the last of a text is a history
         last, some = np.cumsum(sizes) - 1, sizes > 0
-        found = np.unique(np.append(word, np.uint64(BEGIN)))
-        counts = [_placed(found, word[inside]), _placed(found, word)]
+        found = _counted(np.append(word, np.uint64(BEGIN)))[0]
+        counts = [_placed(found, word[inside]), _placed(found, word.copy())]
         for n, those in zip(tuple(counts), (some & chosen, some)):
             history = n - _placed(found, word[last[those]])
             history[np.searchsorted(found, np.uint64(BEGIN))] += those.sum()
@@ -230,20 +269,24 @@ def told(asks: DataFrame) -> DataFrame:
     """Totals of a part's keys for each group that asked, in the order of its keys, and a row without a group with sums over the part."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        wide = _WIDE[rows[0]["kind"]]
-        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
-        counts = np.concatenate([unpacked(r["counts"], wide * r["n"]).reshape(wide, -1) for r in rows], 1)
-        found, at = np.unique(keys, return_inverse=True)
-        # counts are far below 2^53
-        totals = [np.bincount(at, c, len(found)).astype(np.uint64) for c in counts.astype(float)]
-        name = (rows[0]["kind"], rows[0]["part"])
-        out = [(None, *name, len(found), None, int(totals[0].sum()), int(totals[1].sum()), int((totals[1] > 0).sum()))]
-        start = 0
-        for r in rows:
-            own = at[start : start + r["n"]]
-            out.append((r["group"], *name, r["n"], packed(np.concatenate([t[own] for t in totals])), None, None, None))
-            start += r["n"]
+        kind, part = (table.column(c)[0].as_py() for c in ("kind", "part"))
+        groups, sizes = (table.column(c).to_pylist() for c in ("group", "n"))
+        wide, ends = _WIDE[kind], np.cumsum(sizes)
+        keys = np.empty(ends[-1], np.uint64)
+        for n, end, data in zip(sizes, ends, table.column("keys")):
+            np.cumsum(unpacked(data.as_py(), n), out=keys[end - n : end])
+        found = _counted(keys.copy())[0]
+        at = np.empty(len(keys), np.int32)
+        totals = np.zeros((wide, len(found)), np.uint64)
+        for n, end, data in zip(sizes, ends, table.column("counts")):
+            own = at[end - n : end]
+            own[:] = np.searchsorted(found, keys[end - n : end])
+            for total, count in zip(totals, unpacked(data.as_py(), wide * n).reshape(wide, -1)):
+                total[own] += count  # a group's keys are distinct
+        del keys
+        out = [(None, kind, part, len(found), None, int(totals[0].sum()), int(totals[1].sum()), int((totals[1] > 0).sum()))]
+        for group, n, end in zip(groups, sizes, ends):
+            out.append((group, kind, part, n, packed(totals[:, at[end - n : end]].ravel()), None, None, None))
         return pa.Table.from_batches([_table(out, _TOLD)])
 
     return asks.groupBy("kind", "part").applyInArrow(run, _TOLD)
@@ -283,34 +326,51 @@ def score(df: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: st
     size = n_words + 2
     scale = {"target": 1.0, "background": total["target"] / total["background"] if total["background"] else 1.0}
 
-    def losses(words: np.ndarray, sizes: np.ndarray, answer: pa.Table) -> list[np.ndarray]:
-        """What either model loses at each token."""
+    def totals(answer: pa.Table, kind: int) -> np.ndarray:
+        """All totals of a kind, in the order of the keys."""
+        mine = answer.filter(pc.equal(answer.column("kind"), kind)).sort_by("part")
+        sizes = mine.column("n").to_pylist()
+        out, start = np.empty((_WIDE[kind], sum(sizes))), 0
+        for n, data in zip(sizes, mine.column("totals")):
+            out[:, start : start + n] = unpacked(data.as_py(), _WIDE[kind] * n).reshape(_WIDE[kind], -1)
+            start += n
+        return out
+
+    def losses(texts: bytes, answer: pa.Table) -> tuple[np.ndarray, list]:
+        """The number of tokens of each text, and what either model loses at them."""
+        words, sizes = _words(texts)
+        if not model_known or not len(words):
+            return sizes, [[None] * len(sizes)] * 2
         bigram, word = shared.value[0].bigrams(words, sizes)
-        sums: dict[int, list[np.ndarray]] = {}
-        for r in sorted(answer.to_pylist(), key=lambda r: r["part"]):
-            sums.setdefault(r["kind"], []).append(unpacked(r["totals"], _WIDE[r["kind"]] * r["n"]).reshape(_WIDE[r["kind"]], -1))
-        every = {kind: np.concatenate(x, 1).astype(float) for kind, x in sums.items()}
-        keys, at = np.unique(bigram, return_inverse=True)
-        found = np.unique(np.append(word, np.uint64(BEGIN)))
-        word_at = np.searchsorted(found, word)
+        word_at = _ranked(np.append(word, np.uint64(BEGIN)))[1]
+        del words, word
+        word_at, begin = word_at[:-1], word_at[-1]
         before = np.roll(word_at, 1)
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = np.searchsorted(found, np.uint64(BEGIN))
-        out = []
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = begin
+        keys, at = _ranked(bigram)
+        del bigram
+        unlisted = None if shared.value[1] is None else ~np.isin(keys.view(np.int64), shared.value[1])
+        del keys
+        bigrams, single = totals(answer, _BIGRAMS), totals(answer, _WORDS)
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        sums = []
         for k, side in enumerate(("target", "background")):
-            seen = every[_BIGRAMS][k] * scale[side]
-            if shared.value[1] is not None:
-                seen = np.where(np.isin(keys.view(np.int64), shared.value[1]), seen, 0.0)
-            likely = spec.prior * ((every[_WORDS][k] * scale[side] + 1) / (float(total[side]) * scale[side] + size))
-            history = every[_WORDS][2 + k] * scale[side] + spec.prior
-            out.append(-np.log((seen[at] + likely[word_at]) / history[before]))
-        return out
+            seen = np.multiply(bigrams[k], scale[side], out=bigrams[k])
+            if unlisted is not None:
+                seen[unlisted] = 0.0
+            likely = spec.prior * ((single[k] * scale[side] + 1) / (float(total[side]) * scale[side] + size))
+            history = single[2 + k] * scale[side] + spec.prior
+            lost = np.empty(len(at))
+            for i in range(0, len(at), _TOKENS):
+                j = i + _TOKENS
+                lost[i:j] = -np.log((seen[at[i:j]] + likely[word_at[i:j]]) / history[before[i:j]])
+            sums.append(np.bincount(text_of, lost, len(sizes)))
+        return sizes, sums
 
     def scored(group: pa.Table, answer: pa.Table) -> pa.Table:
         out = []
         for row in group.to_pylist():
-            words, sizes = _words(row["texts"])
-            text_of = np.repeat(np.arange(len(sizes)), sizes)
-            sums = [np.bincount(text_of, x, len(sizes)) for x in losses(words, sizes, answer)] if model_known and len(words) else [[None] * len(sizes)] * 2
+            sizes, sums = losses(row["texts"], answer)
             columns = [pa.array(x, kind) for x, kind in zip((row["ids"], sizes, *sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             out.append(pa.RecordBatch.from_arrays(columns, _fields(_SUMS)))
         return pa.Table.from_batches(out)

@@ -8,6 +8,8 @@ The quantile loss has two gradients only, so a histogram is two counts per bin:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 #: Least gain of a split.
@@ -27,6 +29,34 @@ class Tree:
     def split(self, node: int, feature: int, bin_: int, side: bool) -> None:
         self.feature[node], self.bin[node], self.side[node] = feature, bin_, side
 
+    def nodes(self) -> np.ndarray:
+        """Numbers of the nodes that rows can come to, and 0."""
+        held = np.zeros(len(self.leaf), bool)
+        split = np.flatnonzero(self.feature >= 0)
+        held[[0, 1]] = held[2 * split] = held[2 * split + 1] = True
+        return np.flatnonzero(held).astype(np.int32)
+
+
+def packed(trees: Sequence[Tree]) -> dict[str, np.ndarray]:
+    """The trees' nodes behind each other, an array per field and one of the nodes' numbers. Number 0, which no row comes to, begins a tree.
+
+    Trees of a short series have few nodes, so a model is no larger than a fixed share of the rows it was grown on.
+    """
+    nodes = [tree.nodes() for tree in trees]
+    fields = {name: np.concatenate([getattr(tree, name)[n] for tree, n in zip(trees, nodes)]) for name in ("feature", "bin", "side", "leaf")}
+    return {"node": np.concatenate(nodes), **fields}
+
+
+def unpacked(node: np.ndarray, feature: np.ndarray, bin_: np.ndarray, side: np.ndarray, leaf: np.ndarray, nodes: int) -> list[np.ndarray]:
+    """What ``packed`` made, as arrays with a row of ``nodes`` entries per tree."""
+    tree = np.cumsum(node == 0) - 1
+    out = []
+    for field, none in ((feature, -1), (bin_, 0), (side, False), (leaf, 0.0)):
+        whole = np.full((tree[-1] + 1, nodes), none, field.dtype)
+        whole[tree, node] = field
+        out.append(whole)
+    return out
+
 
 def to_bins(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """Per feature the number of edges below the value; one more than there are bins where it is missing."""

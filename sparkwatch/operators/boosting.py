@@ -10,8 +10,9 @@ One model per (series, level). Training rows are binned per series and lie in bl
 Counts are whole numbers and both ways share the same steps (``functions.trees``), so they grow the same trees. No series is gathered in one
 task, and trees are never on the driver.
 
-A model is a row of flat arrays (feature, bin, missing side and leaf by round and node). Prediction brings the models of a series to
-bounded parts of its rows and takes all rows of a part down each tree at once.
+A model is a row of flat arrays (number, feature, bin, missing side and leaf of the nodes that its trees have). Prediction brings the models
+of a series, a row each, to bounded parts of its rows and takes all rows of a part down each tree at once. Rows of blocks and of models are
+wide, so few of them are written or read at a time, and none are gathered outside of the task that works on a part.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from sparkwatch.operators.forecast import anchored
 from sparkwatch.schema import SERIES
 from sparkwatch.session import discard, stored
 
-MODEL = "service string, metric string, level int, feature binary, bin binary, side binary, leaf binary"
+MODEL = "service string, metric string, level int, node binary, feature binary, bin binary, side binary, leaf binary"
 _BLOCK = "service string, metric string, parts int, edges array<array<double>>, base array<double>, bins binary, target binary, at binary"
 _COUNTED = "service string, metric string, level int, node int, feature int, counts binary"
 _SETTLED = f"{_COUNTED}, gain double, bin int, side boolean, left long, right long"
@@ -56,6 +57,16 @@ class BoostConfig:
         """Node numbers per tree: node k has children 2k and 2k + 1."""
         return 2 ** (self.depth + 1)
 
+    def edge_bytes(self, features: int) -> int:
+        """What a row with the bin edges of a series may take; about, as are the next two."""
+        return 8 * (features * self.bins + len(self.levels)) + 1024
+
+    def block_bytes(self, features: int) -> int:
+        return self.block_rows * (2 * features + 8 + 8 * len(self.levels)) + self.edge_bytes(features)
+
+    def model_bytes(self, features: int) -> int:
+        return self.rounds * self.nodes * 17 + self.edge_bytes(features)
+
 
 def fit(train: DataFrame, features: Sequence[str], config: BoostConfig = BoostConfig()) -> DataFrame:
     """Model table, a row per series and level, with the series' bin ``edges`` and the model's ``base``.
@@ -65,13 +76,14 @@ def fit(train: DataFrame, features: Sequence[str], config: BoostConfig = BoostCo
     if config.rounds < 1 or config.depth < 1:
         raise ValueError("at least one round and one level of splits are needed")
     series = _series(train, features, config)
-    blocks = stored(_blocks(train, series, features, config))
+    blocks = stored(_blocks(train, series, features, config), config.block_bytes(len(features)))
     sizes = series.agg(F.count(F.lit(1)), F.sum((F.col("parts") > 1).cast("int"))).first()
     models = _grown_whole(blocks.where("parts = 1"), sizes[0], config)
     if sizes[1]:
         models = models.unionByName(_grown_by_rounds(blocks.where("parts > 1"), len(features), config))
     base = F.get("base", F.col("level")).alias("base")
-    models = stored(models.join(series, SERIES).select(*SERIES, "level", "edges", base, "feature", "bin", "side", "leaf"))
+    whole = models.join(series, SERIES).select(*SERIES, "level", "edges", base, *_FIELDS)
+    models = stored(whole, config.model_bytes(len(features)))
     discard(blocks)
     return models
 
@@ -90,17 +102,21 @@ def _series(train: DataFrame, features: Sequence[str], config: BoostConfig) -> D
     """A row per series: bin edges, base predictions, number of blocks."""
     base = exact_percentiles(train, SERIES, "target", config.levels, "base")
     parts = train.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / config.block_rows).cast("int").alias("parts"))
-    return stored(bin_edges(train, features, config.bins).join(base, SERIES).join(parts, SERIES))
+    return stored(bin_edges(train, features, config.bins).join(base, SERIES).join(parts, SERIES), config.edge_bytes(len(features)))
 
 
-def _in_parts(rows: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with a ``_part`` below their series' ``parts``, and ``series`` once for each part."""
+def _in_parts(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """``rows`` with a ``_part`` below their series' ``parts``."""
     plain = [f.name for f in rows.schema.fields if "map" not in f.dataType.simpleString()]
     dealt = rows.join(series.select(*SERIES, F.col("parts").alias("_parts")), SERIES)
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*plain), F.col("_parts")).cast("int")).drop("_parts")
-    # named anew: both sides may come from the same rows
-    each = series.select(*[F.col(c).alias(c) for c in series.columns], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
-    return dealt, each
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*plain), F.col("_parts")).cast("int"))
+    return dealt.drop("_parts")
+
+
+def _each_part(series: DataFrame) -> DataFrame:
+    """``series`` once for each of its ``parts``."""
+    # named anew: it may come from the rows that it is brought to
+    return series.select(*[F.col(c).alias(c) for c in series.columns], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
 
 
 def _matrix(table: pa.Table, features: Sequence[str]) -> np.ndarray:
@@ -110,7 +126,7 @@ def _matrix(table: pa.Table, features: Sequence[str]) -> np.ndarray:
 
 def _blocks(train: DataFrame, series: DataFrame, features: Sequence[str], config: BoostConfig) -> DataFrame:
     """A row per block: its binned rows, targets and predictions so far (one row of ``at`` per level)."""
-    rows, each = _in_parts(train.select(*SERIES, "target", *features), series)
+    rows, each = _in_parts(train.select(*SERIES, "target", *features), series), _each_part(series)
     schema = pa.schema([("service", pa.string()), ("metric", pa.string()), ("parts", pa.int32()), ("edges", pa.list_(pa.list_(pa.float64()))), ("base", pa.list_(pa.float64())), ("bins", pa.binary()), ("target", pa.binary()), ("at", pa.binary())])
     empty = schema.empty_table()
 
@@ -137,7 +153,7 @@ class _Block:
         self.base = row["base"]
         self.target = np.frombuffer(row["target"])
         self.bins = np.frombuffer(row["bins"], np.uint16).reshape(len(self.target), -1)
-        self.at = np.frombuffer(row["at"]).reshape(-1, len(self.target))
+        self.at = np.frombuffer(row["at"]).reshape(-1, len(self.target)) if "at" in row else None
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -147,11 +163,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _packed(key: tuple, level: int, found: Sequence[grown.Tree]) -> dict:
-    arrays = {name: np.stack([getattr(tree, name) for tree in found]).tobytes() for name in ("feature", "bin", "side", "leaf")}
-    return {"service": key[0], "metric": key[1], "level": level, **arrays}
+    return {"service": key[0], "metric": key[1], "level": level, **{name: array.tobytes() for name, array in grown.packed(found).items()}}
 
 
-_MODEL = pa.schema([("service", pa.string()), ("metric", pa.string()), ("level", pa.int32()), ("feature", pa.binary()), ("bin", pa.binary()), ("side", pa.binary()), ("leaf", pa.binary())])
+#: The arrays of a model and the types of their entries.
+_FIELDS = {"node": np.int32, "feature": np.int16, "bin": np.int16, "side": bool, "leaf": np.float64}
+_MODEL = pa.schema([("service", pa.string()), ("metric", pa.string()), ("level", pa.int32()), *((name, pa.binary()) for name in _FIELDS)])
 
 
 def _grown_whole(blocks: DataFrame, series: int, config: BoostConfig) -> DataFrame:
@@ -163,7 +180,8 @@ def _grown_whole(blocks: DataFrame, series: int, config: BoostConfig) -> DataFra
             made = grown.grow(block.bins, block.target, block.base[level], config.levels[level], config, block.slots)
             yield pa.RecordBatch.from_pylist([_packed(block.key, level, made)], _MODEL)
 
-    each = blocks.withColumn("level", F.explode(_level_numbers(config)))
+    # one block starts from the base, so its predictions so far are left behind
+    each = blocks.drop("at").withColumn("level", F.explode(_level_numbers(config)))
     return each.repartition(min(series * len(config.levels), 10_000) or 1).mapInArrow(work, MODEL)
 
 
@@ -178,7 +196,7 @@ def _grown_by_rounds(blocks: DataFrame, features: int, config: BoostConfig) -> D
     for number in range(config.rounds):
         rounds.append(_round(now, names, config).withColumn("round", F.lit(number)))
         if number + 1 < config.rounds:
-            moved = stored(_moved(now, rounds[-1], config))
+            moved = stored(_moved(now, rounds[-1], config), config.block_bytes(features))
             if number:
                 discard(now)
             now = moved
@@ -360,22 +378,23 @@ def predict(rows: DataFrame, features: Sequence[str], model: DataFrame | None, c
     if model is None:
         raise RuntimeError("fit before predict")
     kept = rows.columns
-    found = model.groupBy(*SERIES).agg(F.collect_list(F.struct("level", "base", "feature", "bin", "side", "leaf")).alias("_models"), F.first("edges").alias("_edges"))
     parts = rows.groupBy(*SERIES).agg(F.ceil(F.count(F.lit(1)) / config.block_rows).cast("int").alias("parts"))
-    dealt, each = _in_parts(rows, parts.join(found, SERIES, "left"))
+    # the edges of a series come with its first level
+    found = model.select(*SERIES, "level", F.when(F.col("level") == 0, F.col("edges")).alias("edges"), "base", *_FIELDS)
+    dealt, each = _in_parts(rows, parts), _each_part(parts.join(found, SERIES))
     schema = T.StructType([*rows.schema.fields, T.StructField("_changes", T.ArrayType(T.DoubleType()))])
     levels, nodes = len(config.levels), config.nodes
 
     def score(part: pa.Table, about: pa.Table) -> pa.Table:
-        (row,) = about.select(["_edges", "_models"]).to_pylist() if part.num_rows else ({"_models": None},)
         part = part.select(kept)
-        if not row["_models"]:
+        if not part.num_rows or not about.num_rows:
             return part.append_column("_changes", pa.nulls(part.num_rows, pa.list_(pa.float64())))
-        edges = [np.array(e) for e in row["_edges"]]
+        models = about.select(["level", "edges", "base", *_FIELDS]).to_pylist()
+        edges = [np.array(e) for m in models if m["level"] == 0 for e in m["edges"]]
         bins, missing = grown.to_bins(_matrix(part, features), edges), grown.slots_of(edges) - 1
         out = np.full((part.num_rows, levels), np.nan)
-        for m in row["_models"]:
-            arrays = [np.frombuffer(m[name], kind).reshape(-1, nodes) for name, kind in (("feature", np.int16), ("bin", np.int16), ("side", bool), ("leaf", np.float64))]
+        for m in models:
+            arrays = grown.unpacked(*(np.frombuffer(m[name], kind) for name, kind in _FIELDS.items()), nodes)
             out[:, m["level"]] = grown.add_up(bins, m["base"], *arrays, config.learning_rate, config.depth, missing)
         offsets = np.arange(part.num_rows + 1, dtype=np.int32) * levels
         return part.append_column("_changes", pa.ListArray.from_arrays(offsets, out.ravel()))

@@ -211,6 +211,35 @@ def test_prediction_in_parts_and_without_a_model(spark):
     assert none.collect() == [] and none.columns == whole.columns
 
 
+def test_models_have_only_the_nodes_of_their_trees(spark):
+    """At the default depth and rounds, models of short series are as short as their trees."""
+    config = boosting.BoostConfig(rounds=20, levels=(0.1, 0.5))
+    model = boosting.fit(boost_rows(spark, 300), ["x", "z", "square"], config).collect()
+    assert len(model) == 6
+    for r in model:
+        feature, node = np.frombuffer(r["feature"], np.int16), np.frombuffer(r["node"], np.int32)
+        # the root and a node 0 per tree, and two nodes per split, with at least 40 rows each
+        assert len(feature) == len(node) == 2 * (config.rounds + (feature >= 0).sum()) <= 2 * config.rounds * 300 // 40
+        assert len(r["leaf"]) == 8 * len(node) and len(r["bin"]) == 2 * len(node) and len(r["side"]) == len(node)
+        assert (feature >= 0).any() or r["service"] != "a"
+
+
+def test_packed_trees_come_back():
+    from sparkwatch.functions import trees
+
+    made = [trees.Tree(3) for _ in range(3)]
+    made[0].split(1, 4, 9, True)
+    made[0].split(3, 2, 1, False)
+    made[2].split(1, 0, 0, False)
+    for k, tree in enumerate(made):
+        at = tree.nodes()[1:]
+        tree.leaf[at] = np.arange(len(at)) + k
+    arrays = trees.packed(made)
+    assert arrays["node"].tolist() == [0, 1, 2, 3, 6, 7, 0, 1, 0, 1, 2, 3]
+    for name, whole in zip(("feature", "bin", "side", "leaf"), trees.unpacked(*arrays.values(), 16)):
+        assert (whole == np.stack([getattr(t, name) for t in made])).all() and whole.dtype == getattr(made[0], name).dtype
+
+
 def test_too_few_rows_stop_the_ladder_too(spark):
     g = sparse_grid(spark, {("a", "m"): list(range(20))}).withColumn("clean", F.lit(True))
     with pytest.raises(ValueError, match="a/m: only"):

@@ -1,6 +1,8 @@
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwatch import session
 
@@ -34,3 +36,12 @@ def test_discarded_tables_are_gone(spark):
     files = table.inputFiles()
     session.discard(table)
     assert files and spark.sparkContext._jvm.java.io.File(files[0].removeprefix("file://")).exists() is False
+
+
+def test_few_wide_rows_are_read_at_a_time(spark):
+    """A reader takes a row group or 4,096 rows at once, and equal rows take next to no room in a file."""
+    rows = spark.range(0, 100, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 16).alias("wide"))
+    table = session.stored(rows, 1 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 16
+    assert table.agg(F.sum("id"), F.sum(F.length("wide"))).first()[:] == (4950, 100 << 16)

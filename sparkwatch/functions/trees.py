@@ -40,7 +40,7 @@ class Tree:
 def packed(trees: Sequence[Tree]) -> dict[str, np.ndarray]:
     """The trees' nodes behind each other, an array per field and one of the nodes' numbers. Number 0, which no row comes to, begins a tree.
 
-    Trees of a short series have few nodes, so a model is no larger than a fixed share of the rows it was grown on.
+    A tree has two entries and two more per split. A split needs rows on either side, so models of short series are short.
     """
     nodes = [tree.nodes() for tree in trees]
     fields = {name: np.concatenate([getattr(tree, name)[n] for tree, n in zip(trees, nodes)]) for name in ("feature", "bin", "side", "leaf")}
